@@ -47,7 +47,7 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
         depth += 1
     # A slot points to the shallowest ancestor that isn't overfull.
     levels = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-    prefix = F.shiftrightunsigned(F.col("slot"), F.lit(depth) - F.col("depth"))
+    prefix = F.expr(f"shiftrightunsigned(slot, {depth} - depth)")
     sums = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("n").alias("n"))
     fits = levels.select("slot", "depth", prefix.alias("prefix")).join(sums, ["depth", "prefix"]).where((F.col("n") <= capacity) | (F.col("depth") == depth))
     return fits.groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b")).select("slot", F.lit(depth).alias("directory_depth"), F.col("b.depth").alias("local_depth"), F.col("b.prefix").alias("prefix"))
