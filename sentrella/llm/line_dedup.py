@@ -44,7 +44,7 @@ def lines_of(html: Column) -> Column:
         text = F.regexp_replace(text, pattern, by)
     for name, by in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(by))
-    text = F.regexp_replace(text, "[ \\t\\r\\f\\v]+", " ")
+    text = F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " ")
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -75,7 +75,7 @@ def _sql() -> str:
         text = f"regexp_replace({text}, '{pattern}', '{by}', '{opts}')".replace("\n", "' || chr(10) || '") if by == "\n" else f"regexp_replace({text}, '{pattern}', '{by}', '{opts}')"
     for name, by in ENTITIES:
         text = f"replace({text}, '{name}', '{by}')"
-    text = f"regexp_replace({text}, '[ \\t\\r\\f\\v]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
     return f"""
 WITH p AS (
   SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,

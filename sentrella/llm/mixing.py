@@ -28,7 +28,7 @@ from sentrella.llm.common import saved, table
 
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.6}
 SWEEPS, CAP = 8, 1.5
-WORD = "[^ \\t\\n\\r\\f\\v]+"
+WORD = "[^ \\t\\n\\r\\f\\x0B]+"
 TOPICS = (("legal", "(?i)licen[cs]e|copyright"), ("contact", "@|https?://|www[.]"), ("numeric", "[0-9]{3}"))
 
 
