@@ -55,12 +55,16 @@ def _chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
 def _log(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Which replacements applied, each tested on the text as its predecessors left it."""
     kind = "array<struct<from:string,to:string>>"
-    none, now, found = F.array().cast(kind), text, []
-    for wrong, right in pairs:
-        found.append(F.when(now.rlike(whole(wrong)), F.struct(F.lit(wrong).alias("from"), F.lit(right).alias("to"))))
-        now = F.regexp_replace(now, whole(wrong), right)
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(text.rlike(any_whole([a for a, _ in pairs])), hits.cast(kind)).otherwise(none)
+    steps = F.array(*[F.struct(F.lit(whole(a)).alias("p"), F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in pairs])
+    none = F.array().cast(kind)
+
+    def step(acc: Column, s: Column) -> Column:
+        hit = F.regexp(acc["text"], s["p"])
+        more = F.when(hit, F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))).cast(kind)).otherwise(none)
+        return F.struct(F.regexp_replace(acc["text"], s["p"], s["to"]).alias("text"), F.concat(acc["log"], more).alias("log"))
+
+    done = F.aggregate(steps, F.struct(text.alias("text"), none.alias("log")), step, lambda acc: acc["log"])
+    return F.when(text.rlike(any_whole([a for a, _ in pairs])), done).otherwise(none)
 
 
 def typos(text: Column) -> Column:

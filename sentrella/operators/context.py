@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from sentrella.functions import fixed
 from sentrella.functions.dialect import java
+from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
 from sentrella.functions.text import contains_any
 from sentrella.operators.sessions import KEYS, fold
@@ -124,7 +125,9 @@ def text_features(df: DataFrame) -> DataFrame:
     from sentrella.functions.text import hits
 
     df = df.withColumn("text3", three).withColumn("progress", progressions(last(PROGRESSION_TURNS)))
+    df = fence(df, *[c for c in df.columns if c not in ("text3", "progress")])
     df = df.withColumn("behaviour_reasons", F.concat(hits([(n, F.col("text3").rlike(java(p, True))) for _, n, p in fixed.BEHAVIOURS]), "progress"))
+    df = fence(df, *[c for c in df.columns if c != "behaviour_reasons"])
     points = F.create_map(*[F.lit(x) for p, n, _ in fixed.BEHAVIOURS for x in (n, float(p))], F.lit("identifier_enumeration"), F.lit(25.0), F.lit("quantity_escalation"), F.lit(20.0))
     df = df.withColumn("behaviour_score", F.least(F.lit(100.0), F.aggregate(F.transform("behaviour_reasons", lambda n: F.element_at(points, n)), F.lit(0.0), lambda a, x: a + x)))
     five = F.lower(join(5))
@@ -140,6 +143,7 @@ def text_features(df: DataFrame) -> DataFrame:
     intents = [(prompt.rlike(java(p, True)), n) for n, p in fixed.SAFE_INTENTS] + [(capability, "product_question")]
     intent = reduce(lambda c, x: c.when(x[0], x[1]), intents[1:], F.when(*intents[0])).otherwise("")
     df = df.withColumns({"capability": capability & ~risky & (F.trim(prompt) != ""), "gate_category": F.when(risky | (F.trim(prompt) == ""), "").otherwise(intent)})
+    df = fence(df, *[c for c in df.columns if c not in ("capability", "gate_category")])
     abuse = contains_any(F.lower("text3"), fixed.ABUSE_INDICATORS)
     by = F.create_map(*[F.lit(x) for k, v in fixed.SAFE_DISCOUNTS.items() for x in (k, float(v))])
     df = df.withColumns({"abuse_indicator": abuse, "safe": (F.col("gate_category") != "") & ~abuse})

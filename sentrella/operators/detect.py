@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 from sentrella.functions import fixed
 from sentrella.functions import text as T
 from sentrella.functions.dialect import java, literal
+from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
 
-NO_NAMES = "array<string>"
-
 
 def normalised(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Adds raw_text, normalized, corrected, compact, policy_text and policy_compact.
 
     Rows of ASCII text, which composition leaves alone, need no Python: the composed column
     is only computed for a plan that has others (see ``compose``)."""
+    own = df.columns
     df = df.withColumn("raw_text", F.coalesce(prompt, F.lit("")))
     df = df.withColumn("composed", T.nfkc(F.col("raw_text")))
     df = df.withColumns({"normalized": T.basic(F.col("composed")), "policy_plain": T.policy_text(F.col("composed"))})
     df = df.withColumn("typo_free", T.typos(F.col("normalized")))
     df = df.withColumn("phrased", T.phrases(F.col("typo_free")))
     df = df.withColumns({"corrected": T.squeeze(T.grammar(F.col("phrased"))), "policy_text": T.policy_expanded(F.col("policy_plain"))})
-    return df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text"))}).drop("policy_plain")
+    df = df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text"))}).drop("policy_plain")
+    return fence(df, *own)
 
 
 # --- signatures ------------------------------------------------------------------
@@ -124,10 +125,13 @@ def policy(df: DataFrame) -> DataFrame:
     safe_intent, policy_decision, policy_recommendation, policy_state and policy_bucket."""
     text, compact = F.col("policy_text"), F.col("policy_compact")
     df = df.withColumns({f"hit_{n}": T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.terms(n)]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS})
+    df = fence(df, *[c for c in df.columns if not c.startswith("hit_")])
     safe = T.contains_any(text, fixed.SAFE_PHRASES) | reduce(lambda a, b: a | b, [text.rlike(java(p)) for p in fixed.SAFE_PATTERNS])
     df = df.withColumn("safe_intent", safe | ((F.size("hit_safe") > 0) & (F.size("hit_extraction") == 0)))
+    df = fence(df, *[c for c in df.columns if c != "safe_intent"])
     row = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("category"), F.lit(r[2] == "critical").alias("critical"), F.lit(r[3]).alias("score"), r[5].alias("terms"))
     df = df.withColumn("matched", F.filter(F.array(*[F.when(r[4], row(r)) for r in rules()]), lambda x: x.isNotNull()))
+    df = fence(df, *[c for c in df.columns if c != "matched"])
     df = df.withColumns({
         "policy_rules": F.transform("matched", lambda m: m["rule"]),
         "policy_terms": F.array_sort(F.array_distinct(F.flatten(F.transform("matched", lambda m: m["terms"])))),
@@ -159,6 +163,7 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     words = F.split(F.trim(text), java(r"\s+"))
     combos = [(s, F.size(F.array_except(F.array(*[F.lit(w) for w in ws.split()]), words)) == 0) for ws, _, s in fixed.RISK_COMBOS]
     df = df.withColumns({"risk_intents": T.hits(groups), "combo_hits": T.hits(combos)})
+    df = fence(df, *[c for c in df.columns if c not in ("risk_intents", "combo_hits")])
     points = F.create_map(*[F.lit(x) for g, (w, _) in fixed.RISK_GROUPS.items() for x in (g, w)], *[F.lit(x) for _, p, s in fixed.RISK_COMBOS for x in (s, p)])
     base = F.aggregate(F.transform(F.concat("risk_intents", "combo_hits"), lambda x: F.element_at(points, x)), F.lit(0), lambda a, x: a + x)
     df = df.withColumn("risk_base", base)
@@ -175,15 +180,11 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
 def detect(prompts: DataFrame, prompt: str = "prompt", anchored: bool = False) -> DataFrame:
     """All stateless results for each prompt, with its own columns kept."""
     df = normalised(prompts, prompt)
-    same = F.col("normalized") == F.col("corrected")
-    none = F.array().cast(NO_NAMES)
-    df = df.withColumns({
-        "sig_corrected": scan(F.col("corrected"), anchored=anchored),
-        "sig_normalized": F.when(same, none).otherwise(scan(F.col("normalized"), anchored=anchored)),
-        "sig_raw": F.when(F.col("raw_text") == F.col("corrected"), none).otherwise(scan(F.col("raw_text"), anchored=anchored)),
-        "hash_matches": hash_ids(F.col("raw_text")),
-    })
-    df = df.withColumn("signature_matches", F.array_distinct(F.concat("sig_corrected", "sig_normalized", "sig_raw"))).drop("sig_corrected", "sig_normalized", "sig_raw")
+    # Three forms of the text, in this order; equal ones are scanned once.
+    variants = F.array_distinct(F.array("corrected", "normalized", "raw_text"))
+    found = F.array_distinct(F.flatten(F.transform(variants, lambda t: scan(t, anchored=anchored))))
+    df = df.withColumns({"signature_matches": found, "hash_matches": hash_ids(F.col("raw_text"))})
+    df = fence(df, *[c for c in df.columns if c not in ("signature_matches", "hash_matches")])
     df = risk(policy(df), F.col("session_authentic") if "session_authentic" in prompts.columns else None)
     df = df.withColumns({
         "matched_signatures": F.array_distinct(F.concat("signature_matches", "hash_matches")),
