@@ -178,10 +178,10 @@ def snk_registry(spark, sf):
     return sessions.last_state(judged(spark, sf)).drop("intent_counts", "last_matched_signatures")
 
 
-@query(J(f", {REGISTRY} SELECT session_id, source, status, last_decision, last_risk_score, last_evaluated_at, row_number() OVER (PARTITION BY status ORDER BY last_evaluated_at DESC, session_id) AS place FROM registry WHERE ttl >= (SELECT max(epoch) - 7 * 86400 FROM evt)"))
+@query(J(f", {REGISTRY} SELECT session_id, source, status, last_decision, last_risk_score, last_evaluated_at, row_number() OVER (PARTITION BY status ORDER BY last_evaluated_at DESC, session_id) AS place FROM registry WHERE ttl >= (SELECT max(epoch) - 7 * 86400 FROM evt)", False))
 def qry_sessions(spark, sf):
     """Sessions unexpired a week before the newest event."""
-    j = judged(spark, sf)
+    j = judged(spark, sf, False)
     r = sessions.last_state(j).crossJoin(F.broadcast(as_of(evt(spark, sf), "epoch")))  # one row on the right
     return reads.sessions(r, F.col("as_of") - 7 * 86400)
 
