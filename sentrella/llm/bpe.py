@@ -46,7 +46,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or model["unk_token"] or model["ignore_merges"]:
             raise ValueError(f"{path}: not the kind of tokenizer file that this encoder implements")
         vocab, end = model["vocab"], model["end_of_word_suffix"]

@@ -45,6 +45,20 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sliced(pdf, chars: int = 1_000_000):
+    """A batch of rows in parts of bounded text (a longer text is a part of its own), so that
+    what Python holds for each word doesn't grow with the batch."""
+    sizes = pdf["text"].str.len().to_numpy()
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > chars:
+            yield pdf.iloc[begin:i]
+            begin, held = i, 0
+        held += n
+    if begin < len(pdf):
+        yield pdf.iloc[begin:]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """Texts of a bounded sample of labelled rows, and the count of each class over all labels kept.
 

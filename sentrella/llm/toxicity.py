@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> dict:
     seen = saved(sample.mapInPandas(_form_rows, "form binary, toxic long, ordinary long").groupBy("form").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")), "toxicity-forms")
     ratio = (F.col("t") / nt) / ((F.col("o") + 0.5) / no)
     marked = seen.where((F.col("t") >= 3) & (ratio >= MIN_RATIO)).select("form", (F.col("t") * F.log(ratio)).alias("w")).orderBy(F.desc("w"), "form").limit(MAX_ENTRIES).collect()
-    common = seen.where((F.length("form") >= 6) & (F.substring("form", -1, 1) == F.lit(b"\n"))).orderBy(F.desc("o"), "form").limit(MAX_COMMON).collect()
+    common = seen.where((F.col("o") > 0) & (ratio < MIN_RATIO) & (F.length("form") >= 6) & (F.substring("form", -1, 1) == F.lit(b"\n"))).orderBy(F.desc("o"), "form").limit(MAX_COMMON).collect()
     least = max(MIN_WEIGHT, REL_WEIGHT * marked[0].w) if marked else 0.0
     entries = [bytes(r.form) for r in marked if r.w >= least]
     base = b"".join(bytes(r.form) for r in reversed(common))[-ORDINARY_BYTES:]
