@@ -10,6 +10,16 @@ WORD, DIGIT, SPACE = r"\p{L}\p{N}_", r"\p{Nd}", r"\s\x1c-\x1f\x85\p{Z}"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
+def _edge(pattern: str, i: int) -> str:
+    """A word edge; where a plain letter must stand on one side, only the other is looked at."""
+    after, quantifier = pattern[i + 2 : i + 3], pattern[i + 3 : i + 4]
+    if after.isalnum() and quantifier not in ("?", "*", "{"):
+        return rf"(?<![{WORD}])"
+    if pattern[i - 1 : i].isalnum() and pattern[i - 2 : i - 1] != "\\":
+        return rf"(?![{WORD}])"
+    return EDGE
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     if pattern.startswith("(?i)"):
         pattern, ignore_case = pattern[4:], True
@@ -22,7 +32,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             if two in sets:
                 out.append(sets[two] if inside else f"[{sets[two]}]")
             elif two == r"\b" and not inside:
-                out.append(EDGE)
+                out.append(_edge(pattern, i))
             else:
                 out.append(two)
             i += 2

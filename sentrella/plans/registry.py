@@ -122,7 +122,10 @@ def sig_hashes(spark, sf):
 @query()
 def sig_documents(spark, sf):
     """Stateless detection over whole documents."""
-    d = detect.detect(views.prompts_doc(spark, sf))
+    p, cores = views.prompts_doc(spark, sf), spark.sparkContext.defaultParallelism
+    if p.rdd.getNumPartitions() < cores:  # a small file is one partition; matching costs far more than dealing it out
+        p = p.repartition(cores)
+    d = detect.detect(p)
     return d.select("prompt_id", joined("matched_signatures").alias("signatures"), "policy_score", "risk_score", "best_score", "stateless_block")
 
 
