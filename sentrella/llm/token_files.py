@@ -17,17 +17,21 @@ so that ``select`` finds one offset without decoding the others.
 
 Texts are encoded by the tokenizers library. A text without double spaces is encoded by its
 space-separated chunks, each with its leading space, since the byte-level pattern always
-starts a piece there; chunks that the Python worker has met come from a bounded table and
-new ones go to the library together. Other texts go to it whole. Tests compare both ways.
+starts a piece there; chunks that the Python worker has met come from a bounded table, and
+new ones go through the library's pre-tokenizer and model. Other texts go to it whole. Tests
+compare both ways.
 
 Null text: empty, a single end id. Repeated rows are each written. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sentrella.llm.bpe import byte_symbols
 from sentrella.llm.common import documents, shared_dir, table
 
 CHUNK = 1 << 20
-CACHE = 300_000
+CACHE = 500_000
 SAMPLE = 256
 END = 0
 SCHEMA = "part int, chunk int, n_docs long, n_tokens long, n_null long, first_id long, width int, ids binary, ends binary, doc_ids binary"
@@ -107,8 +112,47 @@ class EliasFano:
         return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+_SYMBOLS = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
+
+
+def byte_level(piece: str) -> str:
+    """A piece as the printable characters that stand for its bytes."""
+    return ("Ġ" + piece[1:]) if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+
+
+class Known(dict):
+    """Ids of chunks met before; a new one is cut and encoded by the library's own parts."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.pieces = encoder, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        e = self.encoder
+        if len(self) >= CACHE or len(self.pieces) >= CACHE:
+            self.clear()
+            self.pieces.clear()
+        if any(s in chunk for s in e.special):
+            ids = e.whole([chunk])[0]
+        else:
+            word = chunk.rstrip(".,")
+            if word[1:].isalpha() and word[0] == " ":  # one piece of letters, and one of marks
+                ids = self.piece(byte_level(word)) + (self.piece(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+            else:
+                ids = b"".join([self.piece(p) for p, _ in e.cut(chunk)])
+        self[chunk] = ids
+        return ids
+
+
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.pieces[piece] = array(self.encoder.code, [t.id for t in self.encoder.model.tokenize(piece)]).tobytes()
+        return got
+
+
 class Encoder:
-    """The ids of whole texts as arrays, by the tokenizers library."""
+    """The ids of whole texts, by the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,25 +161,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        #: Chunks may be encoded apart where nothing but the byte-level cut comes before the model.
+        self.by_chunk = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and sys.byteorder == "little"
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.cut, self.model = (self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_chunk else None), self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.known = Known(self)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "  " in t else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        new = {c for p in cut if p for c in p} - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, {c for p in cut if p for c in p}
-        new = sorted(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self.whole(part), strict=True))
-        rest = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
         get = self.known.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in cut]
+        cut = [self.by_chunk and "  " not in t and "\x00" not in t for t in texts]
+        rest = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if not c]))
+        return [b"".join(map(get, t.replace(" ", "\x00 ").split("\x00"))) if c else next(rest) for t, c in zip(texts, cut, strict=True)]
 
 
 _loaded: dict[str, Encoder] = {}
