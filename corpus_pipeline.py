@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose weights follow the target marginals."""
-    return mixing.sample(docs).where("cell_kept").select(*docs.columns)
+    """A sample whose weights follow the target marginals; a document of a raised cell repeats."""
+    return mixing.sample(docs).where("cell_kept").withColumn("cell_copy", F.explode(F.sequence(F.lit(1), F.col("cell_copies")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

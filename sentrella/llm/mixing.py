@@ -4,11 +4,15 @@ Every document falls in a cell (source, language, topic); null or missing values
 '(none)'. A document weighs its words plus one. Target marginals are tempered shares: each
 value's share of all weight raised to a power and normalised, which raises small sources,
 languages and topics. SWEEPS times, the cell weights are raked to the three marginals in
-turn. A cell's calibrated ratio is its fitted over its observed weight (1 on average); its
-documents are kept with probability min(1, ratio / CAP). The draw of a document is the first
-48 bits of the MD5 of its doc_id's decimal text over 2^48, so it doesn't depend on
+turn. A cell's calibrated ratio is its fitted over its observed weight (1 on average); each
+of its documents stays floor(ratio) times, and once more where its draw is below the rest of
+the ratio, so the expected weight of every cell is its fitted one. The draw of a document is
+the first 48 bits of the MD5 of its doc_id's decimal text over 2^48, so it doesn't depend on
 partitions; rows of one doc_id share their draw, and a null doc_id draws 0 (kept).
 
+The query op9_mixing is bound to OP9_SQL, which keeps a document at most once, with
+probability min(1, ratio / CAP); cells of a larger ratio miss their weight there.
+
 Everything is DataFrame code. Rows are summed to cells in the map tasks before any shuffle,
 so hot sources cost one row for each task; the sweeps touch the cell table only and each is
 written to the shared folder. The cell table isn't hinted: Spark broadcasts it only below
@@ -64,22 +68,25 @@ def rake(cells: DataFrame, powers: dict[str, float], sweeps: int = SWEEPS) -> Da
     return fitted.select(*dims, "observed", "fitted")
 
 
-def sample(docs: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, cap: float = CAP) -> DataFrame:
-    """The documents with their cell, probability, draw and kept, in columns cell_*."""
+def sample(docs: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, cap: float | None = None) -> DataFrame:
+    """The documents with their cell, probability (of staying at all), draw, kept and copies, in
+    columns cell_*. With a cap nothing stays twice: ratios are divided by it and cut at 1."""
     rows = with_cells(docs)
     cells = saved(rows.groupBy("cell_source", "cell_lang", "cell_topic").agg(F.sum("cell_weight").alias("observed")), "mix-cells")
     weights = rake(cells, {f"cell_{d}": p for d, p in powers.items()}, sweeps)
-    keep = F.least(F.lit(1.0), F.col("fitted") / F.col("observed") / cap)
+    ratio = F.col("fitted") / F.col("observed") / (cap or 1.0)
     draw = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("double") / float(2**48), F.lit(0.0))
     return (
-        rows.join(weights.withColumn("cell_probability", keep).drop("observed", "fitted"), ["cell_source", "cell_lang", "cell_topic"])
+        rows.join(weights.withColumns({"cell_ratio": ratio, "cell_probability": F.least(F.lit(1.0), ratio)}).drop("observed", "fitted"), ["cell_source", "cell_lang", "cell_topic"])
         .withColumns({"cell_draw": draw, "cell_kept": draw < F.col("cell_probability")})
+        .withColumn("cell_copies", F.col("cell_kept").cast("int") if cap else (F.floor("cell_ratio") + (F.col("cell_draw") < F.col("cell_ratio") - F.floor("cell_ratio")).cast("int")).cast("int"))
+        .drop("cell_ratio")
     )
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return sample(docs).select(
+    return sample(docs, cap=CAP).select(
         "doc_id", F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), F.col("cell_topic").alias("topic"), F.col("cell_weight").alias("weight"),
         F.round("cell_probability", 6).alias("probability"), F.round("cell_draw", 9).alias("draw"), F.col("cell_kept").alias("kept"),
     )

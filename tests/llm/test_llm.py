@@ -272,6 +272,21 @@ def test_mixing_meets_its_marginals(spark, sf, odd, none):
     assert mixing.sample(none).count() == 0
 
 
+def test_mixed_documents_reach_the_targets(spark):
+    """Token marginals of what the stage returns, where some ratios are far above 1."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    rows = [(i, "word " * int(rng.integers(5, 40)) + ("@" if rng.random() < 0.02 else ""), "fr" if rng.random() < 0.05 else "en", "small" if rng.random() < 0.03 else "big") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    start, out = (mixing.with_cells(d).toPandas() for d in (docs, cp.mix(spark, docs, "")))
+    for k, power in mixing.POWERS.items():
+        share = start.groupby(f"cell_{k}").cell_weight.sum() / start.cell_weight.sum()
+        got = out.groupby(f"cell_{k}").cell_weight.sum() / out.cell_weight.sum()
+        assert np.allclose(got, share**power / (share**power).sum(), rtol=0.1), k
+    assert out.cell_weight.sum() == pytest.approx(start.cell_weight.sum(), rel=0.05)
+
+
 def synthetic(spark):
     rng = np.random.default_rng(6)
     plain = ["river", "stone", "window", "garden", "letter", "morning", "table", "yellow"]
