@@ -11,7 +11,7 @@ cells over several, so neither a hot cell nor a hot vector makes a large group.
 sizes (at most CELLS squared rows) reach the driver and the queries; vectors and queries
 don't. A task holds one shard and one block of queries and returns K rows for each query.
 
-Vectors that are null, zero, of another length than the first, or hold null or non-finite
+Vectors that are null, zero, of another length than the most frequent, or hold null or non-finite
 components take no part, as candidates or queries. Rows of one vec_id: the largest vector by
 its components stays. Ties go to the smaller vec_id. Other columns are not read.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sentrella.llm.common import saved, table
 
 K, FIT_ROWS, MAX_CELLS = 20, 20_000, 256
-CANDIDATES, SHARE = 4000, 0.12
+CANDIDATES, SHARE, PER_CELL = 4000, 0.6, 10
 SHARD, QUERY_BLOCK = 16_384, 4096
 SLACK = 1e-9
 
@@ -89,14 +89,14 @@ def search(vectors: DataFrame, queries, k: int = K, candidates: int = CANDIDATES
     spark = vectors.sparkSession
     rows = saved(usable(vectors), "ann-vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()
-    if not len(sample):
+    lengths = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if lengths is None:
         return empty
-    dim = len(rows.orderBy("vec_id").first().vector)
-    x = _matrix(sample["vector"][sample["vector"].map(len) == dim])
+    dim = lengths.dim
     rows = rows.where(F.size("vector") == dim)
+    x = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()["vector"])
     total, half = rows.count(), max(1, dim // 2)
-    side = min(MAX_CELLS, max(2, round(math.sqrt(total / 50))))
+    side = min(MAX_CELLS, max(2, round(math.sqrt(total / PER_CELL))))
     ca, cb = kmeans(x[:, :half], side), kmeans(x[:, half:], side) if dim > half else np.zeros((1, 0))
     enough = max(candidates, math.ceil(share * total))
 

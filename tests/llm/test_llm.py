@@ -244,6 +244,27 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_recall_where_the_index_prunes(spark):
+    """Far more vectors than CANDIDATES, without clusters, by the production share."""
+    x = np.random.default_rng(9).normal(size=(12000, 64)).astype(np.float32)
+    assert nearest.SHARE * len(x) > nearest.CANDIDATES and nearest.SHARE < 1
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    out = nearest.search(df, F.col("vec_id") % 200 == 0).toPandas()
+    x = x.astype(np.float64)
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert out.query_id.nunique() == 60 and hit / (60 * 20) >= 0.9
+
+
+def test_nearest_takes_the_most_frequent_length(spark):
+    rows = [(0, [1.0, 2.0])] + [(i, [float(i), 1.0, 0.0]) for i in range(1, 9)]
+    out = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") <= 1).toPandas()
+    assert set(out.query_id) == {1} and set(out.vec_id) == set(range(2, 9))
+
+
 def test_traverse_follows_falling_sums():
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=9), rng.normal(size=7)
