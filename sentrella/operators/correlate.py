@@ -59,7 +59,7 @@ def records(rows: DataFrame, minutes: int = 5) -> DataFrame:
         F.coalesce("scope_id", F.lit("local")).alias("scope_id"), F.coalesce("source", F.lit("")).alias("source"), "session_id", "prompt_id", F.col("epoch").alias("ingested_at"), "prompt",
         resolved_category(F.col("category"), sigs).alias("category"), F.coalesce("risk", F.lit(0.0)).alias("record_risk"), F.coalesce("repeated", F.lit(0)).alias("record_repeated"),
         F.exists(sigs, lambda s: T.contains_any(F.lower(s), fixed.CRITICAL_HINTS)).alias("critical_signature"),
-        window_start(F.col("epoch"), minutes).alias("window_start"), S.prompt_hash(F.col("prompt")).alias("prompt_hash"),
+        window_start(F.col("epoch"), minutes).alias("window_start"), S.prompt_hash(F.col("prompt")).alias("prompt_hash"), *[c for c in ("embedding",) if c in rows.columns],
     )
 
 
@@ -137,13 +137,14 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
 
 
 def similar_vectors(vectors: DataFrame, at_least: float = COSINE, block: int = 2048) -> DataFrame:
-    """(label, a, b, cosine) of all pairs a < b of one label whose cosine reaches the bound.
+    """(label, a, b, cosine) of all pairs a < b of one label and length whose cosine reaches the bound.
 
     Vectors are dealt in blocks; each pair of blocks of a label is one matrix product in a
     task, which holds two blocks and returns the pairs found only."""
     v = vectors.select("vec_id", "label", "embedding").where("embedding is not null and label is not null")
-    sizes = v.groupBy("label").agg(F.count("*").alias("n")).select("label", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = v.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    v = v.withColumn("dim", F.size("embedding"))
+    sizes = v.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = v.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     paired = dealt.withColumn("with", other).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
@@ -161,7 +162,22 @@ def similar_vectors(vectors: DataFrame, at_least: float = COSINE, block: int = 2
         keep = (lo < hi) if low != high else (a < b)
         return pd.DataFrame({"label": pdf["label"].iloc[0], "a": lo[keep], "b": hi[keep], "cosine": c[keep]})
 
-    return paired.groupBy("label", "low", "high").applyInPandas(near, "label int, a long, b long, cosine double")
+    kind, key = (v.schema[c].dataType.simpleString() for c in ("label", "vec_id"))
+    return paired.groupBy("label", "dim", "low", "high").applyInPandas(near, f"label {kind}, a {key}, b {key}, cosine double")
+
+
+def embedding(rows: DataFrame, at_least: float = COSINE) -> DataFrame:
+    """Star neighbourhoods of prompts of one category by the cosine of their vectors (column
+    ``embedding``), once for equal neighbourhoods. Equal vectors are compared once. Vectors that
+    are zero or hold null or non-finite numbers are like no other and take no part."""
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rows = rows.withColumn("vector", F.transform("embedding", lambda x: x.cast("double"))).where(sound).drop("embedding")
+    rows = rows.withColumn("label", F.to_json(F.struct("scope_id", "window_start", "category"))).withColumn("print", F.sha2(F.concat("label", F.to_json("vector")), 256)).persist()
+    prints = rows.groupBy("label", F.col("print").alias("vec_id")).agg(F.any_value("vector").alias("embedding"))
+    pairs = similar_vectors(prints, at_least).select("label", F.col("a").alias("base"), F.col("b").alias("print")).persist()
+    near = pairs.unionByName(pairs.select("label", F.col("print").alias("base"), F.col("base").alias("print"))).unionByName(prints.select("label", F.col("vec_id").alias("base"), F.col("vec_id").alias("print")))
+    m = _members(rows.drop("vector").join(near, ["label", "print"]), "embedding", F.col("base")).drop("label", "print", "base")
+    return _distinct_groups(_at_least(m, MIN_SESSIONS))
 
 
 def digest(value: Column) -> Column:
@@ -259,10 +275,11 @@ def guarded(found: DataFrame, policy: Policy = Policy()) -> DataFrame:
     }).drop("why")
 
 
-def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True) -> DataFrame:
-    """All detectors over prompt records, scored, deduplicated and guarded."""
+def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
+    """All detectors over prompt records, scored, deduplicated and guarded; the embedding
+    detector runs over ``embedded``, records with a vector each, where given."""
     rows = rows.persist()  # read by every detector; lost parts are computed again
-    parts = [exact_hash(rows), pattern(rows), category(rows), session_risk(rows, risks), *([near_duplicates(rows)] if near else [])]
+    parts = [exact_hash(rows), pattern(rows), category(rows), session_risk(rows, risks), *([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)

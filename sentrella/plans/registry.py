@@ -513,6 +513,10 @@ def t3_records(spark, sf, minutes=MINUTES):
     return correlate.records(rows, minutes)
 
 
+def t3_embedded(spark, sf, minutes=MINUTES):
+    return correlate.records(views.prompts_vec(spark, sf).withColumns({"risk": F.lit(0.0), "repeated": F.lit(0), "matched_signatures": F.array().cast("array<string>")}), minutes)
+
+
 def _group_query(detector):
     def run(spark, sf):
         m = detector(t3_records(spark, sf))
@@ -559,7 +563,7 @@ def t3_analysis(spark, sf):
 @query()
 def t3_full_analysis(spark, sf):
     """All detectors, under an enforcing policy."""
-    f = correlate.analyse(t3_records(spark, sf), views.session_risks(evt(spark, sf)), correlate.Policy("enforce", True, True, True))
+    f = correlate.analyse(t3_records(spark, sf), views.session_risks(evt(spark, sf)), correlate.Policy("enforce", True, True, True), embedded=t3_embedded(spark, sf))
     return f.select("method", "window_start", F.col("group_category").alias("category"), "sessions", "confidence", "group_score", "decision", "action", "kill_denied_reason", "burst_id")
 
 

@@ -77,6 +77,17 @@ def prompts_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompts_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each vector: its label is the category, its number modulo 50 the session.
+    Vectors have no time; they all come at the newest event, in one window."""
+    now = prompts_evt(spark, sf_dir).agg(F.coalesce(F.max("epoch"), F.lit(1704067200)).alias("epoch"))
+    name = F.concat(F.lit("vec-"), F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    return table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").crossJoin(F.broadcast(now)).select(  # one row on the right
+        F.lit("local").alias("scope_id"), F.lit("111122223333/vectors").alias("source"), F.concat(F.lit("user-"), F.pmod("vec_id", F.lit(50)).cast("string")).alias("session_id"),
+        name.alias("prompt_id"), "epoch", name.alias("prompt"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("category"), "embedding",
+    )
+
+
 def model_verdicts(prompts: DataFrame) -> DataFrame:
     """What a model might have said: attacks mostly flagged, with a confidence from the event's number."""
     n = F.col("event_id")

@@ -239,3 +239,36 @@ def test_stream_fold_equals_batch(spark, tmp_path):
 def test_views_cover_all_events(spark, sf):
     p = views.prompts_evt(spark, sf)
     assert p.count() == spark.read.parquet(f"{sf}/events.parquet").count() and p.where("expected_label = 'unknown'").count() == 0
+
+
+def test_embedding_clusters(spark):
+    """Stars of one category over three sessions; a repeated vector and an equal star count once."""
+    def rec(i, session, category, v):
+        return ("local", "src", session, f"p{i}", 1000, f"text {i}", category, 90.0, 2, [], v)
+
+    near = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.2], [1.0, 0.0]]
+    rows = [rec(i, f"s{i}", "label-1", v) for i, v in enumerate(near)]
+    rows += [rec(10 + i, f"s{i}", "label-2", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])]  # apart
+    rows += [rec(20 + i, "s1", "label-3", [1.0, 0.0]) for i in range(3)]  # one session
+    rows += [rec(30, "s7", "label-1", [0.0, 0.0]), rec(31, "s8", "label-1", [1.0, 0.0, 0.0]), rec(32, "s9", "label-1", [float("nan"), 1.0])]
+    df = correlate.records(spark.createDataFrame(rows, "scope_id string, source string, session_id string, prompt_id string, epoch long, prompt string, category string, risk double, repeated int, matched_signatures array<string>, embedding array<float>"))
+    m = correlate.embedding(df).collect()
+    assert sorted(r.prompt_id for r in m) == ["p0", "p1", "p2", "p3"] and len({r.group_key for r in m}) == 1
+    risks = spark.createDataFrame([], "scope_id string, session_id string, current_risk_score double, status string, repeated_suspicious_count int")
+    found = correlate.analyse(df.where("false").drop("embedding"), risks, embedded=df).collect()
+    assert [(r.method, r.group_category, r.sessions, r.confidence) for r in found] == [("embedding", "label-1", 4, 0.93)]
+
+
+def test_full_analysis_holds_embedding_findings(spark, sf):
+    import pandas as pd
+
+    v = pd.read_parquet(f"{sf}/embeddings.parquet")
+    x = np.array(v.embedding.tolist(), dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    stars = set()
+    for i in range(len(x)):
+        star = np.flatnonzero((x @ x[i] >= correlate.COSINE) & (v.label == v.label[i]))
+        if len(set(v.vec_id[star] % 50)) >= 3:
+            stars.add(frozenset(v.vec_id[star]))
+    m = correlate.embedding(registry.t3_embedded(spark, sf)).select("group_key", "prompt_id").toPandas()
+    assert {frozenset(int(p[4:]) for p in g.prompt_id) for _, g in m.groupby("group_key")} == stars
