@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +17,17 @@ def fence(df: DataFrame, *before: str) -> DataFrame:
     for every use. A one-row generator is a place that such filters don't cross."""
     made = [c for c in df.columns if c not in before]
     return df.select(*before, F.inline(F.array(F.struct(*made))))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to ``spark.checkpoint.dir`` (a temporary folder where that is unset)
+    and read again: a later plan that uses them several times holds a scan for each use instead
+    of the whole chain."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = tempfile.mkdtemp(prefix="sentrella-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/sentrella-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sentrella.functions import fixed
 from sentrella.functions import scalars as S
 from sentrella.functions import text as T
+from sentrella.functions.plan import written
 
 MIN_SESSIONS, DISTANCE, PATTERN_MIN, CATEGORY_MIN, RISK_MIN, RISK_AT = 3, 3, 3, 5, 5, 65.0
 COSINE, COOLDOWN, MAX_PROMPTS = 0.82, 1800, 2000
@@ -172,12 +173,13 @@ def embedding(rows: DataFrame, at_least: float = COSINE) -> DataFrame:
     are zero or hold null or non-finite numbers are like no other and take no part."""
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.transform("embedding", lambda x: x.cast("double"))).where(sound).drop("embedding")
-    rows = rows.withColumn("label", F.to_json(F.struct("scope_id", "window_start", "category"))).withColumn("print", F.sha2(F.concat("label", F.to_json("vector")), 256)).persist()
+    rows = written(rows.withColumn("label", F.to_json(F.struct("scope_id", "window_start", "category"))).withColumn("print", F.sha2(F.concat("label", F.to_json("vector")), 256)), "t3-vectors")
     prints = rows.groupBy("label", F.col("print").alias("vec_id")).agg(F.any_value("vector").alias("embedding"))
-    pairs = similar_vectors(prints, at_least).select("label", F.col("a").alias("base"), F.col("b").alias("print")).persist()
+    pairs = similar_vectors(prints, at_least).select("label", F.col("a").alias("base"), F.col("b").alias("print"))
+    pairs = written(pairs, "t3-pairs")
     near = pairs.unionByName(pairs.select("label", F.col("print").alias("base"), F.col("base").alias("print"))).unionByName(prints.select("label", F.col("vec_id").alias("base"), F.col("vec_id").alias("print")))
     m = _members(rows.drop("vector").join(near, ["label", "print"]), "embedding", F.col("base")).drop("label", "print", "base")
-    return _distinct_groups(_at_least(m, MIN_SESSIONS))
+    return _distinct_groups(written(_at_least(m, MIN_SESSIONS), "t3-stars"))
 
 
 def digest(value: Column) -> Column:
@@ -283,7 +285,7 @@ def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near:
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)
-    members = members.persist()
+    members = written(members, "t3-members")
     return guarded(deduped(findings(members, risks)), policy)
 
 
