@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scratch: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a cluster's warehouse
+    serves, and a temporary folder only where driver and executors are one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="sentrella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        _scratch[app] = tempfile.mkdtemp(prefix="sentrella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return _scratch[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +37,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sentrella-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like the given ones that differ from those taken (case aside)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_evenly(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
+    """Inner join with ``right`` (one row for each key) where a key may hold a large share of
+    ``left``. ``sizes`` has the rows (n) of each key in left. Keys of more than a thousandth of
+    the rows, 1,024 at most, are joined in the map tasks; the others are dealt by key."""
+    hot = sizes.where(F.col("n") > total / 1024).select(key)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
 
 
 def remainder(key: Column, n: int) -> Column:

@@ -38,24 +38,43 @@ def labels(spark):
 
 
 def test_exact_dedup(spark, odd, none):
-    out = exact_dedup.dedup(odd, capacity=2).toPandas()
+    for capacity in (1, 2, 1024):  # hot keys, split buckets, one bucket
+        check_dedup(exact_dedup.dedup(odd, capacity, 4).toPandas())
+        left = exact_dedup.survivors(odd, capacity, 4)
+        assert left.columns == odd.columns
+        assert sorted(left.toPandas().text.fillna("").tolist()) == sorted({r[1] or "" for r in ODD})
+    assert exact_dedup.dedup(none).count() == 0 and exact_dedup.survivors(none).count() == 0
+
+
+def check_dedup(out):
     assert len(out) == len(ODD)
     same = out[out.text_sha256 == hashlib.sha256(b"same").hexdigest()]
     assert (same.group_size == 3).all() and (same.keep_id == 4).all() and list(same.sort_values("doc_id").kept) == [False, False, True]
     empty = out[out.text_sha256 == hashlib.sha256(b"").hexdigest()]
     assert sorted(empty.doc_id) == [1, 2] and (empty.keep_id == 2).all()
     assert out[out.doc_id.isna()].kept.all()
-    assert exact_dedup.dedup(none).count() == 0
 
 
 def test_directory_doubles_only_overfull_buckets(spark):
     keys = [i << 56 for i in range(16)] + [(200 - 256) << 56]
-    entries = spark.createDataFrame([(k,) for k in keys], "key long")
-    d = exact_dedup.directory(entries, 4, 10).toPandas()
-    sizes = Counter((r.local_depth, r.prefix) for k in keys for r in d.itertuples() if (k % (1 << 64)) >> (64 - r.directory_depth) == r.slot)
+    d = exact_dedup.directory(spark.createDataFrame([(k, 1) for k in keys], "key long, n long"), 4, 10).toPandas()
+    assert d.slot.is_unique and d.directory_depth.nunique() == 1
+    of = {r.slot: (r.local_depth, r.prefix) for r in d.itertuples()}
+    sizes = Counter(of[(k % (1 << 64)) >> (64 - int(d.directory_depth[0]))] for k in keys)
     assert max(sizes.values()) <= 4 and sum(sizes.values()) == 17 and d.local_depth.min() < d.local_depth.max()
 
 
+def test_the_directory_decides_where_rows_go(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(80)], "doc_id long, text string")
+    rows = docs.withColumn("key", exact_dedup.text_key(docs))
+    index = exact_dedup.Index(docs, capacity=8)
+    assert index.owned(rows).count() == 80 and index.depth > 0
+    gone = index.directory.first()
+    index.directory = index.directory.where(F.col("slot") != gone.slot)
+    lost = [r.key for r in rows.collect() if (r.key % (1 << 64)) >> (64 - index.depth) == gone.slot]
+    assert index.owned(rows).count() == 80 - len(lost)
+
+
 def test_line_dedup(spark):
     rows = [(i, f"https://A.example/{i}", HTML.format(f"own {i}"), 1) for i in range(6)] + [(9, "https://b.example/", HTML.format("once"), 1), (10, None, None, 1), (10, None, None, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
