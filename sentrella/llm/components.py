@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrella.llm.common import saved
+from sentrella.llm.common import discard, saved
 
 MAX_ROUNDS = 40
 
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        now = saved(small.distinct(), "cc-round")
+        last, now = now, saved(small.distinct(), "cc-round")
+        discard(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

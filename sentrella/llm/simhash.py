@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrella.llm.common import documents, saved, table
+from sentrella.llm.common import discard, documents, fresh, join_evenly, saved, table
 from sentrella.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -67,6 +67,12 @@ def _fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
 
+def _row_fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        fps = np.array([fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text_key": pdf["text_key"], "fp": fps.view(np.int64)})
+
+
 class Golay:
     """Codeword indices near a 23-bit word, by tables over its 2,048 syndromes."""
 
@@ -159,14 +165,41 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def roots(prints: DataFrame) -> tuple[DataFrame, int]:
+    """Of each distinct fingerprint of ``prints`` (doc_id, fp): its component (the least
+    fingerprint linked to it, itself included), component_id and rows (n); and all rows."""
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    linked = components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = saved(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("root", "fp")).drop("root"), "simhash-roots")
+    sums = saved(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-least")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    discard(distinct)
+    # The rows of a component are many where copies are few: this join is dealt evenly too.
+    return join_evenly(joined.drop("least"), sums.drop("n"), "component", sums.select("component", "n"), sums.agg(F.sum("n")).first()[0] or 0), total
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, fp, component and component_id of every row."""
     prints = saved(documents(docs).mapInPandas(_fingerprints, "doc_id long, fp long"), "simhash-prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    joined = saved(distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left"), "simhash-roots")
-    least = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(ids, "fp")
+    found, total = roots(prints)
+    found = saved(found, "simhash-components")
+    return join_evenly(prints, found.drop("n"), "fp", found.select("fp", "n"), total)
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: of the component's least doc_id (a null
+    one only where it has no other), and among those the first by the text's hash."""
+    (row,) = fresh(docs.columns, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(row).alias("row"), F.xxhash64("text").alias("text_key"))
+    prints = saved(keyed.mapInPandas(_row_fingerprints, "doc_id long, row long, text_key long, fp long"), "simhash-prints")
+    found, total = roots(prints)
+    found = saved(found.select("fp", "component", "n"), "simhash-components")
+    own = join_evenly(prints, found.drop("n"), "fp", found.select("fp", "n"), total)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "row")
+    kept = saved(own.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "simhash-kept")
+    discard(prints, found)
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
