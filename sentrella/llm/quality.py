@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrella.llm.common import documents, labelled_sample, remainder, table
@@ -112,22 +112,24 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> dict:
     return {"edges": edges, "w": w, "b": b, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:
-    """Adds score to the given columns (doc_id by default), in one pass without a shuffle."""
-    keys = documents(docs) if columns is None else docs.select(*columns)
+def chance(text: Column, model: dict) -> Column:
+    """The probability of class 1 of a text."""
     if "constant" in model:
-        return keys.withColumn("score", F.lit(float(model["constant"]))) if columns else keys.select("doc_id", F.lit(float(model["constant"])).alias("score"))
+        return F.lit(float(model["constant"]))
 
-    def chances(texts: pd.Series) -> np.ndarray:
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype="float64")
         x = np.array([statistics(t or "") for t in texts])
-        return 1 / (1 + np.exp(-np.clip(binned(x, model["edges"]) @ model["w"] + model["b"], -30, 30)))
+        return pd.Series(1 / (1 + np.exp(-np.clip(binned(x, model["edges"]) @ model["w"] + model["b"], -30, 30))))
+
+    return scored(text)
 
-    @F.pandas_udf("double")
-    def chance(texts: pd.Series) -> pd.Series:
-        return pd.Series(chances(texts) if len(texts) else [], dtype="float64")
 
-    kept = ["doc_id"] if columns is None else columns
-    return keys.select(*kept, chance("text").alias("score"))
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id and score of every document, in one pass without a shuffle."""
+    return documents(docs).select("doc_id", chance(F.col("text"), model).alias("score"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -292,39 +292,32 @@ def test_traverse_follows_falling_sums():
     assert len(order) == 63 and sums == sorted(sums, reverse=True)
 
 
-def test_mixing_meets_its_marginals(spark, sf, odd, none):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = mixing.with_cells(docs)
-    cells = rows.groupBy("cell_source", "cell_lang", "cell_topic").agg(F.sum("cell_weight").alias("observed"))
-    powers = {f"cell_{k}": v for k, v in mixing.POWERS.items()}
-    fitted = mixing.rake(cells, powers, 12).toPandas()
+def test_mixing_meets_its_marginals(spark, odd, none):
+    rng = np.random.default_rng(3)
+    cells = spark.createDataFrame([(a, b, c, int(rng.integers(1, 900))) for a in "pqrst" for b in ("en", "fr", "de", "es") for c in ("prose", "legal", "numeric")], "source string, lang string, topic string, observed long").repartition(2)
+    wanted = {"source": 0.5, "lang": {"en": 5, "fr": 3.0, "de": 1.0, "es": 1.0}, "topic": 0.6}
+    fitted = mixing.rake(cells, wanted).toPandas()
     total = fitted["observed"].sum()
-    last = list(powers)[-1]
-    share = fitted.groupby(last)["observed"].sum() / total
-    target = share ** powers[last] / (share ** powers[last]).sum()
-    assert np.allclose(fitted.groupby(last).fitted.sum() / total, target, rtol=1e-9)
-    first = next(iter(powers))
-    share = fitted.groupby(first)["observed"].sum() / total
-    target = share ** powers[first] / (share ** powers[first]).sum()
-    assert np.allclose(fitted.groupby(first).fitted.sum() / total, target, rtol=0.05)
-    out = mixing.sample(odd).toPandas()
-    assert len(out) == len(ODD) and out.cell_probability.between(0, 1).all() and out[out.doc_id.isna()].cell_kept.all()
+    for k, want in wanted.items():
+        share = fitted.groupby(k)["observed"].sum() / total
+        raw = share**want if isinstance(want, float) else share.index.map(want).to_series(index=share.index)
+        assert np.allclose(fitted.groupby(k).fitted.sum() / total, raw / raw.sum(), rtol=1e-6), k
     assert mixing.sample(none).count() == 0
+    out = mixing.sample(odd)
+    assert out.columns == odd.columns and {r.key for r in out.collect()} <= {"k", None}
 
 
 def test_mixed_documents_reach_the_targets(spark):
     """Token marginals of what the stage returns, where some ratios are far above 1."""
-    import corpus_pipeline as cp
-
     rng = np.random.default_rng(8)
     rows = [(i, "word " * int(rng.integers(5, 40)) + ("@" if rng.random() < 0.02 else ""), "fr" if rng.random() < 0.05 else "en", "small" if rng.random() < 0.03 else "big") for i in range(8000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    start, out = (mixing.with_cells(d).toPandas() for d in (docs, cp.mix(spark, docs, "")))
-    for k, power in mixing.POWERS.items():
-        share = start.groupby(f"cell_{k}").cell_weight.sum() / start.cell_weight.sum()
-        got = out.groupby(f"cell_{k}").cell_weight.sum() / out.cell_weight.sum()
+    start, out = (mixing.with_cells(d).drop("row").toPandas() for d in (docs, mixing.sample(docs)))
+    for k, power in mixing.TARGETS.items():
+        share = start.groupby(k).weight.sum() / start.weight.sum()
+        got = out.groupby(k).weight.sum() / out.weight.sum()
         assert np.allclose(got, share**power / (share**power).sum(), rtol=0.1), k
-    assert out.cell_weight.sum() == pytest.approx(start.cell_weight.sum(), rel=0.05)
+    assert out.weight.sum() == pytest.approx(start.weight.sum(), rel=0.05)
 
 
 def synthetic(spark):
@@ -391,7 +384,35 @@ def test_pipeline_against_brute_force(spark, sf):
     roots = brute_components([simhash.fingerprint(t) for t in exact.text])
     assert list(near.doc_id) == [exact.doc_id.iloc[i] for i, r in enumerate(roots) if i == r]
     draw = near.doc_id.map(lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:12], 16) / 2**48)
-    p = mixing.sample(spark.createDataFrame(near)).select("doc_id", "cell_probability").toPandas().set_index("doc_id").cell_probability
-    assert set(mixed.doc_id) == {d for d, u in zip(near.doc_id, draw) if u < p[d]}
+    cells = mixing.with_cells(spark.createDataFrame(near)).withColumn("doc_id", F.col("row.doc_id")).drop("row")
+    ratio = mixing.ratios(cells).select("doc_id", "ratio").toPandas().set_index("doc_id").ratio
+    want = Counter({d: int(ratio[d]) + (u < ratio[d] % 1) for d, u in zip(near.doc_id, draw)})
+    assert Counter(mixed.doc_id.tolist()) == +want
     out = cp.run(spark, sf).toPandas()
     assert set(out.doc_id) == set(mixed.doc_id) and (out.n_tokens > 0).all()
+
+
+def test_stages_keep_foreign_columns_and_stand_odd_tables(spark, labels, tmp_path):
+    """Extra columns with any name come through, nulls, repeats and empty tables don't crash."""
+    import corpus_pipeline as cp
+
+    names = ["score", "kept_text", "cell_source", "row", "key", "fp", "component", "bucket", "copies", "weight", "topic", "place"]
+    docs = spark.createDataFrame([r[:5] + tuple(f"{n}-{i}" for n in names) for i, r in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            i = int(r.score.split("-")[1])
+            assert all(r[n] == f"{n}-{i}" for n in names) and (r.doc_id, r.text) == ODD[i][:2], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(ODD)
+
+
+def test_near_copies_that_share_an_id_leave_one(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c d"), (1, "A B c d"), (None, "a b c D"), (None, "q r s t"), (None, "Q r s t"), (7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = cp.drop_near_copies(spark, docs, "").toPandas()
+    assert len(out) == 3 and sorted(t.lower() for t in out.text) == ["a b c d", "q r s t", "z"] and out.doc_id.isna().sum() == 1
