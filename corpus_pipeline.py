@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept, as written to Parquet, and returns the columns of
 ``documents``; the last returns one row of token figures for each document. Extra columns
-pass through all stages but the last. Empty tables give empty tables.
+pass through all stages but the last, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -11,33 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrella.llm import bpe, exact_dedup, mixing, quality, simhash
-from sentrella.llm.common import remainder, saved, table
+from sentrella.llm.common import discard, remainder, saved, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts (score of 0.5 or more)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
-    return quality.score(docs, model, docs.columns).where("score >= 0.5").drop("score")
+    return docs.where(quality.chance(docs["text"], model) >= 0.5)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row of the largest doc_id. Rows that repeat a doc_id and its text
-    are one document: one of them stays."""
-    kept = exact_dedup.dedup(docs).where("kept").select("doc_id", F.xxhash64("text_sha256").alias("kept_text")).distinct()
-    out = docs.withColumn("kept_text", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    same = out["doc_id"].eqNullSafe(kept["doc_id"]) & (out["kept_text"] == kept["kept_text"])
-    return out.join(kept, same, "left_semi").drop("kept_text").dropDuplicates(["doc_id", "text"])
+    """Of equal texts, the row of the largest doc_id (one row where that repeats)."""
+    return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document whose doc_id names it."""
-    kept = simhash.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return simhash.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose weights follow the target marginals; a document of a raised cell repeats."""
-    return mixing.sample(docs).where("cell_kept").withColumn("cell_copy", F.explode(F.sequence(F.lit(1), F.col("cell_copies")))).select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name.lower()))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
