@@ -1,17 +1,26 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of class 1; the unlabelled sample is any training
-document, whatever its label. The class prior is estimated as the share of class 1 among
-all labelled training rows. A logistic model over binned text statistics minimises the
-non-negative unbiased risk
+Trusted positives are the labelled training rows of class 1, all of them; the unlabelled are
+all training documents, whatever their labels, which are not looked at. Each document is 25
+statistics of its whole text in bins (quantiles of all training documents). A bin's evidence
+is the log of its share among positives over its share among all.
+
+The class prior is estimated from the unlabelled scores: documents are scored by the summed
+evidence of the other half's counts, and the least ratio of the share of all to the share of
+positives above a threshold, settled by its confidence bound, is the prior.
+
+A logistic model over the summed evidence and its 25 parts minimises the non-negative
+unbiased risk over all rows
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
-by full-batch Adam; where the second term falls below zero its gradient is reversed.
+by Newton steps. Every sum over the rows is taken in the tasks; the driver sees arrays of
+some hundred numbers. The model is one weight for each bin.
 
 Null and empty texts are scored from the statistics of an empty text. Without positives
-every score is 0.5; a prior of one or none gives constant scores. Rows repeat as they
-come; other columns are not read.
+every score is 0.5. Documents without an id are scored but not learnt from; repeated rows
+count as they come, repeated labels of a document once (the larger). Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -25,11 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrella.llm.common import documents, labelled_sample, remainder, table
+from sentrella.llm.common import discard, documents, remainder, saved, table
 
-#: Bounds of the two training samples.
-POSITIVES, UNLABELLED = 8000, 12000
-BINS, STEPS, RATE, DECAY = 12, 600, 0.05, 1e-4
+#: Bounds of the bins: twelfths, and the tails where rare shapes sit.
+QUANTILES = (0.01, 0.03, *(k / 12 for k in range(1, 12)), 0.97, 0.99)
+#: Histogram of the prior's scores; weight of the single parts against their sum.
+GRID, SPAN, SMALLER = 4096, 64.0, 0.3
+ROUNDS, RIDGE = 10, 0.03
 
 
 def statistics(text: str) -> list[float]:
@@ -61,55 +72,156 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def _rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        yield pd.DataFrame({"x": [statistics(t) for t in pdf["text"]]})
+def codes(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each statistic, numbered side by side: columns of indices into one table."""
+    bins = len(edges) + 1
+    return np.stack([j * bins + np.searchsorted(edges[:, j], x[:, j], side="left") for j in range(x.shape[1])], axis=1)
+
+
+def _training(docs: DataFrame, labels: DataFrame, keep: Column) -> DataFrame:
+    """Statistics of all training documents, and whether each is a trusted positive."""
+    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(keep).groupBy("doc_id").agg(F.max("y").alias("y")).where("y = 1")
+
+    def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
 
+    rows = documents(docs).where(keep & F.col("doc_id").isNotNull()).mapInPandas(shapes, "doc_id long, x array<double>")
+    return saved(rows.join(trusted, "doc_id", "left").select("x", F.col("y").isNotNull().alias("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")), "quality-shapes")
 
-def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Each statistic as one of its bins; the bins of all statistics side by side."""
-    out = np.zeros((len(x), edges.shape[1] * (edges.shape[0] + 1)), dtype=np.float32)
-    for j in range(edges.shape[1]):
-        out[np.arange(len(x)), j * (edges.shape[0] + 1) + np.searchsorted(edges[:, j], x[:, j], side="left")] = 1
+
+def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
+    """The sum over all rows of ``of(x, trusted, fold)``, an array of ``size`` numbers for a
+    batch. Each task sums its own; the driver gets ``size`` rows."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in parts:
+            if len(pdf):
+                total += of(np.array(pdf["x"].tolist()), pdf["trusted"].to_numpy(bool), pdf["fold"].to_numpy(np.int64))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "v": total[at]})
+
+    out = np.zeros(size)
+    for r in rows.mapInPandas(each, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
     return out
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept of least non-negative risk."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    w, b = np.zeros(p.shape[1]), math.log(prior / (1 - prior))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, STEPS + 1):
-        gp, gu = p @ w + b, u @ w + b
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up, uu = sigmoid(gp) / len(p), sigmoid(gu) / len(u)
-        neg = np.append(uu @ u - prior * (up @ p), uu.sum() - prior * up.sum())
-        pos = prior * np.append((up - 1 / len(p)) @ p, (up - 1 / len(p)).sum())
-        g = pos + neg if rest >= 0 else -neg
-        g[:-1] += DECAY * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
-
-
-def fit(docs: DataFrame, labels: DataFrame, keep) -> dict:
-    trusted, counts = labelled_sample(docs, labels, "quality", keep, {1: POSITIVES, 0: 0})
-    if not counts.get(1):
-        return {"constant": 0.5}
-    prior = counts[1] / sum(counts.values())
-    if prior >= 1:
-        return {"constant": 1.0}
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(keep & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(UNLABELLED)
-    unlabelled = documents(docs).join(F.broadcast(chosen), "doc_id")
-    p, u = (np.array(df.select("text").mapInPandas(_rows, "x array<double>").toPandas()["x"].tolist()) for df in (trusted, unlabelled))
-    if not len(p) or not len(u):
+def evidence(counts: np.ndarray, width: int) -> np.ndarray:
+    """Log of each bin's share among positives over its share among all; counts is (2, bins)."""
+    bins = counts.shape[1] // width
+    n = counts.sum(axis=1) / width
+    return np.log((counts[1] + 1) / (n[1] + bins)) - np.log((counts[0] + 1) / (n[0] + bins))
+
+
+def estimated_prior(positive: np.ndarray, every: np.ndarray) -> float:
+    """The share of class 1 among all rows, from both histograms of one score.
+
+    Above any threshold lies at least prior times the positives' share, and little else where
+    the threshold is high. Of all thresholds the one with the least upper confidence bound of
+    (share of all) / (share of positives) gives the estimate.
+    """
+    n, m = positive.sum(), every.sum()
+    p, u = np.cumsum(positive[::-1])[::-1] / n, np.cumsum(every[::-1])[::-1] / m
+    doubt = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / m)
+    bound = np.where(p > 0, (u + doubt) / np.maximum(p, 1e-12), np.inf)
+    at = int(np.argmin(bound))
+    return float(np.clip(u[at] / p[at], 0.01, 0.99))
+
+
+def minimise(risk, size: int, prior: float, mean: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (the last is the intercept) of least non-negative risk, by damped Newton steps.
+
+    ``risk(w)`` has over all rows: mean of log(1 + e^g), its gradient and Hessian, and the mean
+    of log(1 + e^g) over the positives; ``mean`` is the positives' mean row. For the logistic
+    loss, prior * E_P[l(g) - l(-g)] is linear, so the risk is convex; where a step would take
+    the term E_U[l(-g)] - prior * E_P[l(-g)] below zero, where the risk counts it as zero, the
+    step is halved, so the search ends at the border.
+    """
+    w = np.zeros(size)
+    w[-1] = math.log(prior / (1 - prior))
+    penalty = np.full(size, ridge)
+    penalty[-1] = 1e-9
+    now = risk(w)
+    for _ in range(rounds):
+        step = np.linalg.solve(now[2] + np.diag(penalty), now[1] - prior * mean + penalty * w)
+        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        for _ in range(4):
+            after = risk(w - step)
+            if after[0] - prior * after[3] >= -1e-3:
+                break
+            step /= 2
+        else:
+            break
+        w, now = w - step, after
+        if np.abs(step).max() < 1e-3:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> dict:
+    rows = _training(docs, labels, keep)
+    sizes = {r.trusted: r.n for r in rows.groupBy("trusted").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(True):
         return {"constant": 0.5}
-    edges = np.quantile(u, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
-    # Rare shapes sit in the tails, which quantiles of the whole merge: add bounds there.
-    edges = np.sort(np.vstack([edges, np.quantile(u, [0.01, 0.03, 0.97, 0.99], axis=0)]), axis=0)
-    w, b = minimise(binned(p, edges), binned(u, edges), prior)
-    return {"edges": edges, "w": w, "b": b, "prior": prior}
+    width = len(statistics(""))
+    edges = np.array(rows.agg(*(F.percentile_approx(F.col("x")[j], list(QUANTILES), 1000).alias(f"q{j}") for j in range(width))).first()).T
+    bins = width * (len(edges) + 1)
+
+    def counted(x, trusted, fold):
+        c = codes(x, edges)
+        return np.concatenate([np.bincount(c[on].ravel(), minlength=bins) for f in (0, 1) for on in (fold == f, trusted & (fold == f))])
+
+    counts = _summed(rows, counted, 4 * bins).reshape(2, 2, bins)
+    crossed = [evidence(counts[1], width), evidence(counts[0], width)]  # a fold is scored by the other's counts
+
+    def spread(x, trusted, fold):
+        c = codes(x, edges)
+        z = np.where(fold == 0, crossed[0][c].sum(1), crossed[1][c].sum(1))
+        at = np.clip(((z + SPAN) * (GRID / 2 / SPAN)).astype(np.int64), 0, GRID - 1)
+        return np.concatenate([np.bincount(at, minlength=GRID), np.bincount(at[trusted], minlength=GRID)])
+
+    every, positive = _summed(rows, spread, 2 * GRID).reshape(2, GRID)
+    prior = estimated_prior(positive, every)
+    both = counts.sum(axis=0)
+    log = evidence(both, width)
+    share, own = both[0].reshape(width, -1) / sizes_all(sizes), log.reshape(width, -1)
+    centre = (share * own).sum(1)
+    scale = np.sqrt((share * (own - centre[:, None]) ** 2).sum(1)) + 1e-9
+    grid = (np.arange(GRID) + 0.5) * 2 * SPAN / GRID - SPAN
+    middle = (every * grid).sum() / every.sum()
+    wide = math.sqrt((every * (grid - middle) ** 2).sum() / every.sum()) + 1e-9
+
+    def features(c: np.ndarray) -> np.ndarray:
+        parts = log[c]
+        return np.c_[(parts.sum(1) - centre.sum()) / wide, (parts - centre) / scale * SMALLER, np.ones(len(c))]
+
+    size = width + 2
+
+    def risk(w: np.ndarray) -> tuple:
+        def summed(x, trusted, fold):
+            f = features(codes(x, edges))
+            g = f @ w
+            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+            loss = np.logaddexp(0, g)
+            return np.concatenate([[loss.sum(), loss[trusted].sum()], s @ f, ((f * (s * (1 - s))[:, None]).T @ f).ravel(), f[trusted].sum(0)])
+
+        got = _summed(rows, summed, 2 + 2 * size + size * size)
+        n, np_ = sizes_all(sizes), sizes[True]
+        risk.mean = got[-size:] / np_
+        return got[0] / n, got[2 : 2 + size] / n, got[2 + size : -size].reshape(size, size) / n, got[1] / np_
+
+    risk(np.zeros(size))
+    w = minimise(risk, size, prior, risk.mean)
+    discard(rows)
+    # The features are linear in the bins' evidence, so the model is one table of bin weights.
+    weight = (w[0] / wide + w[1:-1] * SMALLER / scale).repeat(len(edges) + 1) * log
+    return {"edges": edges, "w": weight, "b": float(w[-1] - w[0] * centre.sum() / wide - (w[1:-1] * centre * SMALLER / scale).sum()), "prior": prior}
+
+
+def sizes_all(sizes: dict) -> int:
+    return sum(sizes.values())
 
 
 def chance(text: Column, model: dict) -> Column:
@@ -122,7 +234,7 @@ def chance(text: Column, model: dict) -> Column:
         if not len(texts):
             return pd.Series([], dtype="float64")
         x = np.array([statistics(t or "") for t in texts])
-        return pd.Series(1 / (1 + np.exp(-np.clip(binned(x, model["edges"]) @ model["w"] + model["b"], -30, 30))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(model["w"][codes(x, model["edges"])].sum(1) + model["b"], -30, 30))))
 
     return scored(text)
 

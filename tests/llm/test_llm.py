@@ -357,12 +357,27 @@ def test_classifiers_on_odd_rows(spark, odd, none, labels):
 
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(7)
-    p = (rng.random((800, 20)) < 0.2).astype(np.float32)
-    n = (rng.random((400, 20)) < 0.2).astype(np.float32)
+    p = np.c_[(rng.random((800, 20)) < 0.2).astype(float), np.ones(800)]
+    n = np.c_[(rng.random((400, 20)) < 0.2).astype(float), np.ones(400)]
     p[:, 0], n[:, 0] = 1, 0
     u = np.vstack([p[:400], n])
-    w, b = quality.minimise(p[400:], u, 0.5)
-    assert ((u @ w + b > 0) == (np.arange(800) < 400)).mean() > 0.97
+
+    def risk(w):
+        g = u @ w
+        s = 1 / (1 + np.exp(-g))
+        return np.logaddexp(0, g).mean(), s @ u / len(u), (u * (s * (1 - s))[:, None]).T @ u / len(u), np.logaddexp(0, p[400:] @ w).mean()
+
+    w = quality.minimise(risk, 21, 0.5, p[400:].mean(0))
+    end = risk(w)
+    assert ((u @ w > 0) == (np.arange(800) < 400)).mean() > 0.97 and end[0] - 0.5 * end[3] >= -1e-3
+
+
+def test_prior_is_estimated_from_scores():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.85):
+        score = lambda n, at: np.histogram(rng.normal(at, 6, n), bins=400, range=(-64, 64))[0]
+        every = score(int(30000 * prior), 12) + score(int(30000 * (1 - prior)), -12)
+        assert quality.estimated_prior(score(5000, 12), every) == pytest.approx(prior, abs=0.04)
 
 
 def test_pipeline_against_brute_force(spark, sf):
