@@ -263,11 +263,22 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_nearest_recall_where_the_index_prunes(spark):
-    """Far more vectors than CANDIDATES, without clusters, by the production share."""
-    x = np.random.default_rng(9).normal(size=(12000, 64)).astype(np.float32)
-    assert nearest.SHARE * len(x) > nearest.CANDIDATES and nearest.SHARE < 1
+@pytest.mark.parametrize("clustered", [True, False])
+def test_nearest_recall_where_the_index_prunes(spark, clustered):
+    """20,000 vectors against brute force, with clusters and without any structure."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20000, 32))
+    if clustered:
+        x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20000)] + 0.15 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    rows = nearest.saved(nearest.usable(df), "test")
+    cells = nearest.Cells(rows, 32, len(x))
+    index = nearest.saved(rows.withColumn("cell", F.pandas_udf(lambda v: pd.Series(cells.of(nearest._matrix(v)), dtype="int32"), "int")("vector")), "test")
+    for r in index.groupBy("cell").count().collect():
+        cells.sizes[r.cell] = r["count"]
+    share = nearest.needed_share(index, cells, 20, nearest.RECALL, nearest.PROBES)
+    assert share < (0.2 if clustered else 0.98)  # so the search below leaves vectors out
     out = nearest.search(df, F.col("vec_id") % 200 == 0).toPandas()
     x = x.astype(np.float64)
     hit = 0
@@ -275,7 +286,13 @@ def test_nearest_recall_where_the_index_prunes(spark):
         s = x @ x[q]
         s[q] = -np.inf
         hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
-    assert out.query_id.nunique() == 60 and hit / (60 * 20) >= 0.9
+    assert out.query_id.nunique() == 100 and hit / (100 * 20) >= 0.9
+
+
+def test_nearest_takes_one_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 1.0]), (3, [2.0, 5.0])]
+    out = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 2).toPandas()
+    assert list(zip(out["rank"], out.vec_id, out.score)) == [(1, 3, 11.0), (2, 1, 3.0)]
 
 
 def test_nearest_takes_the_most_frequent_length(spark):
