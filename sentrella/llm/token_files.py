@@ -13,12 +13,14 @@ columns are the fields below, so that Spark commits, retries and finds them like
 
 An Elias-Fano code keeps l low bits of each value in a packed array and the rest in unary,
 about 2 + log2(universe / n) bits a value; every 256th one-bit's place is stored in 32 bits,
-so that ``select`` finds one offset without decoding the others.
+so that ``select`` finds one offset without decoding the others. Readers take every offset and
+doc_id from it (Record), whichever document they want.
 
 Texts are encoded by the tokenizers library. A text without double spaces is encoded by its
 space-separated chunks, each with its leading space, since the byte-level pattern always
-starts a piece there; chunks that the Python worker has met come from a bounded table, and
-new ones go through the library's pre-tokenizer and model. Other texts go to it whole. Tests
+starts a piece there; chunks and pieces that the Python worker has met come from bounded
+tables. New chunks are cut by the library's pre-tokenizer (ASCII ones by its pattern), and
+new pieces go through the library's model. Other texts go to it whole. Tests
 compare both ways.
 
 Null text: empty, a single end id. Repeated rows are each written. Other columns aren't read.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -44,7 +47,7 @@ from sentrella.llm.bpe import byte_symbols
 from sentrella.llm.common import documents, shared_dir, table
 
 CHUNK = 1 << 20
-CACHE = 500_000
+CACHE, PIECES = 400_000, 600_000
 SAMPLE = 256
 END = 0
 SCHEMA = "part int, chunk int, n_docs long, n_tokens long, n_null long, first_id long, width int, ids binary, ends binary, doc_ids binary"
@@ -81,10 +84,8 @@ class EliasFano:
         return cls(n, low_bits, body[:a], body[a : a + b], np.frombuffer(body[a + b :].tobytes(), "<u4"))
 
     def _low(self, i: int) -> int:
-        at, out = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            out |= int(self.low[(at + k) >> 3] >> ((at + k) & 7) & 1) << k
-        return out
+        byte, inside = divmod(i * self.low_bits, 8)
+        return int.from_bytes(self.low[byte : byte + 9].tobytes(), "little") >> inside & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th value alone: from the nearest sampled one-bit, by counts of bytes."""
@@ -113,44 +114,55 @@ class EliasFano:
 
 
 _SYMBOLS = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
+#: Marks that end a word and are one piece together, and the pieces of ASCII text.
+MARKS = ".,!?;:"
+_ASCII = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\\t\\n\\x0b\\f\\r A-Za-z0-9]+|[\\t\\n\\x0b\\f\\r ]+(?![^\\t\\n\\x0b\\f\\r ])|[\\t\\n\\x0b\\f\\r ]+")
 
 
 def byte_level(piece: str) -> str:
     """A piece as the printable characters that stand for its bytes."""
-    return ("Ġ" + piece[1:]) if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+    if piece.isascii():
+        return ("Ġ" + piece[1:]) if piece[0] == " " and piece[1:].isalnum() else piece.translate(_SYMBOLS)
+    return piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+
+
+class Pieces(dict):
+    """Ids of pieces met before; a new one is encoded by the library's model."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.tokenize, self.code = encoder.model.tokenize, encoder.code
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        ids = self[piece] = array(self.code, [t.id for t in self.tokenize(byte_level(piece))]).tobytes()
+        return ids
 
 
 class Known(dict):
-    """Ids of chunks met before; a new one is cut and encoded by the library's own parts."""
+    """Ids of chunks met before; a new one is cut in pieces."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.pieces = encoder, {}
+        self.encoder, self.pieces = encoder, Pieces(encoder)
 
     def __missing__(self, chunk: str) -> bytes:
-        e = self.encoder
-        if len(self) >= CACHE or len(self.pieces) >= CACHE:
+        if len(self) >= CACHE:
             self.clear()
-            self.pieces.clear()
-        if any(s in chunk for s in e.special):
-            ids = e.whole([chunk])[0]
+        word, pieces = chunk.rstrip(MARKS), self.pieces
+        if word[1:].isalpha() and word[0] == " ":  # one piece of letters, and one of marks
+            ids = pieces[word] + pieces[chunk[len(word) :]] if len(word) < len(chunk) else pieces[word]
+        elif any(s in chunk for s in self.encoder.special):
+            ids = self.encoder.whole([chunk])[0]
+        elif chunk.isascii():
+            ids = b"".join(map(pieces.__getitem__, _ASCII.findall(chunk)))
         else:
-            word = chunk.rstrip(".,")
-            if word[1:].isalpha() and word[0] == " ":  # one piece of letters, and one of marks
-                ids = self.piece(byte_level(word)) + (self.piece(chunk[len(word) :]) if len(word) < len(chunk) else b"")
-            else:
-                ids = b"".join([self.piece(p) for p, _ in e.cut(chunk)])
+            ids = b"".join([array(self.encoder.code, [t.id for t in self.encoder.model.tokenize(p)]).tobytes() for p, _ in self.encoder.cut(chunk)])
         self[chunk] = ids
         return ids
 
 
-    def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.pieces[piece] = array(self.encoder.code, [t.id for t in self.encoder.model.tokenize(piece)]).tobytes()
-        return got
-
-
 class Encoder:
     """The ids of whole texts, by the tokenizers library."""
 
@@ -166,6 +178,7 @@ class Encoder:
         #: Chunks may be encoded apart where nothing but the byte-level cut comes before the model.
         self.by_chunk = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and sys.byteorder == "little"
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.by_chunk = self.by_chunk and not any(s.strip().rstrip(MARKS).isalpha() for s in self.special)
         self.cut, self.model = (self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_chunk else None), self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
@@ -198,6 +211,28 @@ def _record(part: int, chunk: int, ids: list[bytes], keys: list, width: int) ->
     return part, chunk, len(ids), int(ends[-1]), len(keys) - len(known), first, width, b"".join(ids), EliasFano.of(ends).to_bytes(), EliasFano.of(gaps).to_bytes()
 
 
+class Record:
+    """Random access to the documents of one record: offsets and ids come from ``select``."""
+
+    def __init__(self, row):
+        self.n_docs, self.n_null, self.first_id = row.n_docs, row.n_null, row.first_id
+        self.flat = np.frombuffer(row.ids, f"<u{row.width}")
+        self.ends, self.keys = EliasFano.from_bytes(row.ends), EliasFano.from_bytes(row.doc_ids)
+
+    def offset(self, i: int) -> int:
+        """Where document i begins; that of n_docs is the end of the last."""
+        return self.ends.select(i - 1) if i else 0
+
+    def doc_id(self, i: int) -> int | None:
+        if i < self.n_null:
+            return None
+        found = (self.keys.select(i - self.n_null) + self.first_id) % (1 << 64)
+        return found - (1 << 64) if found >> 63 else found
+
+    def ids(self, i: int) -> np.ndarray:
+        return self.flat[self.offset(i) : self.offset(i + 1)]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = None, end: int = END, chunk_ids: int = CHUNK) -> None:
     """Encode and write every document, in ascending doc_id order."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -217,9 +252,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
         if ids:
             yield pd.DataFrame([_record(part, chunk, ids, keys, e.width)], columns=names)
 
-    # doc_id travels as text-safe nullable integers; large ids keep all their bits.
-    rows = documents(docs).select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(records, SCHEMA).write.option("compression", "zstd").parquet(path)
+    # Ranges are bounded by the text's hash too, so many rows of one id (or none) aren't one task's.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc()]
+    rows = documents(docs).withColumn("key", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    # doc_id travels as text, so that large ids beside nulls keep all their bits.
+    rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(records, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -234,13 +271,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples():
-                ends = EliasFano.from_bytes(r.ends).values().astype(np.int64)
-                begins = np.r_[0, ends[:-1]]
-                wide = np.frombuffer(r.ids, f"<u{r.width}").astype("<u4")
-                gaps = EliasFano.from_bytes(r.doc_ids).values()
-                keys = [None] * r.n_null + (gaps + np.int64(r.first_id).view(np.uint64)).view(np.int64).tolist()
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(begins, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": base[r.part] + int(r.inside) + begins, "n_tokens": ends - begins, "ids_crc32": crcs})
+                record = Record(r)
+                bounds = np.array([record.offset(i) for i in range(record.n_docs + 1)], dtype=np.int64)
+                crcs = [zlib.crc32(record.flat[a:b].astype("<u4")) for a, b in zip(bounds, bounds[1:])]
+                keys = [record.doc_id(i) for i in range(record.n_docs)]
+                yield pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": base[r.part] + int(r.inside) + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crcs})
 
     return files.join(starts, ["part", "chunk"]).mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

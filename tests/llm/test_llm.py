@@ -203,8 +203,8 @@ def test_chunked_encoding_equals_whole():
     import random
 
     e, rng = token_files.Encoder(P.path("byte_bpe_50k.json")), random.Random(3)
-    parts = ["a", "b", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "!", ".", "<|endoftext|>", "<|", "漢", "\x85", "the ", " a", ", "]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    parts = ["a", "b", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "!", ".", "<|endoftext|>", "<|", "漢", "\x85", "the ", " a", ", ", "'re", "'ll", "\x1c", "\x0b", "\r", "_", "-", "?!", "A", "99", "\x7f", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(9000)]
     assert e.encode(texts) == e.whole(texts)
 
 
