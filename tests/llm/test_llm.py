@@ -231,9 +231,34 @@ def test_language_model(spark, sf, odd, none):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
-    pairs = np.unique(rng.integers(0, language_model.CONTEXTS * language_model.TARGETS, 3000))
-    logs = language_model.train(pairs, rng.integers(1, 50, len(pairs)).astype(float))
-    assert np.allclose((10**logs).sum(1), 1)
+    k, s = language_model.shape(5000)
+    c = k + s
+    pairs = np.unique(rng.integers(0, 2 * c * c, 3000))
+    model = language_model.train(pairs, rng.integers(1, 50, len(pairs)).astype(float), k, s)
+    for i in (0, 1):
+        p = language_model.chances(model, i, np.repeat(np.arange(c), c), np.tile(np.arange(c), c)).reshape(c, c)
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_words_of_a_class_share_its_probability(spark):
+    """Summed over the vocabulary and one unknown word a class, chances of a next word are one."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 5))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, 20)) for _ in range(60)]
+    train = [(i, t) for i, t in enumerate(texts)]
+    seen = sorted({w for t in texts for w in t.split()})
+    k, s = language_model.shape(sum(len(t.split()) + 1 for t in texts))
+    unknown, classes = [], set()
+    for i in range(4000):
+        w = f"zz{i}"
+        if (c := language_model.suffix(w.encode()) % s) not in classes:
+            classes.add(c)
+            unknown.append(w)
+    assert len(classes) == s
+    ask = [(1000 + i, w) for i, w in enumerate(["", *seen, *unknown])]
+    out = language_model.score(spark.createDataFrame(train + ask, "doc_id long, text string"), F.col("doc_id") < 1000).where("doc_id >= 1000").toPandas().set_index("doc_id")
+    # P(w, end) over all w: sum over w of P(w) P(end | w) plus P(end) is below one, and P(end) alone known.
+    assert (10 ** out.score).sum() < 1 and (out.score < 0).all() and (out.n_known == [1 if not w else 2 if w in seen else 1 for _, w in ask]).all()
 
 
 def test_nearest(spark):
