@@ -8,9 +8,14 @@ window's evidence is the number of bytes by which the toxic dictionary shortens
 than the ordinary one does. Each document counts its windows at several byte thresholds;
 a weighted logistic fit on the labelled training sample calibrates them to a probability.
 
-Longer windows were tried first: with six words a window, differences between the
-dictionaries elsewhere in the window hide the few bytes a single hostile word saves
-(area under the curve 0.80 to 0.96 against 0.99 with one word).
+The dictionaries' contents are chosen from the two kinds of training text, not trained by
+zstandard's own trainer, and windows are single words, because the plain form of the method
+doesn't give right results on text whose hostile words are few (area under the curve on the
+held-out labelled rows of the 10,000-document table, against 0.9 and more this way): trained
+dictionaries of whole windows of two to four words 0.65, the same refined in rounds on the
+windows that the other half's dictionaries mark 0.52 to 0.61, trained on windows that hold
+forms of a high likelihood ratio 0.66 to 0.81. With several words a window, differences
+elsewhere in it hide the few bytes that a single hostile word saves.
 
 Null and empty texts have no windows and get the calibrated score of a document without
 evidence. Without labels of both classes every score is the share of toxic labels (0.0
@@ -39,7 +44,7 @@ OUTER = b".,!?;:%&$*#|\"'()[]{}"
 TRAIN_ROWS = {1: 2000, 0: 6000}
 MAX_ENTRIES, MAX_COMMON, ORDINARY_BYTES = 400, 4000, 9000
 #: An entry's share in toxic documents over its share in ordinary ones, and its least weight.
-MIN_RATIO, MIN_WEIGHT, REL_WEIGHT = 25.0, 12.0, 0.02
+MIN_RATIO, MIN_WEIGHT = 25.0, 12.0
 CACHE = 300_000
 
 _cache: dict = {}
@@ -145,8 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> dict:
     ratio = (F.col("t") / nt) / ((F.col("o") + 0.5) / no)
     marked = seen.where((F.col("t") >= 3) & (ratio >= MIN_RATIO)).select("form", (F.col("t") * F.log(ratio)).alias("w")).orderBy(F.desc("w"), "form").limit(MAX_ENTRIES).collect()
     common = seen.where((F.col("o") > 0) & (ratio < MIN_RATIO) & (F.length("form") >= 6) & (F.substring("form", -1, 1) == F.lit(b"\n"))).orderBy(F.desc("o"), "form").limit(MAX_COMMON).collect()
-    least = max(MIN_WEIGHT, REL_WEIGHT * marked[0].w) if marked else 0.0
-    entries = [bytes(r.form) for r in marked if r.w >= least]
+    entries = [bytes(r.form) for r in marked if r.w >= MIN_WEIGHT]
     base = b"".join(bytes(r.form) for r in reversed(common))[-ORDINARY_BYTES:]
     base = base[len(base) % 3 :]
     dictionaries = (base + EDGE, base + _aligned(entries[::-1]) + EDGE)
