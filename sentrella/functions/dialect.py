@@ -6,6 +6,10 @@
 
 from __future__ import annotations
 
+from re import PatternError
+from re import _constants as _ops
+from re import _parser
+
 WORD, DIGIT, SPACE = r"\p{L}\p{N}_", r"\p{Nd}", r"\s\x1c-\x1f\x85\p{Z}"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
@@ -64,3 +68,40 @@ def whole(text: str) -> str:
 
 def any_whole(texts: list[str]) -> str:
     return rf"(?d)(?<![{WORD}])(?:{'|'.join(map(literal, texts))})(?![{WORD}])"
+
+
+#: Characters that fold to ASCII letters in case-blind matching, but not by lower-casing.
+FOLDED = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def _needed(parts) -> list[str] | None:
+    """Texts of which a match holds at least one: the longest there are."""
+    found, run = [], ""
+    for op, arg in [*parts, (None, None)]:
+        if op is _ops.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        if op is _ops.SUBPATTERN:
+            found.append(_needed(arg[-1]))
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and arg[0] >= 1:
+            found.append(_needed(arg[2]))
+        elif op is _ops.BRANCH:
+            each = [_needed(a) for a in arg[1]]
+            found.append(sum(each, []) if all(each) else None)
+    found = [f for f in found if f and min(map(len, f)) >= 3 and len(f) <= 24]
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Lower-case texts of which any text that the pattern matches holds one, as far as
+    lower-casing (after FOLDED) shows; None where the pattern asks for none."""
+    try:
+        found = _needed(_parser.parse(pattern))
+    except PatternError:  # a pattern of Java's dialect alone
+        return None
+    if not found or not all(f.isascii() for f in found):
+        return None
+    return sorted({f.lower() for f in found})

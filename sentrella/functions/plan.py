@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,15 +19,26 @@ def fence(df: DataFrame, *before: str) -> DataFrame:
     return df.select(*before, F.inline(F.array(F.struct(*made))))
 
 
+_scratch: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, the warehouse of a
+    cluster, or a temporary folder where driver and executors are one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        _scratch[app] = tempfile.mkdtemp(prefix="sentrella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return _scratch[app]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to ``spark.checkpoint.dir`` (a temporary folder where that is unset)
-    and read again: a later plan that uses them several times holds a scan for each use instead
-    of the whole chain."""
+    """The same rows, written to the shared folder and read again: a later plan that uses them
+    several times holds a scan for each use instead of the whole chain."""
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="sentrella-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/sentrella-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sentrella-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

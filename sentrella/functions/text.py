@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from sentrella.functions import fixed
 from sentrella.functions.dialect import any_whole, java, literal, whole
 
-ASCII = "^[\\x00-\\x7F]*$"
+ASCII = "\\A[\\x00-\\x7F]*\\z"
 SPACES = java(r"\s+")
 
 
@@ -27,8 +27,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; ASCII texts, which it leaves alone, stay in the JVM's result."""
-    return _nfkc(text)
+    """Unicode compatibility composition. It leaves ASCII texts alone, so they stay in the JVM
+    and Python gets a null in their place."""
+    return F.coalesce(_nfkc(F.when(~text.rlike(ASCII), text)), text)
 
 
 def squeeze(text: Column) -> Column:
@@ -68,11 +69,11 @@ def _log(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def typos(text: Column) -> Column:
-    return _chain(text, fixed.pairs(fixed.TYPOS))
+    return _chain(text, fixed.TYPOS)
 
 
 def phrases(text: Column) -> Column:
-    return _chain(text, fixed.pairs(fixed.PHRASES))
+    return _chain(text, fixed.PHRASES)
 
 
 def grammar(text: Column) -> Column:
@@ -80,11 +81,11 @@ def grammar(text: Column) -> Column:
 
 
 def typo_log(text: Column) -> Column:
-    return _log(text, fixed.pairs(fixed.TYPOS))
+    return _log(text, fixed.TYPOS)
 
 
 def phrase_log(text: Column) -> Column:
-    return _log(text, fixed.pairs(fixed.PHRASES))
+    return _log(text, fixed.PHRASES)
 
 
 def compact(text: Column) -> Column:
@@ -113,7 +114,7 @@ def policy_text(composed: Column) -> Column:
 
 def policy_expanded(text: Column) -> Column:
     """Plain substring replacements, in order, also inside words."""
-    pairs = fixed.pairs(fixed.POLICY_TYPOS)
+    pairs = fixed.POLICY_TYPOS
     changed = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
     return F.when(text.rlike("|".join(literal(a) for a, _ in pairs)), changed).otherwise(text)
 

@@ -16,12 +16,12 @@ MIN_PACKAGE, MAX_CUSTOM = 20, 200
 
 def builtin(spark: SparkSession) -> DataFrame:
     """The 92 built-in patterns; a catalogue is a small dimension by nature."""
-    return spark.createDataFrame([(*s, i) for i, s in enumerate(fixed.signatures())], COLUMNS)
+    return spark.createDataFrame([(*s, i) for i, s in enumerate(fixed.SIGNATURES)], COLUMNS)
 
 
 def hash_catalogue(spark: SparkSession) -> DataFrame:
     weight = fixed.SEVERITY_WEIGHTS
-    return spark.createDataFrame([(i, s, c, d, weight.get(s, fixed.UNKNOWN_HASH_WEIGHT)) for i, s, c, d in fixed.hashes()], "signature_id string, severity string, category string, digest string, weight int")
+    return spark.createDataFrame([(i, s, c, d, weight.get(s, fixed.UNKNOWN_HASH_WEIGHT)) for i, s, c, d in fixed.HASHES], "signature_id string, severity string, category string, digest string, weight int")
 
 
 def redos_risk(pattern: str) -> bool:

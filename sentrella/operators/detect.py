@@ -6,7 +6,6 @@ caller evaluate each distinct prompt once and join the result back.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,16 +13,19 @@ from pyspark.sql import functions as F
 
 from sentrella.functions import fixed
 from sentrella.functions import text as T
-from sentrella.functions.dialect import java, literal
+from sentrella.functions.dialect import FOLDED, java, literal, needed
 from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
 
 
+#: (id, severity, category, pattern) of each signature; a catalogue is configuration, of hundreds at most.
+Catalogue = tuple[tuple[str, str, str, str], ...]
+
+
 def normalised(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Adds raw_text, normalized, corrected, compact, policy_text and policy_compact.
 
-    Rows of ASCII text, which composition leaves alone, need no Python: the composed column
-    is only computed for a plan that has others (see ``compose``)."""
+    ASCII texts, which Unicode composition leaves alone, aren't sent to Python for it."""
     own = df.columns
     df = df.withColumn("raw_text", F.coalesce(prompt, F.lit("")))
     df = df.withColumn("composed", T.nfkc(F.col("raw_text")))
@@ -31,29 +33,33 @@ def normalised(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     df = df.withColumn("typo_free", T.typos(F.col("normalized")))
     df = df.withColumn("phrased", T.phrases(F.col("typo_free")))
     df = df.withColumns({"corrected": T.squeeze(T.grammar(F.col("phrased"))), "policy_text": T.policy_expanded(F.col("policy_plain"))})
-    df = df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text"))}).drop("policy_plain")
+    df = df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text")), "lowered": low(F.col("corrected"))}).drop("policy_plain")
     return fence(df, *own)
 
 
 # --- signatures ------------------------------------------------------------------
 
 
-def scan(text: Column, catalogue: list[tuple[str, str, str, str]] | None = None, anchored: bool = False) -> Column:
-    """Ids whose pattern occurs, in catalogue order. ``anchored`` keeps the unanchored
-    three-letter names from matching inside ordinary words."""
+def low(text: Column) -> Column:
+    """The form of a text in which the words that a pattern needs are looked for."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def scan(text: Column, lowered: Column, catalogue: Catalogue | None = None, plain: bool = True) -> Column:
+    """Ids whose pattern occurs, in catalogue order. A pattern is tried only where a word that
+    every match of it holds occurs (``plain``), which a text search settles far sooner."""
     named = []
-    for sid, _, _, pattern in catalogue or fixed.signatures():
-        p = java(pattern)
-        if anchored:
-            p = re.sub(r"\((\?:)?(DAN|AIM)\|", lambda m: f"({m[1] or ''}\\b{m[2]}\\b|", p)
-        named.append((sid, text.rlike(p)))
+    for sid, _, _, pattern in catalogue or fixed.SIGNATURES:
+        words = needed(pattern) if plain else None
+        found = text.rlike(java(pattern))
+        named.append((sid, T.contains_any(lowered, words) & found if words else found))
     return T.hits(named)
 
 
-def signature_weight(ids: Column, hash_ids: Column) -> Column:
+def signature_weight(ids: Column, hash_ids: Column, catalogue: Catalogue | None = None) -> Column:
     """The greatest weight among the matches."""
-    weight = {s: fixed.SEVERITY_WEIGHTS.get(severity, 0) for s, severity, _, _ in fixed.signatures()}
-    weight |= {s: fixed.SEVERITY_WEIGHTS.get(severity, fixed.UNKNOWN_HASH_WEIGHT) for s, severity, _, _ in fixed.hashes()}
+    weight = {s: fixed.SEVERITY_WEIGHTS.get(severity, 0) for s, severity, _, _ in catalogue or fixed.SIGNATURES}
+    weight |= {s: fixed.SEVERITY_WEIGHTS.get(severity, fixed.UNKNOWN_HASH_WEIGHT) for s, severity, _, _ in fixed.HASHES}
     by = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv])
     of = F.transform(F.concat(ids, hash_ids), lambda x: F.coalesce(F.try_element_at(by, x), F.lit(fixed.UNKNOWN_HASH_WEIGHT)))
     return F.coalesce(F.array_max(of), F.lit(0))
@@ -61,7 +67,7 @@ def signature_weight(ids: Column, hash_ids: Column) -> Column:
 
 def hash_ids(raw: Column) -> Column:
     """The id of the raw text's digest, or else of the trimmed lower-cased text's: at most one."""
-    known = F.create_map(*[F.lit(x) for i, _, _, d in fixed.hashes() for x in (d, i)])
+    known = F.create_map(*[F.lit(x) for i, _, _, d in fixed.HASHES for x in (d, i)])
     found = F.coalesce(F.try_element_at(known, F.sha2(raw, 256)), F.try_element_at(known, F.sha2(F.lower(F.trim(raw)), 256)))
     return F.filter(F.array(found), lambda x: x.isNotNull())
 
@@ -72,7 +78,7 @@ def hash_ids(raw: Column) -> Column:
 def term_hits(name: str, text: Column, compact: Column) -> Column:
     """Listed terms found as whole words or, for terms of several words, without their spaces."""
     found = []
-    for t in fixed.terms(name):
+    for t in fixed.TERMS[name]:
         # The plain search is cheap and settles nearly every text.
         c = F.contains(text, F.lit(t)) & text.rlike(java(rf"\b{literal(t)}\b"))
         if " " in t:
@@ -125,7 +131,7 @@ def policy(df: DataFrame) -> DataFrame:
     """Adds policy_rules, policy_terms, policy_signals, policy_score, policy_critical,
     safe_intent, policy_decision, policy_recommendation, policy_state and policy_bucket."""
     text, compact = F.col("policy_text"), F.col("policy_compact")
-    df = df.withColumns({f"hit_{n}": T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.terms(n)]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS})
+    df = df.withColumns({f"hit_{n}": T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.TERMS[n]]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS})
     df = fence(df, *[c for c in df.columns if not c.startswith("hit_")])
     safe = T.contains_any(text, fixed.SAFE_PHRASES) | reduce(lambda a, b: a | b, [text.rlike(java(p)) for p in fixed.SAFE_PATTERNS])
     df = df.withColumn("safe_intent", safe | ((F.size("hit_safe") > 0) & (F.size("hit_extraction") == 0)))
@@ -160,7 +166,12 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     An unauthentic session adds one point to a positive score and a signal, after the
     recommendation was made."""
     text = F.lower("corrected")
-    groups = [(g, reduce(lambda a, b: a | b, [text.rlike(java(p)) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
+
+    def occurs(p: str) -> Column:
+        words = needed(p)
+        return T.contains_any(F.col("lowered"), words) & text.rlike(java(p)) if words else text.rlike(java(p))
+
+    groups = [(g, reduce(lambda a, b: a | b, [occurs(p) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
     words = F.split(F.trim(text), java(r"\s+"))
     combos = [(s, F.size(F.array_except(F.array(*[F.lit(w) for w in ws.split()]), words)) == 0) for ws, _, s in fixed.RISK_COMBOS]
     df = df.withColumns({"risk_intents": T.hits(groups), "combo_hits": T.hits(combos)})
@@ -178,18 +189,26 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     }).drop("combo_hits", "risk_base")
 
 
-def detect(prompts: DataFrame, prompt: str = "prompt", anchored: bool = False) -> DataFrame:
-    """All stateless results for each prompt, with its own columns kept."""
+def detailed(ids: Column, catalogue: Catalogue | None = None) -> Column:
+    """The matches as (id, severity, category), in their order."""
+    of = {s: (severity, category) for s, severity, category, _ in (*(catalogue or fixed.SIGNATURES), *fixed.HASHES)}
+    severity, category = (F.create_map(*[F.lit(x) for s, v in of.items() for x in (s, v[i])]) for i in (0, 1))
+    return F.transform(ids, lambda x: F.struct(x.alias("id"), F.try_element_at(severity, x).alias("severity"), F.try_element_at(category, x).alias("category")))
+
+
+def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | None = None) -> DataFrame:
+    """All stateless results for each prompt, with its own columns kept. ``catalogue`` replaces
+    the built-in signatures (see ``catalogue.in_use``)."""
     df = normalised(prompts, prompt)
     # Three forms of the text, in this order; equal ones are scanned once.
-    variants = F.array_distinct(F.array("corrected", "normalized", "raw_text"))
-    found = F.array_distinct(F.flatten(F.transform(variants, lambda t: scan(t, anchored=anchored))))
+    variants = F.array_distinct(F.array(*[F.struct(F.col(c).alias("text"), low(F.col(c)).alias("low")) for c in ("corrected", "normalized", "raw_text")]))
+    found = F.array_distinct(F.flatten(F.transform(variants, lambda t: scan(t["text"], t["low"], catalogue))))
     df = df.withColumns({"signature_matches": found, "hash_matches": hash_ids(F.col("raw_text"))})
     df = fence(df, *[c for c in df.columns if c not in ("signature_matches", "hash_matches")])
     df = risk(policy(df), F.col("session_authentic") if "session_authentic" in prompts.columns else None)
     df = df.withColumns({
         "matched_signatures": F.array_distinct(F.concat("signature_matches", "hash_matches")),
-        "signature_score": signature_weight(F.col("signature_matches"), F.col("hash_matches")),
+        "signature_score": signature_weight(F.col("signature_matches"), F.col("hash_matches"), catalogue),
     })
     best = F.greatest("policy_score", "risk_score", "signature_score")
     return df.withColumns({
@@ -197,7 +216,7 @@ def detect(prompts: DataFrame, prompt: str = "prompt", anchored: bool = False) -
         "best_score": best, "best_bucket": ladder(best, [(8, "high"), (4, "medium")], "low"),
         "signals": F.array_sort(F.array_distinct(F.concat("policy_signals", "risk_signals"))),
         "session_input": F.greatest("risk_score", "policy_score"),
-    })
+    }).drop("lowered")
 
 
 def detect_distinct(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:

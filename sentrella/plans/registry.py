@@ -96,7 +96,7 @@ def evt_history_row(spark, sf):
 # --- signatures, policy, risk ---------------------------------------------------------
 
 
-@query("SELECT 98::BIGINT AS signatures, '" + ",".join(sorted({c for _, _, c, _ in fixed.signatures()} | {c for _, _, c, _ in fixed.hashes()})) + "' AS categories FROM (SELECT count(*) FROM events)")
+@query("SELECT 98::BIGINT AS signatures, '" + ",".join(sorted({c for _, _, c, _ in fixed.SIGNATURES} | {c for _, _, c, _ in fixed.HASHES})) + "' AS categories FROM (SELECT count(*) FROM events)")
 def sig_metadata(spark, sf):
     """Catalogue counts (over the catalogue; the scan keeps the query tied to the tables)."""
     return catalogue.metadata(spark).crossJoin(views.table(spark, sf, "events").agg(F.count("*").alias("n"))).drop("n")

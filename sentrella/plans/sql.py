@@ -44,7 +44,7 @@ def chain(col: str, pairs) -> str:
 
 def term_hits(name: str) -> str:
     out = []
-    for t in fixed.terms(name):
+    for t in fixed.TERMS[name]:
         c = f"contains(policy_text, {q(t)})" if name == "multilingual" else rx("policy_text", rf"\b{literal(t)}\b")
         if " " in t and name != "multilingual":
             c = f"({c} OR contains(policy_compact, {q(t.replace(' ', ''))}))"
@@ -89,9 +89,9 @@ def policy_rules() -> list[tuple[str, str, bool, int, str]]:
 
 def tier1(terminate: bool = True) -> str:
     """CTEs evt, texts, scanned, ruled, judged (stateless) and folded (with session state)."""
-    sig = hits([(i, rx("T", p)) for i, _, _, p in fixed.signatures()])
+    sig = hits([(i, rx("T", p)) for i, _, _, p in fixed.SIGNATURES])
     scan = lambda col: sig.replace("regexp_matches(T,", f"regexp_matches({col},")
-    weights = {i: fixed.SEVERITY_WEIGHTS[s] for i, s, _, _ in fixed.signatures()}
+    weights = {i: fixed.SEVERITY_WEIGHTS[s] for i, s, _, _ in fixed.SIGNATURES}
     by_weight: dict[int, list[str]] = {}
     for i, w in weights.items():
         by_weight.setdefault(w, []).append(q(i))
@@ -104,11 +104,11 @@ def tier1(terminate: bool = True) -> str:
     combos = hits([(s, f"list_has_all(words, [{', '.join(q(w) for w in ws.split())}])") for ws, _, s in fixed.RISK_COMBOS])
     base = " + ".join([f"CASE WHEN list_contains(intents, {q(g)}) THEN {w} ELSE 0 END" for g, (w, _) in fixed.RISK_GROUPS.items()] + [f"CASE WHEN list_contains(combos, {q(s)}) THEN {p} ELSE 0 END" for _, p, s in fixed.RISK_COMBOS])
     expanded = "plain_text"
-    for a, b in fixed.pairs(fixed.POLICY_TYPOS):
+    for a, b in fixed.POLICY_TYPOS:
         expanded = f"replace({expanded}, {q(a)}, {q(b)})"
     basic = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_/\\]+', ' ', 'g'), '[^\w\s''""-]', ' ', 'g')").replace('""', '"')
     plain = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_\-/\\]+', ' ', 'g'), '[^\w\s''-]', ' ', 'g')")
-    corrected = SQUEEZE.format(chain("normalized", fixed.pairs(fixed.TYPOS) + fixed.pairs(fixed.PHRASES) + list(fixed.GRAMMAR)))
+    corrected = SQUEEZE.format(chain("normalized", fixed.TYPOS + fixed.PHRASES + fixed.GRAMMAR))
     block = "(policy_critical OR policy_score >= 8)"
     decayed = "f.score * CASE WHEN s.epoch - f.epoch <= 0 THEN 1 ELSE greatest(0.25, least(1.0, pow(0.5, (s.epoch - f.epoch) / 900.0))) END"
     raw = f"least(20.0, {decayed} + s.session_input + least(3, len(list_intersect(s.intents, f.seen_intents))) + CASE WHEN f.seen >= 2 AND s.session_input >= 4 THEN 1 ELSE 0 END)"
