@@ -75,7 +75,7 @@ def nrm_change_log(spark, sf):
 
 @query(EVT + r"""SELECT DISTINCT prompt, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g'), ' ') AS plain, sha256(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g'), ' ')) AS prompt_hash,
   trim(regexp_replace(regexp_replace(regexp_replace(lower(prompt), '\d+', ' # ', 'g'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS skeleton,
-  array_to_string(regexp_extract_all(regexp_replace(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g'), ' '), '\b\d+(?:\.\d+)?\b', '<num>', 'g'), '[a-z0-9_<>'']+'), ' ') AS structure,
+  """ + Q.structure() + r""" AS structure,
   coalesce(array_to_string(list_transform(regexp_extract_all(prompt, '\d+'), lambda x: x::DOUBLE::BIGINT::VARCHAR), ','), '') AS numbers,
   len(regexp_extract_all(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g'), ' '), '[a-z0-9_'']+'))::INT AS tokens, greatest(1, length(trim(regexp_replace(lower(prompt), '\s+', ' ', 'g'), ' ')) - 3)::INT AS grams FROM evt""")
 def nrm_shapes(spark, sf):
@@ -483,7 +483,7 @@ def qry_reviewed_top12(spark, sf):
 MINUTES = 1440
 REC = f"""{VERDICTS}, rec AS (SELECT evt.*, {_category_sql('prompt')} AS c0 FROM evt JOIN verdicts USING (prompt_id)),
 records AS MATERIALIZED (SELECT * EXCLUDE (c0), CASE WHEN c0 <> 'safe' THEN c0 ELSE 'unknown' END AS category, 0.0::DOUBLE AS record_risk, epoch - epoch % {MINUTES * 60} AS window_start, sha256(trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g'), ' ')) AS prompt_hash,
-  array_to_string(regexp_extract_all(regexp_replace(trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g'), ' '), '\\b\\d+(?:\\.\\d+)?\\b', '<num>', 'g'), '[a-z0-9_<>'']+'), ' ') AS structure FROM rec),
+  {Q.structure()} AS structure FROM rec),
 risks AS (SELECT DISTINCT session_id, (user_id * 37 % 160)::DOUBLE AS current, {Q.ladder('(user_id * 37 % 160)', [(120, 'kill_candidate'), (80, 'high_risk'), (40, 'watch')], 'active')} AS status, (user_id % 4)::INT AS again FROM evt)"""
 MEMBERS = f"""members AS MATERIALIZED (
   SELECT 'exact_hash' AS method, prompt_hash AS group_key, * FROM records WHERE (window_start, prompt_hash) IN (SELECT window_start, prompt_hash FROM records GROUP BY ALL HAVING count(DISTINCT session_id) >= 3)

@@ -36,6 +36,16 @@ SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'), ' ')"
 LEET = "translate(lower(prompt), '" + fixed.LEET_FROM + "', '" + fixed.LEET_TO + "')"
 
 
+def structure(prompt: str = "prompt") -> str:
+    """Links, addresses, ids, digests and numbers by their kind (RE2 has no back references, so
+    quotations aren't covered; the derived prompts hold none)."""
+    t = f"trim(regexp_replace(lower({prompt}), '\\s+', ' ', 'g'), ' ')"
+    steps = ((r"https?://\S+|www\.\S+", "<url>"), (r"\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b", "<email>"), (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<id>"), (r"\b[0-9a-f]{16,}\b", "<hash>"), (r"\b\d+(?:\.\d+)?\b", "<num>"))
+    for pattern, name in steps:
+        t = f"regexp_replace({t}, '{pattern}', '{name}', 'g')"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '[a-z0-9_<>'']+'), lambda x: CASE WHEN length(x) >= 24 AND regexp_matches(x, '[0-9]') THEN '<id>' ELSE x END), ' ')"
+
+
 def chain(col: str, pairs) -> str:
     for a, b in pairs:
         col = f"regexp_replace({col}, {q(chr(92) + 'b' + literal(a) + chr(92) + 'b')}, {q(b)}, 'g')"
