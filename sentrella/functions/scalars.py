@@ -150,8 +150,10 @@ def harvest_text(bodies: pd.Series) -> pd.DataFrame:
 
 
 def derived_session(account: Column, request: Column, body: Column) -> Column:
-    """A stable id of a request without one; the body's text counts as it came."""
-    seed = F.to_json(F.struct(F.coalesce(account, F.lit("")).alias("account"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(request, F.lit("")).alias("request_id")))
+    """A stable id of a request without one: a digest of its parts as JSON with sorted keys and a
+    space after each separator. The body's text counts as it came."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), "(?s)^.{5}(.*).$", 1)
+    seed = F.concat(F.lit('{"account": '), quoted(account), F.lit(', "body": '), quoted(body), F.lit(', "request_id": '), quoted(request), F.lit("}"))
     return F.concat(F.lit("derived-"), F.substring(F.sha2(seed, 256), 1, 32))
 
 

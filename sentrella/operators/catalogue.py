@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 from sentrella.functions import fixed
 
 COLUMNS = "signature_id string, severity string, category string, pattern string, ord int"
-MIN_PACKAGE, MAX_CUSTOM = 20, 200
+MIN_PACKAGE, MAX_CUSTOM, MAX_ENTRIES = 20, 200, 5000
 
 
 def builtin(spark: SparkSession) -> DataFrame:
@@ -116,7 +116,22 @@ def refreshed(current: DataFrame, candidate: DataFrame) -> DataFrame:
     return candidate if candidate.count() >= current.count() else current
 
 
-def metadata(spark: SparkSession) -> DataFrame:
-    """Number of entries and the distinct categories of patterns and hashes together."""
-    both = builtin(spark).select("category").unionByName(hash_catalogue(spark).select("category"))
-    return both.agg(F.count("*").alias("signatures"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+def in_use(spark: SparkSession, feed: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """The built-in signatures, then a checked feed's, then the operators' own; none is ever
+    replaced, and the result is never smaller than the built-in catalogue."""
+    base = builtin(spark)
+    return refreshed(base, append_only(base, *[p for p in (feed, own) if p is not None]))
+
+
+def compiled(entries: DataFrame) -> tuple[tuple[str, str, str, str], ...]:
+    """The entries for ``detect.scan``, in order. A catalogue is configuration: more than
+    MAX_ENTRIES is refused rather than cut."""
+    rows = entries.orderBy("rank", "ord").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a catalogue of more than {MAX_ENTRIES} entries")
+    return tuple((r.signature_id, r.severity, r.category, r.pattern) for r in rows)
+
+
+def metadata(entries: DataFrame) -> DataFrame:
+    """Number of entries of a catalogue and its distinct categories."""
+    return entries.agg(F.count("*").alias("signatures"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))

@@ -124,7 +124,9 @@ def simhash_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """Star neighbourhoods: every prompt within the distance of a base, once for equal neighbourhoods."""
-    rows = rows.withColumn("simhash", S.simhash(F.col("prompt")))
+    # Hashing costs Python: every distinct prompt is hashed once.
+    prints = written(rows.select("prompt").distinct().withColumn("simhash", S.simhash(F.col("prompt"))), "t3-prints")
+    rows = rows.join(prints, "prompt")
     pairs = simhash_pairs(rows)
     m = _members(rows.join(pairs.withColumnRenamed("other", "simhash"), ["scope_id", "window_start", "simhash"]).drop("simhash"), "simhash", F.col("base").cast("string")).drop("base")
     return _distinct_groups(_at_least(m, MIN_SESSIONS))

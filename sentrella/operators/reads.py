@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrella.functions import scalars as S
@@ -33,10 +33,10 @@ def recent_events(events: DataFrame, as_of: Column | int, hours: int, scope: str
 
 
 def sessions(registry: DataFrame, as_of: Column) -> DataFrame:
-    """Unexpired sessions by status, latest first inside each."""
+    """Unexpired sessions by status, latest first inside each (a range sort over all tasks)."""
     order = F.coalesce(F.nullif("last_evaluated_at", F.lit(0)), "created_at")
-    place = F.row_number().over(Window.partitionBy("status").orderBy(F.desc(order), "session_id"))
-    return registry.where(F.col("ttl") >= as_of).select("session_id", "source", "status", "last_decision", "last_risk_score", "last_evaluated_at", place.alias("place"))
+    found = registry.where(F.col("ttl") >= as_of).orderBy("status", F.desc(order), "session_id")
+    return found.select("session_id", "source", "status", "last_decision", "last_risk_score", "last_evaluated_at")
 
 
 def timeline(events: DataFrame, interval: str = "1h") -> DataFrame:
@@ -111,12 +111,13 @@ def latest_reviewed(scored: DataFrame, top: int = 12) -> DataFrame:
     return scored.where("path = 'scored'").orderBy(F.desc("epoch"), F.desc("prompt_id")).limit(top)
 
 
-def ledger(judged: DataFrame) -> DataFrame:
-    """One evaluation row for each prompt: what was expected, done and predicted."""
+def ledger(judged: DataFrame, would: Column | None = None) -> DataFrame:
+    """One evaluation row for each prompt: what was expected, done and predicted. ``would``
+    tells where a shadow policy would have ended the session."""
     block = F.col("decision") == "block"
     rows = judged.where(~F.coalesce("refused", F.lit(False))).select(
         "scope_id", "source", "session_id", "prompt_id", F.lit("tier1").alias("tier"), F.col("epoch").alias("event_ts"), F.lit("production").alias("run_id"), F.coalesce("expected_label", F.lit("unknown")).alias("expected_label"),
-        F.when(block, "blocked").otherwise("allowed").alias("actual_action"), F.when(block, "block").otherwise("pass").alias("predicted_outcome"), F.lit(False).alias("would_have_killed"),
+        F.when(block, "blocked").otherwise("allowed").alias("actual_action"), F.when(block, "block").otherwise("pass").alias("predicted_outcome"), F.coalesce(F.lit(False) if would is None else would, F.lit(False)).alias("would_have_killed"),
     )
     return rows.withColumns({
         "result_actual": S.outcome(F.col("expected_label"), F.col("actual_action"), F.col("predicted_outcome")),
@@ -178,6 +179,60 @@ def feed(events: DataFrame, scored: DataFrame, found: DataFrame) -> DataFrame:
     return e.unionByName(one).unionByName(two).unionByName(three)
 
 
+def findings_as_events(found: DataFrame) -> DataFrame:
+    """Cross-session findings in the shape of audit events."""
+    return found.select(
+        F.concat_ws("#", F.lit("tier3"), "method", F.col("window_start").cast("string"), "group_key").alias("event_id"), F.col("window_start").alias("event_ts"), F.lit(None).cast("string").alias("session_id"), "scope_id", F.lit("").alias("source"),
+        F.lit("grouped").alias("decision"), F.array("group_category").alias("matched_signatures"), F.col("group_score").cast("int").alias("risk_score"), F.array().cast(NONE).alias("attack_intents"), F.array().cast(NONE).alias("matched_policy_rules"), F.lit("tier3").alias("provenance"),
+    )
+
+
+def by_provenance(events: DataFrame, provenance: str) -> DataFrame:
+    """Events of one origin, latest first."""
+    return events.where(F.col("provenance") == provenance).orderBy(F.desc("event_ts"), "event_id")
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """Six views of the events in one table (view, name, n): totals, decisions, sources,
+    severities, rules and hours."""
+    one = lambda view, name: events.groupBy(F.lit(view).alias("view"), name.alias("name")).agg(F.count("*").alias("n"))
+    rules = events.select(F.explode("matched_policy_rules").alias("r")).groupBy(F.lit("rule").alias("view"), F.col("r").alias("name")).agg(F.count("*").alias("n"))
+    hour = (F.col("event_ts") - F.col("event_ts") % 3600).cast("string")
+    parts = [one("total", F.lit("all")), one("decision", F.col("decision")), one("source", F.col("source")), one("severity", S.ui_severity(F.col("risk_score"))), one("hour", hour)]
+    for p in parts:
+        rules = rules.unionByName(p)
+    return rules
+
+
+# --- messages and alerts -----------------------------------------------------------
+
+MESSAGE = "struct<prompt:string,session_id:string,scope_id:string,source:string,decision:string,timestamp:bigint,prompt_id:string>"
+
+
+def messages(judged: DataFrame) -> DataFrame:
+    """The queue message of each prompt, and whether it can be published: one without a prompt
+    or a session isn't."""
+    body = F.to_json(F.struct("prompt", "session_id", "scope_id", "source", "decision", F.col("epoch").alias("timestamp"), "prompt_id"))
+    return judged.select("prompt_id", body.alias("message"), (F.coalesce(F.trim("prompt"), F.lit("")) != "").__and__(F.coalesce("session_id", F.lit("")) != "").alias("published"))
+
+
+CHANNELS = ("notification", "finding")
+
+
+def alerts(blocked: DataFrame, kill_outcome: Column) -> DataFrame:
+    """Each blocked prompt once for each channel, with its severity and subject. A row without a
+    session can't be delivered: it is marked failed, and the rest of the batch goes on."""
+    return blocked.select(
+        "prompt_id", "session_id", F.explode(F.array(*[F.lit(c) for c in CHANNELS])).alias("channel"), S.alert_severity(F.col("best_score")).alias("severity"),
+        S.alert_subject(kill_outcome, F.coalesce("session_id", F.lit(""))).alias("subject"), (F.coalesce("session_id", F.lit("")) == "").alias("failed"),
+    )
+
+
+def health(rows: DataFrame, component: Column, reason: Column) -> DataFrame:
+    """Degraded-service counts by component and reason; rows without a reason are sound."""
+    return rows.select(component.alias("component"), reason.alias("reason")).where("reason is not null").groupBy("component", "reason").agg(F.count("*").alias("degraded"))
+
+
 # --- policies --------------------------------------------------------------------
 
 #: Stored fields, their kinds and defaults.
@@ -247,9 +302,4 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def tally(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.count_if(F.col("path") == "scored").alias("processed"), F.count_if("kill").alias("blocked"), F.count_if(F.col("path") != "scored").alias("skipped"), F.lit(0).cast("bigint").alias("errors"))
-
-
-def degraded(health: SparkSession, component: str, reason: str) -> DataFrame:
-    """A health record, as rows of a metrics table."""
-    return health.createDataFrame([(component, reason, 1)], "component string, reason string, degraded int")
+    return scored.agg(F.count_if(F.col("path") == "scored").alias("processed"), F.count_if("kill").alias("blocked"), F.count_if(F.col("path") != "scored").alias("skipped"), F.count_if(F.col("error").isNotNull()).alias("errors") if "error" in scored.columns else F.lit(0).cast("bigint").alias("errors"))

@@ -45,8 +45,9 @@ def as_of(df, column="event_ts"):
     return df.agg(F.max(column).alias("as_of"))
 
 
-def since(df, hours, column="event_ts"):
-    now = as_of(df, column)
+def since(df, hours, column="event_ts", clock=None):
+    """Rows of the last hours; ``clock`` is a cheaper table that holds the newest time."""
+    now = (df if clock is None else clock).agg(F.max(column if clock is None else "epoch").alias("as_of"))
     return df.crossJoin(F.broadcast(now)).where(F.col(column) >= F.col("as_of") - hours * 3600).drop("as_of")  # one row on the right
 
 
@@ -96,12 +97,6 @@ def evt_history_row(spark, sf):
 # --- signatures, policy, risk ---------------------------------------------------------
 
 
-@query("SELECT 98::BIGINT AS signatures, '" + ",".join(sorted({c for _, _, c, _ in fixed.SIGNATURES} | {c for _, _, c, _ in fixed.HASHES})) + "' AS categories FROM (SELECT count(*) FROM events)")
-def sig_metadata(spark, sf):
-    """Catalogue counts (over the catalogue; the scan keeps the query tied to the tables)."""
-    return catalogue.metadata(spark).crossJoin(views.table(spark, sf, "events").agg(F.count("*").alias("n"))).drop("n")
-
-
 @query(J(f"SELECT prompt, {L('sigs')} AS signatures, signature_score FROM scanned"))
 def sig_scan(spark, sf):
     d = detect.detect(evt(spark, sf).select("prompt").distinct())
@@ -181,7 +176,7 @@ def snk_registry(spark, sf):
     return sessions.last_state(judged(spark, sf)).drop("intent_counts", "last_matched_signatures")
 
 
-@query(J(f", {REGISTRY} SELECT session_id, source, status, last_decision, last_risk_score, last_evaluated_at, row_number() OVER (PARTITION BY status ORDER BY last_evaluated_at DESC, session_id) AS place FROM registry WHERE ttl >= (SELECT max(epoch) - 7 * 86400 FROM evt)", False))
+@query(J(f", {REGISTRY} SELECT session_id, source, status, last_decision, last_risk_score, last_evaluated_at FROM registry WHERE ttl >= (SELECT max(epoch) - 7 * 86400 FROM evt)", False))
 def qry_sessions(spark, sf):
     """Sessions unexpired a week before the newest event."""
     j = judged(spark, sf, False)
@@ -229,9 +224,9 @@ def qry_kpis(spark, sf):
     return reads.kpis(events(spark, sf))
 
 
-@query(J(f"SELECT event_id, session_id, decision, {L('sigs')} AS signatures, risk_score, {L('intents')} AS intents, {L('rules')} AS rules FROM events_ WHERE event_ts >= (SELECT max(event_ts) FROM events_) - 72 * 3600"))
+@query(J(f"SELECT event_id, session_id, decision, {L('sigs')} AS signatures, risk_score, {L('intents')} AS intents, {L('rules')} AS rules FROM events_ WHERE event_ts >= (SELECT max(epoch) FROM evt) - 72 * 3600"))
 def qry_events_72h(spark, sf):
-    e = since(events(spark, sf), 72)
+    e = since(events(spark, sf), 72, clock=evt(spark, sf))
     return e.select("event_id", "session_id", "decision", joined("matched_signatures").alias("signatures"), "risk_score", joined("attack_intents").alias("intents"), joined("matched_policy_rules").alias("rules"))
 
 
@@ -623,3 +618,6 @@ def qry_feed(spark, sf):
 def qry_session_summary(spark, sf):
     j = judged(spark, sf, False)
     return j.groupBy("session_id").agg(F.max_by("prompt_id", F.struct("epoch", "prompt_id")).alias("last_prompt"), F.count_if(F.col("decision") == "block").alias("blocks"), F.count_distinct("prompt").alias("distinct_prompts"))
+
+
+from sentrella.plans import control  # noqa: E402, F401  (adds its queries)

@@ -89,3 +89,13 @@ def mcp_body(body):
     """The JSON of a reply that comes plain or as the data line of an event stream."""
     data = F.regexp_extract(body, r"(?m)^data:\s*(.+)$", 1)
     return F.when(data != "", data).otherwise(body)
+
+
+def checked(raw: DataFrame, column: str = "record", keep: list[str] | None = None) -> DataFrame:
+    """Every record as a prompt message or, where it can't be read, as a row of its own with the
+    reason and a safe verdict: one bad record doesn't stop the others."""
+    p = F.from_json(column, PROMPT)
+    rows = raw.select(*(keep or [column]), p.alias("p")).select(*(keep or [column]), "p.*")
+    empty = F.coalesce(F.trim("prompt"), F.lit("")) == ""
+    error = F.when(F.col("session_id").isNull() & F.col("prompt").isNull(), "unreadable record").when(empty, "no prompt").when(F.coalesce("session_id", F.lit("")) == "", "no session")
+    return rows.withColumn("error", error).withColumn("verdict", F.when(F.col("error").isNotNull(), "safe"))

@@ -19,9 +19,9 @@ from sentrella.sources import records, views
 
 
 def test_catalogue_counts_and_safety():
-    sigs = fixed.signatures()
-    assert len(sigs) == 92 and len({s[0] for s in sigs}) == 92 and len(fixed.hashes()) == 6
-    assert len(fixed.pairs(fixed.TYPOS)) == 103 and len(fixed.pairs(fixed.PHRASES)) == 13
+    sigs = fixed.SIGNATURES
+    assert len(sigs) == 92 and len({s[0] for s in sigs}) == 92 and len(fixed.HASHES) == 6
+    assert len(fixed.TYPOS) == 103 and len(fixed.PHRASES) == 13
     for _, _, _, p in sigs:
         assert not catalogue.redos_risk(p)
         re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), p))
