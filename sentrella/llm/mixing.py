@@ -17,8 +17,8 @@ the expected weight of every cell is its fitted one, with no ratio cut. The draw
 document is the first 48 bits of the MD5 of its doc_id's decimal text over 2^48, so it
 doesn't depend on partitions; rows of one doc_id share their draw, and a null doc_id draws 0.
 
-Everything is DataFrame code. Documents are read through the topic's rule once, into a table
-in the shared folder. Rows are summed to cells in the map tasks before any shuffle, so hot
+Everything is DataFrame code. The topic's rule is plain text searches, so reading the documents
+twice, for the cells and for the sample, costs less than a copy of them. Rows are summed to cells in the map tasks before any shuffle, so hot
 sources cost one row for each task; the sweeps touch the cell table only and each is written
 to the shared folder. The cell table isn't hinted: Spark broadcasts it only below its size
 threshold, and otherwise splits skewed join partitions.
@@ -113,7 +113,7 @@ def ratios(rows: DataFrame, targets: Mapping[str, float | Mapping[str, float]] =
 
 def sample(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS) -> DataFrame:
     """The documents, with all their columns, each as often as its cell's ratio asks."""
-    rows = ratios(saved(with_cells(docs), "mix-rows"), targets)
+    rows = ratios(with_cells(docs), targets)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 

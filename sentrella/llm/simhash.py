@@ -67,10 +67,10 @@ def _fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
 
-def _row_fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keyed_fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         fps = np.array([fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "text_key": pdf["text_key"], "fp": fps.view(np.int64)})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "fp": fps.view(np.int64)})
 
 
 class Golay:
@@ -189,17 +189,29 @@ def groups(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: of the component's least doc_id (a null
     one only where it has no other), and among those the first by the text's hash."""
-    (row,) = fresh(docs.columns, "row")
-    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(row).alias("row"), F.xxhash64("text").alias("text_key"))
-    prints = saved(keyed.mapInPandas(_row_fingerprints, "doc_id long, row long, text_key long, fp long"), "simhash-prints")
+    (key,) = fresh(docs.columns, "text_key")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _text_key(docs).alias("text_key"))
+    prints = saved(keyed.mapInPandas(_keyed_fingerprints, "doc_id long, text_key long, fp long"), "simhash-prints")
     found, total = roots(prints)
     found = saved(found.select("fp", "component", "n"), "simhash-components")
     own = join_evenly(prints, found.drop("n"), "fp", found.select("fp", "n"), total)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "row")
-    kept = saved(own.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "simhash-kept")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")
+    first = own.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("rows")).groupBy("component").agg(F.min(order).alias("first"))
+    kept = saved(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias(key), F.col("first.rows").alias("kept_rows")), "simhash-kept")
     discard(prints, found)
-    return rows.join(kept, row, "left_semi").drop(row)
+    rows = docs.withColumn(key, _text_key(docs))
+
+    def chosen(of: DataFrame) -> DataFrame:
+        # One row of each component grows with the input, so it isn't broadcast at any size.
+        return rows.join(of.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(of["kept_id"]) & (rows[key] == of[key]), "left_semi")
+
+    # Rows that repeat both id and text are settled apart: few are, so few are dealt anew.
+    once, often = chosen(kept.where("kept_rows = 1")), chosen(kept.where("kept_rows > 1"))
+    return once.unionByName(often.dropDuplicates(["doc_id", key])).drop(key)
+
+
+def _text_key(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ def test_words_of_a_class_share_its_probability(spark):
             unknown.append(w)
     assert len(classes) == s
     ask = [(1000 + i, w) for i, w in enumerate(["", *seen, *unknown])]
-    out = language_model.score(spark.createDataFrame(train + ask, "doc_id long, text string"), F.col("doc_id") < 1000).where("doc_id >= 1000").toPandas().set_index("doc_id")
+    out = language_model.score(spark.createDataFrame(train + ask, "doc_id long, text string"), F.col("doc_id") < 1000).where("doc_id >= 1000").toPandas().set_index("doc_id").sort_index()
     # P(w, end) over all w: sum over w of P(w) P(end | w) plus P(end) is below one, and P(end) alone known.
     assert (10 ** out.score).sum() < 1 and (out.score < 0).all() and (out.n_known == [1 if not w else 2 if w in seen else 1 for _, w in ask]).all()
 
