@@ -259,3 +259,85 @@ near AS (SELECT a.window_start, a.fp AS base, b.fp AS other FROM (SELECT DISTINC
 star AS (SELECT n.window_start, base, r.session_id, r.prompt_id FROM near n JOIN rows_ r ON r.window_start = n.window_start AND r.fp = n.other),
 sets AS (SELECT window_start, (CASE WHEN base >= 9223372036854775808::UBIGINT THEN base::HUGEINT - 18446744073709551616::HUGEINT ELSE base::HUGEINT END)::VARCHAR AS group_key, count(*) AS prompts, count(DISTINCT session_id) AS sessions, list(prompt_id ORDER BY prompt_id) AS ids FROM star GROUP BY ALL HAVING count(DISTINCT session_id) >= {correlate.MIN_SESSIONS})
 SELECT window_start, min(group_key) AS group_key, prompts, sessions FROM sets GROUP BY window_start, ids, prompts, sessions"""
+
+
+# --- the context stage in SQL ---------------------------------------------------------------------
+
+_RISKY = "('suspicious', 'high_risk', 'malicious')"
+_CENTS = "format('{{:.2f}}', {})::DOUBLE"
+
+
+def _progress_sql() -> str:
+    """Progressions through the last six turns: series of the numbers of turns of one shape."""
+    shape = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\d+', ' # ', 'g'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+    return f"""turned AS (SELECT prompt_id, unnest(h[-6:]) AS t, unnest(range(1, len(h[-6:]) + 1)) AS pos FROM hist),
+shaped AS (SELECT prompt_id, pos, {shape} AS shape, list_transform(regexp_extract_all(t, '\\d+'), lambda x: x::DOUBLE) AS nums FROM turned WHERE regexp_matches(t, '\\d')),
+series AS (SELECT prompt_id, min(pos) OVER (PARTITION BY prompt_id, shape) AS first_pos, shape, pos, count(*) OVER (PARTITION BY prompt_id, shape) AS n, min(len(nums)) OVER (PARTITION BY prompt_id, shape) AS wide, nums FROM shaped WHERE contains(shape, ' ')),
+points AS (SELECT prompt_id, first_pos, shape, pos, c, nums[c] AS v FROM series, range(1, 60) k(c) WHERE n >= 3 AND c <= wide),
+rises AS (SELECT *, v - lag(v) OVER w AS rise, first_value(v) OVER w AS v0 FROM points WINDOW w AS (PARTITION BY prompt_id, shape, c ORDER BY pos)),
+judged_series AS (SELECT prompt_id, first_pos, c, min(rise) > 0 AND max(rise) <= 10 AS enumerated, min(rise) > 0 AND any_value(v0) > 0 AND max(v) / any_value(v0) >= 4 AS escalated FROM rises GROUP BY prompt_id, shape, first_pos, c),
+progress AS (SELECT prompt_id, list(name ORDER BY place) AS names FROM (SELECT prompt_id, name, min(place) AS place FROM (
+  SELECT prompt_id, 'identifier_enumeration' AS name, first_pos * 1000 + c * 2 AS place FROM judged_series WHERE enumerated UNION ALL SELECT prompt_id, 'quantity_escalation', first_pos * 1000 + c * 2 + 1 FROM judged_series WHERE escalated) GROUP BY ALL) GROUP BY prompt_id)"""
+
+
+def _features_sql() -> str:
+    ctes = R._text_features_sql().split(f", {R.HIST}, ", 1)[1]
+    body, final = ctes.rsplit("\nSELECT prompt_id, pattern_behaviour", 1)
+    behaviours = Q.hits([(n, f"regexp_matches(text3, {Q.q('(?i)' + p)})") for _, n, p in fixed.BEHAVIOURS])
+    points = " + ".join(f"CASE WHEN list_contains(reasons, {Q.q(n)}) THEN {p} ELSE 0 END" for p, n in [*((p, n) for p, n, _ in fixed.BEHAVIOURS), (25, "identifier_enumeration"), (20, "quantity_escalation")])
+    risky = f"({Q.any_of('lower(prompt)', fixed.RISKY_CONTEXT)} OR " + Q.any_of("lower(array_to_string(h[-3:], ' '))", fixed.RISKY_CONTEXT) + ")"
+    capability = "(" + " OR ".join(f"regexp_matches(prompt, {Q.q('(?i)' + p)})" for p in fixed.CAPABILITY_PATTERNS) + ")"
+    return f"""{R.HIST}, {_progress_sql()}, {body}, tf AS (SELECT prompt_id, pattern_behaviour{final}),
+beh AS (SELECT prompt_id, reasons, least(100, {points})::DOUBLE AS behaviour_score, capability FROM (SELECT a.prompt_id, list_concat({behaviours}, coalesce(names, [])) AS reasons, {capability} AND NOT {risky} AND trim(prompt) <> '' AS capability FROM a LEFT JOIN progress USING (prompt_id)))"""
+
+
+R.SQL["t2_progressions"] = EVT.rstrip() + f", {_features_sql()} SELECT prompt_id, coalesce(array_to_string(reasons, ','), '') AS reasons, behaviour_score FROM beh"
+
+
+def _context_sql(enforcing: bool) -> str:
+    """The fold of the context stage as a recursion over the prompts of a session."""
+    attack = "upper(label) IN (" + ", ".join(map(Q.q, fixed.ATTACK_LABELS)) + ")"
+    cat = " ".join(f"WHEN {Q.q(k)} THEN {v}" for k, v in fixed.CATEGORY_SCORES.items())
+    obvious = ", ".join(map(Q.q, fixed.OBVIOUS_CATEGORIES))
+    chain = f"""CASE WHEN NOT current_ THEN 'model_label_not_malicious' WHEN confidence < 0.97 THEN 'confidence_below_threshold' WHEN safe AND NOT (confidence >= 0.99 AND category IN ('prompt_injection', 'jailbreak')) THEN 'safe_intent_gate_blocked'
+      WHEN (CASE WHEN score > 0 THEN score ELSE after_ END) < 90 THEN 'prompt_score_below_kill_threshold' WHEN category = 'generic_malicious' THEN 'generic_malicious_not_enough'
+      WHEN category IN ({obvious}) THEN CASE WHEN confidence >= 0.99 THEN 'kill_eligible_obvious_extreme_confidence' ELSE 'session_score_below_threshold' END
+      WHEN bad >= 2 OR confidence >= 0.99 OR after_ >= 120 THEN 'kill_eligible_repeated_or_session_score' ELSE 'repeated_evidence_required' END"""
+    shadow = "FALSE" if enforcing else "TRUE"
+    reason = chain if enforcing else "'global_kill_disabled'"
+    status = Q.ladder("after_", [(120, "kill_candidate"), (80, "high_risk"), (40, "watch")], "active")
+    return f""", {R.VERDICTS}, {_features_sql()},
+mi AS (SELECT prompt_id, array_to_string(list_transform(list_filter(list_transform(h, lambda x: trim(x)), lambda x: x <> '')[-5:], lambda x: '[USER] ' || x), ' ') AS ml_input FROM hist),
+said AS (SELECT prompt_id, CASE WHEN wrong THEN 'SAFE_CAPABILITY_QUESTION' ELSE label END AS label, CASE WHEN wrong THEN 1.0 - confidence ELSE confidence END::DOUBLE AS confidence FROM (SELECT v.*, {attack} AND confidence >= 0.85 AND capability AS wrong FROM verdicts v JOIN beh USING (prompt_id))),
+catd AS (SELECT prompt_id, label, confidence, {R._category_sql('ml_input')} AS category, ({R._MODEL})::DOUBLE AS model_score FROM said JOIN mi USING (prompt_id)),
+feat AS MATERIALIZED (SELECT f.session_id, f.prompt_id, f.epoch, f.prompt, f.decision = 'block' AS blocked, f.best_score, (CASE WHEN f.decision = 'block' THEN CASE WHEN f.best_score >= 12 THEN 95 WHEN f.best_score >= 8 THEN 80 ELSE 95 END ELSE 0 END)::DOUBLE AS regex_score,
+    c.label, c.confidence, c.category, c.model_score, (CASE c.category {cat} ELSE 0 END)::DOUBLE AS category_score, t.text_repetition, b.behaviour_score, t.escalation_score, t.discount, t.abuse_indicator, t.gate_category <> '' AND NOT t.abuse_indicator AS safe,
+    row_number() OVER (PARTITION BY f.session_id ORDER BY f.epoch, f.prompt_id) AS rn FROM folded f JOIN catd c USING (prompt_id) JOIN tf t USING (prompt_id) JOIN beh b USING (prompt_id)),
+ctx AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS rn, '' AS prompt_id, 0.0::DOUBLE AS state, 0::BIGINT AS since, FALSE AS ended, []::STRUCT(c VARCHAR, v VARCHAR, a VARCHAR)[] AS past, '' AS verdict, '' AS action, '' AS category, 0.0::DOUBLE AS score, 0.0::DOUBLE AS before_, 0 AS repeated, '' AS reason, '' AS would, '' AS event_type, FALSE AS kill, FALSE AS would_kill, FALSE AS was_blocked FROM feat
+  UNION ALL
+  SELECT session_id, rn, prompt_id, after_, epoch, ended OR kill, list_append(past, {{'c': category, 'v': verdict, 'a': act}})[-9:], verdict, act, category, score, before_r, repeated, reason, would,
+    CASE WHEN verdict = 'safe' AND NOT (kill OR hypo OR eligible) THEN '' WHEN blocked THEN 'layer1_block' WHEN kill THEN 'tier2_kill_allowed' WHEN {shadow} AND hypo THEN 'tier2_shadow_verdict' WHEN safe AND hypo THEN 'enforcement_skipped_safe_intent'
+      WHEN verdict = 'malicious' THEN 'tier2_kill_denied' WHEN verdict <> 'safe' THEN 'tier2_' || verdict ELSE 'tier2_detection' END, kill, hypo AND act0 = 'kill', blocked
+  FROM (SELECT *, act0 = 'kill' AND eligible AS kill, CASE WHEN act0 = 'kill' AND NOT eligible THEN 'raise_session_risk' ELSE act0 END AS act, CASE WHEN blocked THEN 1 ELSE len(list_filter(past, lambda x: x.v IN {_RISKY})) + (verdict IN {_RISKY})::INT END::INT AS repeated
+  FROM (SELECT *, starts_with(reason, 'kill_eligible') AS eligible, starts_with(would, 'kill_eligible') AS hypo
+  FROM (SELECT *, CASE WHEN blocked THEN 'layer1_already_blocked' ELSE {reason} END AS reason, CASE WHEN blocked THEN 'layer1_already_blocked' ELSE {chain} END AS would
+  FROM (SELECT *, {_CENTS.format("least(200.0, before0 + CASE verdict WHEN 'watch' THEN 5 WHEN 'suspicious' THEN 15 WHEN 'high_risk' THEN 30 WHEN 'malicious' THEN 50 ELSE 0 END)")} AS after_, {_CENTS.format('before0')} AS before_r,
+    NOT blocked AND {attack} AND confidence >= 0.85 AS current_, len(list_filter(past, lambda x: x.v = 'malicious' OR x.a = 'kill')) + (NOT blocked AND {attack} AND confidence >= 0.85)::INT AS bad
+  FROM (SELECT *, state * CASE WHEN NOT ended AND regex_score < 95 AND verdict NOT IN {_RISKY} AND since <> 0 THEN CASE WHEN epoch - since > 1800 THEN 0.5 WHEN epoch - since > 900 THEN 0.75 ELSE 1.0 END ELSE 1.0 END AS before0
+  FROM (SELECT *, CASE WHEN blocked THEN 'malicious' ELSE {Q.ladder('score', [(85, 'malicious'), (65, 'high_risk'), (40, 'suspicious'), (20, 'watch')], 'safe')} END AS verdict,
+    CASE WHEN blocked THEN 'raise_session_risk' ELSE {Q.ladder('score', [(85, 'kill'), (40, 'raise_session_risk'), (20, 'log_only')], 'allow')} END AS act0
+  FROM (SELECT * EXCLUDE (category), CASE WHEN blocked THEN 'layer1_block' ELSE category END AS category, CASE WHEN blocked THEN regex_score ELSE {_CENTS.format('CASE WHEN safe THEN least(19.0, s1) ELSE s1 END')} END AS score
+  FROM (SELECT *, CASE WHEN regex_score = 0 AND behaviour_score = 0 AND rep = 0 AND escalation_score = 0 AND NOT abuse_indicator THEN least(39.0, s0) ELSE s0 END AS s1
+  FROM (SELECT *, least(100.0, greatest(0.0, regex_score + behaviour_score + rep + escalation_score + model_score + category_score - discount)) AS s0
+  FROM (SELECT *, least(100.0, text_repetition + CASE WHEN category NOT IN ('safe', 'unknown', 'generic_malicious') THEN CASE WHEN seen >= 2 THEN 20 WHEN seen = 1 THEN 10 ELSE 0 END ELSE 0 END + CASE WHEN len(list_filter(past[-4:], lambda x: x.v = 'high_risk')) >= 2 THEN 20 ELSE 0 END) AS rep
+  FROM (SELECT c.past, c.state, c.since, c.ended, f.*, len(list_filter(c.past, lambda x: x.c = f.category AND x.v IN ('watch', 'suspicious', 'high_risk', 'malicious') AND x.c NOT IN ('', 'safe', 'unknown', 'tier2_disabled'))) AS seen
+    FROM ctx c JOIN feat f ON f.session_id = c.session_id AND f.rn = c.rn + 1)))))))))))),
+scored AS MATERIALIZED (SELECT x.prompt_id, x.session_id, CASE WHEN was_blocked THEN 'layer1_blocked' ELSE 'scored' END AS path, verdict, action, x.category, score AS prompt_score, before_ AS session_before, state AS session_after, CASE WHEN kill THEN 'terminated' ELSE {status.replace('after_', 'state')} END AS session_status,
+  repeated AS repeated_suspicious, reason, would AS would_reason, event_type, kill, would_kill, least(12, round_even(greatest(f.confidence * 100, state) / 100 * 12, 0))::INT AS enforcement_risk, f.epoch, f.prompt, CASE WHEN was_blocked THEN 'block' ELSE 'allow' END AS decision FROM ctx x JOIN feat f ON f.prompt_id = x.prompt_id)"""
+
+
+R.SQL["t2_scored"] = J(_context_sql(False) + " SELECT prompt_id, path, verdict, action, category, prompt_score, session_before, session_after, session_status, repeated_suspicious, reason, would_reason, event_type, enforcement_risk FROM scored", False)
+R.SQL["t2_enforced"] = J(_context_sql(True) + " SELECT prompt_id, verdict, action, kill, reason, session_status, event_type FROM scored", False)
+R.SQL["qry_evidence_top10"] = J(_context_sql(False) + " SELECT prompt_id, session_id, prompt, decision, verdict, epoch FROM scored WHERE decision = 'block' OR action = 'kill' OR verdict IN ('watch', 'suspicious', 'high_risk', 'malicious') ORDER BY epoch DESC, prompt_id DESC LIMIT 10", False)
+R.SQL["qry_reviewed_top12"] = J(_context_sql(False) + " SELECT prompt_id, session_id, verdict, prompt_score, epoch FROM scored WHERE path = 'scored' ORDER BY epoch DESC, prompt_id DESC LIMIT 12", False)
