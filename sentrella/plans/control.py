@@ -341,3 +341,9 @@ R.SQL["t2_scored"] = J(_context_sql(False) + " SELECT prompt_id, path, verdict,
 R.SQL["t2_enforced"] = J(_context_sql(True) + " SELECT prompt_id, verdict, action, kill, reason, session_status, event_type FROM scored", False)
 R.SQL["qry_evidence_top10"] = J(_context_sql(False) + " SELECT prompt_id, session_id, prompt, decision, verdict, epoch FROM scored WHERE decision = 'block' OR action = 'kill' OR verdict IN ('watch', 'suspicious', 'high_risk', 'malicious') ORDER BY epoch DESC, prompt_id DESC LIMIT 10", False)
 R.SQL["qry_reviewed_top12"] = J(_context_sql(False) + " SELECT prompt_id, session_id, verdict, prompt_score, epoch FROM scored WHERE path = 'scored' ORDER BY epoch DESC, prompt_id DESC LIMIT 12", False)
+R.SQL["t2_tally"] = J(_context_sql(False) + " SELECT count(*) FILTER (path = 'scored') AS processed, count(*) FILTER (kill) AS blocked, count(*) FILTER (path <> 'scored') AS skipped, 0::BIGINT AS errors, count(*) FILTER (kill) AS kills, count(*) FILTER (verdict IN ('watch', 'suspicious', 'high_risk')) AS raised, count(*) AS reviewed FROM scored", False)
+_T3_TAIL = R.T3[len(EVT.rstrip()) + len(f", {R.VERDICTS}") :]
+R.SQL["qry_feed"] = J(
+    _context_sql(False) + f"{_T3_TAIL}, {R.FOUND}, dd AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY window_start, cluster_key ORDER BY {R._RANK}, group_score DESC) = 1)"
+    " SELECT layer, category, count(*) AS n FROM (SELECT 'Detection Event' AS layer, coalesce(intents[1], 'uncategorized') AS category FROM events_ UNION ALL SELECT 'Layer 1', coalesce(intents[1], 'uncategorized') FROM events_ WHERE decision = 'block' OR len(sigs) > 0"
+    " UNION ALL SELECT 'Tier 2', category FROM scored UNION ALL SELECT 'Tier 3', cat FROM dd) GROUP BY ALL", False)
