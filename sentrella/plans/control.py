@@ -347,3 +347,27 @@ R.SQL["qry_feed"] = J(
     _context_sql(False) + f"{_T3_TAIL}, {R.FOUND}, dd AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY window_start, cluster_key ORDER BY {R._RANK}, group_score DESC) = 1)"
     " SELECT layer, category, count(*) AS n FROM (SELECT 'Detection Event' AS layer, coalesce(intents[1], 'uncategorized') AS category FROM events_ UNION ALL SELECT 'Layer 1', coalesce(intents[1], 'uncategorized') FROM events_ WHERE decision = 'block' OR len(sigs) > 0"
     " UNION ALL SELECT 'Tier 2', category FROM scored UNION ALL SELECT 'Tier 3', cat FROM dd) GROUP BY ALL", False)
+
+
+# --- records that carry the first stage's findings; clusters of vectors ----------------------------
+
+_HAS = lambda *ws: "len(list_filter(sigs, lambda s: " + " OR ".join(f"contains(s, {Q.q(w)})" for w in ws) + ")) > 0"
+_HINTED = "len(list_filter(sigs, lambda s: " + Q.any_of("lower(s)", fixed.CRITICAL_HINTS) + ")) > 0"
+
+
+@query(J(f"SELECT prompt_id, CASE WHEN {_HAS('credential', 'secret')} THEN 'credential_theft' WHEN {_HAS('exfil')} THEN 'customer_data_exfiltration' WHEN {_HAS('jailbreak', 'prompt')} THEN 'system_prompt_extraction' ELSE 'unknown' END AS category, {_HINTED} AS critical_signature, best_score::DOUBLE AS record_risk FROM folded WHERE NOT refused"))
+def t3_carried(spark, sf):
+    """Records of the cross-session stage with the signatures and risk of the first: the category
+    comes from the signature ids where none is stored."""
+    j = judged(spark, sf).where("not refused").withColumns({"category": F.lit(""), "risk": F.col("best_score").cast("double"), "repeated": F.lit(0)})
+    return correlate.records(j, R.MINUTES).select("prompt_id", "category", "critical_signature", "record_risk")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), near AS (SELECT a.label, a.vec_id AS base, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND (a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= 0.4)),
+sets AS (SELECT label, list(other ORDER BY other) AS ids, count(*) AS prompts, count(DISTINCT other % 50) AS sessions FROM near GROUP BY label, base HAVING count(DISTINCT other % 50) >= 3)
+SELECT 'label-' || label::VARCHAR AS category, prompts, sessions, count(*) AS groups FROM (SELECT DISTINCT label, ids, prompts, sessions FROM sets) GROUP BY ALL""")
+def t3_embedding(spark, sf):
+    """Star clusters of vectors of one category (at a cosine of 0.4, which these vectors reach)."""
+    m = correlate.embedding(R.t3_embedded(spark, sf), 0.4)
+    sets = m.groupBy("group_key", "category").agg(F.count("*").alias("prompts"), F.count_distinct("session_id").alias("sessions"))
+    return sets.groupBy("category", "prompts", "sessions").agg(F.count("*").alias("groups"))

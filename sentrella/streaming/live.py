@@ -90,3 +90,8 @@ def append_batches(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def cooling_stream(findings: DataFrame, time: str = "ts") -> DataFrame:
+    """Findings without an equal one (scope, category, sessions) in the cooldown before them."""
+    return findings.withWatermark(time, COOLDOWN).dropDuplicatesWithinWatermark(["scope_id", "group_category", "cluster_key"])
