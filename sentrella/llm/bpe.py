@@ -5,7 +5,8 @@ brought to NFC, white space runs become one space, letters are lower-cased one b
 words are the pattern's matches. New words of a batch go to one flat array of symbols. In
 each round every word's lowest-rank pair is found by binary search over the sorted pair
 keys, all its non-overlapping occurrences merge from the left, and words without a pair
-leave the array. Words already seen come from a bounded table of the Python worker.
+leave the array. A very long word has rounds of its own that touch only the places of their
+pair. Words already seen come from a bounded table of the Python worker.
 
 Only the settings of the word-level BPE file are implemented (end-of-word suffix, NFC,
 lower-casing, byte symbols, no decoder); another file is refused. Null and empty texts have
@@ -15,6 +16,7 @@ no tokens. Rows repeat as they come, with any doc_id; other columns are not read
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from sentrella.llm.common import documents, table
 
 CACHE = 400_000
+#: Bytes from which a word is merged by itself.
+LONG = 512
 NONE = np.int64(1 << 40)
 
 _loaded: dict[str, Encoder] = {}
@@ -65,8 +69,59 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.known: dict[str, tuple[str, str, int]] = {"": ("", "", 0)}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NONE where they don't merge."""
+        pair = left << 20 | right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the same rounds over a linked list of symbols, where a round
+        looks at the places of its pair only, so a round costs what it merges."""
+        raw = np.frombuffer(word, dtype=np.uint8)
+        sym, n = self.inner[raw], len(raw)
+        sym[-1] = self.last[raw[-1]]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            r = self.ranks(sym[at], sym[after[at]])
+            at, r = at[r < NONE], r[r < NONE]
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else []
+            for k, part in zip(r[cuts].tolist() if len(r) else [], np.split(at, cuts[1:]) if len(r) else [], strict=True):
+                if k not in places:
+                    places[k] = []
+                    heapq.heappush(heap, k)
+                places[k].append(part)
+
+        note(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[self.ranks(sym[at], sym[after[at]]) == r]
+            # Pairs of a run of equal symbols overlap: take every other one, from the left.
+            first = np.r_[True, at[1:] != after[at[:-1]]][: len(at)]
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            sym[at], alive[gone], after[at] = self.merged[r], False, after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            both = np.unique(np.r_[before[at][before[at] >= 0], inner])
+            note(both[alive[both] & (after[both] < n)])
+        return sym[alive]
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty word."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self.merge_long(w) if len(w) > LONG else next(short) for w in words]
+        if not words:
+            return []
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         sym = self.inner[raw]

@@ -170,6 +170,21 @@ def test_bpe_equals_the_library(spark, sf, odd, none):
         bpe.Encoder(P.path("byte_bpe_50k.json"))
 
 
+def test_long_words_merge_like_the_library():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(4)
+    t, e = Tokenizer.from_file(path), bpe.Encoder(path)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[8, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 3, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1], k=k)) for k in (513, 700, 5000, 20000)] + ["ab" * 900, "a" * 1001, "é" * 600 + "x", "banana" * 333]
+    assert [a for a, _, _ in e.encode(texts)] == [" ".join(map(str, x.ids)) for x in t.encode_batch(texts, add_special_tokens=False)]
+    began = time.process_time()
+    e.merge([("".join(rng.choices("etaoinshrdlu", k=300_000))).encode()])
+    assert time.process_time() - began < 60
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for values in ([], [0], [0, 0, 0], [5, 5, 9], list(np.cumsum(rng.integers(0, 900, 3000))), [2**40, 2**40 + 1], list(range(1000))):
