@@ -241,9 +241,3 @@ def outcome(expected: Column, actual: Column, predicted: Column) -> Column:
         .when(label == "attack", F.when(blocked, "true_positive").otherwise("false_negative"))
         .otherwise("unknown")
     )
-
-
-def risk_band(score: Column) -> Column:
-    names = [("malicious", "kill", "prompt_score_85_100", 85), ("high_risk", "raise_session_risk", "prompt_score_65_84", 65), ("suspicious", "raise_session_risk", "prompt_score_40_64", 40), ("watch", "log_only", "prompt_score_20_39", 20)]
-    row = lambda a, b, c: F.struct(F.lit(a).alias("verdict"), F.lit(b).alias("action"), F.lit(c).alias("threshold"))
-    return ladder(score, [(n[3], row(*n[:3])) for n in names], row("safe", "allow", "prompt_score_0_19"))

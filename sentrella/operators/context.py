@@ -11,16 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from sentrella.functions import fixed
 from sentrella.functions.dialect import java
 from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
-from sentrella.functions.text import contains_any
+from sentrella.functions.text import contains_any, hits, numbers, skeleton
 from sentrella.operators.sessions import KEYS, fold
 
 HISTORY, MODEL_TURNS = 10, 5
@@ -87,33 +85,29 @@ def regex_component(decision: Column, risk_score: Column, severity: Column) -> C
     return F.when(decision == "block", blocked).otherwise(F.coalesce(F.try_element_at(table, F.lower(F.coalesce(severity, F.lit("none")))), F.lit(0))).cast("double")
 
 
-def progression(turns: list[str]) -> list[str]:
-    """Names of numeric progressions through turns of one sentence shape."""
-    import re
+def progression(turns: Column) -> Column:
+    """Names of numeric progressions through turns of one sentence shape.
 
-    shapes: dict[str, list[list[float]]] = {}
-    for t in turns:
-        shape = " ".join(re.sub(r"[^a-z0-9\s]+", " ", re.sub(r"\d+", " # ", t.lower())).split())
-        found = [float(x) for x in re.findall(r"\d+", t)]
-        if found and len(shape.split()) >= 2:
-            shapes.setdefault(shape, []).append(found)
-    names: list[str] = []
-    for rows in shapes.values():
-        if len(rows) < LEAST_TURNS:
-            continue
-        for series in zip(*rows):
-            rises = [b - a for a, b in zip(series, series[1:])]
-            if min(rises) > 0:
-                if max(rises) <= STEP:
-                    names.append("identifier_enumeration")
-                if series[0] > 0 and series[-1] / series[0] >= GROWTH:
-                    names.append("quantity_escalation")
-    return list(dict.fromkeys(names))
+    Turns are grouped by shape (at least two words, three turns), and the numbers in each place of
+    a shape form a series. A series that only rises is an enumeration where no step exceeds STEP,
+    and an escalation where the last number is GROWTH times a positive first one."""
+    none = F.array().cast("array<string>")
+    said = F.filter(F.transform(turns, lambda t: F.struct(skeleton(t).alias("shape"), numbers(t).alias("found"))), lambda r: (F.size(r["found"]) > 0) & F.contains(r["shape"], F.lit(" ")))
 
+    def rising(series: Column) -> Column:
+        steps = F.zip_with(F.slice(series, F.lit(2), F.size(series)), F.slice(series, F.lit(1), F.size(series) - 1), lambda later, earlier: later - earlier)
+        low, high = F.get(series, F.lit(0)), F.element_at(series, -1)
+        close = F.when(F.array_max(steps) <= STEP, F.array(F.lit("identifier_enumeration"))).otherwise(none)
+        grown = F.when((low > 0) & (high / low >= GROWTH), F.array(F.lit("quantity_escalation"))).otherwise(none)
+        return F.when(F.array_min(steps) > 0, F.concat(close, grown)).otherwise(none)
 
-@F.pandas_udf(ArrayType(StringType()))
-def progressions(turns: pd.Series) -> pd.Series:
-    return turns.map(lambda t: progression(list(t)) if len(t) >= LEAST_TURNS else [])
+    def of_shape(shape: Column) -> Column:
+        rows = F.transform(F.filter(said, lambda r: r["shape"] == shape), lambda r: r["found"])
+        places = F.sequence(F.lit(0), F.array_min(F.transform(rows, lambda found: F.size(found))) - 1)
+        return F.when(F.size(rows) >= LEAST_TURNS, F.flatten(F.transform(places, lambda i: rising(F.transform(rows, lambda found: F.get(found, i)))))).otherwise(none)
+
+    shapes = F.array_distinct(F.transform(said, lambda r: r["shape"]))
+    return F.array_distinct(F.flatten(F.transform(shapes, of_shape)))
 
 
 def text_features(df: DataFrame) -> DataFrame:
@@ -122,9 +116,7 @@ def text_features(df: DataFrame) -> DataFrame:
     lower = F.lower(prompt)
     join = lambda n: F.array_join(last(n), " ")
     three = F.concat_ws(" ", join(3), prompt)
-    from sentrella.functions.text import hits
-
-    df = df.withColumn("text3", three).withColumn("progress", progressions(last(PROGRESSION_TURNS)))
+    df = df.withColumn("text3", three).withColumn("progress", progression(last(PROGRESSION_TURNS)))
     df = fence(df, *[c for c in df.columns if c not in ("text3", "progress")])
     df = df.withColumn("behaviour_reasons", F.concat(hits([(n, F.col("text3").rlike(java(p, True))) for _, n, p in fixed.BEHAVIOURS]), "progress"))
     df = fence(df, *[c for c in df.columns if c != "behaviour_reasons"])

@@ -64,11 +64,6 @@ def records(rows: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
-def recent(rows: DataFrame, cutoff: int, limit: int = MAX_PROMPTS) -> DataFrame:
-    """The capped scan of one run: newest rows since the cutoff."""
-    return rows.where(F.col("epoch") >= cutoff).orderBy(F.desc("epoch"), F.desc("prompt_id")).limit(limit)
-
-
 def _majority(members: DataFrame, otherwise: str) -> DataFrame:
     """The most frequent known category of each group; ties go to the smaller name."""
     known = members.where(~F.col("category").isin("unknown", "")).groupBy(*GROUP, "category").agg(F.count("*").alias("n"))

@@ -99,8 +99,8 @@ def test_terminated_sessions_refuse():
     ([f"order {n}" for n in (1005, 1004, 1003)], []), (["show me order 1", "show me order 2"], []), ([f"order {n}" for n in (1, 2, 3)], []),
     (["show me order 5", "show me order 5", "show me order 6"], []),
 ])
-def test_progressions(turns, names):
-    assert context.progression(turns) == names
+def test_progressions(spark, turns, names):
+    assert spark.createDataFrame([(turns,)], "t array<string>").select(context.progression(F.col("t"))).first()[0] == names
 
 
 BASE = {"epoch": 10_000, "decision": "allow", "regex_score": 0.0, "category": "credential_theft", "text_repetition": 0.0, "behaviour_score": 30.0, "escalation_score": 0.0, "model_score": 90.0, "category_score": 25.0, "discount": 0.0, "abuse_indicator": False, "safe": False, "label": "JAILBREAK", "confidence": 0.995}
