@@ -277,7 +277,7 @@ def guarded(found: DataFrame, policy: Policy = Policy()) -> DataFrame:
 def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
     """All detectors over prompt records, scored, deduplicated and guarded; the embedding
     detector runs over ``embedded``, records with a vector each, where given."""
-    rows = rows.persist()  # read by every detector; lost parts are computed again
+    rows = written(rows, "t3-records")  # read by every detector
     parts = [exact_hash(rows), pattern(rows), category(rows), session_risk(rows, risks), *([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
     members = parts[0]
     for p in parts[1:]:

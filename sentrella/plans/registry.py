@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrella.functions import fixed
 from sentrella.functions import scalars as S
 from sentrella.functions import text as T
+from sentrella.functions.plan import written
 from sentrella.operators import catalogue, context, correlate, detect, reads, sessions
 from sentrella.plans import sql as Q
 from sentrella.sources import records, views
@@ -459,7 +460,7 @@ def t2_skip_paths(spark, sf):
 
 @query()
 def t2_tally(spark, sf):
-    s = scored(spark, sf).persist()
+    s = written(scored(spark, sf), "t2-scored")
     return reads.tally(s).crossJoin(reads.context_kpis(s))  # one row each
 
 
@@ -539,9 +540,9 @@ def t3_session_risk(spark, sf):
 @query(T3 + f", {FOUND} SELECT method, window_start, cat AS category, sessions, confidence, group_score, cluster_key FROM found")
 def t3_findings(spark, sf):
     """Every group of the four expressible detectors, scored."""
-    rows, risks = t3_records(spark, sf).persist(), views.session_risks(evt(spark, sf))
+    rows, risks = written(t3_records(spark, sf), "t3-records"), views.session_risks(evt(spark, sf))
     parts = [correlate.exact_hash(rows), correlate.pattern(rows), correlate.category(rows), correlate.session_risk(rows, risks)]
-    m = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).persist()
+    m = written(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "t3-members")
     return correlate.findings(m, risks).select("method", "window_start", F.col("group_category").alias("category"), "sessions", "confidence", "group_score", "cluster_key")
 
 
@@ -586,9 +587,9 @@ def t3_cosine(spark, sf):
 @query(T3 + f", {FOUND} SELECT f.method, f.window_start, f.group_key FROM found f WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.cat = f.cat AND e.cluster_key = f.cluster_key AND e.window_start >= f.window_start - 604800 AND e.window_start < f.window_start)")
 def t3_cooldown(spark, sf):
     """Findings not preceded by an equal one within a week (the range anti-join)."""
-    rows, risks = t3_records(spark, sf).persist(), views.session_risks(evt(spark, sf))
-    m = correlate.exact_hash(rows).unionByName(correlate.pattern(rows)).unionByName(correlate.category(rows)).unionByName(correlate.session_risk(rows, risks)).persist()
-    f = correlate.findings(m, risks).persist()
+    rows, risks = written(t3_records(spark, sf), "t3-records"), views.session_risks(evt(spark, sf))
+    m = written(correlate.exact_hash(rows).unionByName(correlate.pattern(rows)).unionByName(correlate.category(rows)).unionByName(correlate.session_risk(rows, risks)), "t3-members")
+    f = written(correlate.findings(m, risks), "t3-found")
     return correlate.not_cooling(f, f.withColumn("event_ts", F.col("window_start")), F.col("window_start"), 7 * 86400).select("method", "window_start", "group_key")
 
 
@@ -607,7 +608,7 @@ def src_recent_scan(spark, sf):
 @query()
 def qry_feed(spark, sf):
     """The unified feed of all layers."""
-    j = judged(spark, sf, False).persist()
+    j = written(judged(spark, sf, False), "judged")
     e = reads.events_of(j)
     s = context.score_context(j, views.model_verdicts(evt(spark, sf)))
     f = correlate.analyse(t3_records(spark, sf), views.session_risks(evt(spark, sf)), near=False)
