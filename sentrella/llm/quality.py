@@ -7,18 +7,20 @@ is the log of its share among positives over its share among all.
 
 The class prior is estimated from the unlabelled scores: documents are scored by the summed
 evidence of the other half's counts, and the least ratio of the share of all to the share of
-positives above a threshold, settled by its confidence bound, is the prior.
+positives above a threshold, by its upper confidence limit, is the prior.
 
-A logistic model over the summed evidence and its 25 parts minimises the non-negative
-unbiased risk over all rows
+A logistic model over the summed evidence and its 25 parts (of the other half's counts, so
+that a positive's own label isn't in its features) minimises the non-negative unbiased risk
+over all rows
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
 by Newton steps. Every sum over the rows is taken in the tasks; the driver sees arrays of
-some hundred numbers. The model is one weight for each bin.
+some thousand numbers. The model is one weight for each bin, for the evidence of all counts.
 
 Null and empty texts are scored from the statistics of an empty text. Without positives
-every score is 0.5. Documents without an id are scored but not learnt from; repeated rows
+every score is 0.5. Very long texts are read whole, one at a time. Equal texts have equal
+scores, which no tie needs to break. Documents without an id are scored but not learnt from; repeated rows
 count as they come, repeated labels of a document once (the larger). Other columns are not
 read.
 """
@@ -41,6 +43,9 @@ QUANTILES = (0.01, 0.03, *(k / 12 for k in range(1, 12)), 0.97, 0.99)
 #: Histogram of the prior's scores; weight of the single parts against their sum.
 GRID, SPAN, SMALLER = 4096, 64.0, 0.3
 ROUNDS, RIDGE = 10, 0.03
+#: Share of the positives above the threshold from which the prior is estimated, at least;
+#: standard errors that are added to it.
+LEAST, ERRORS = 0.7, 1.64
 
 
 def statistics(text: str) -> list[float]:
@@ -119,43 +124,80 @@ def estimated_prior(positive: np.ndarray, every: np.ndarray) -> float:
     """The share of class 1 among all rows, from both histograms of one score.
 
     Above any threshold lies at least prior times the positives' share, and little else where
-    the threshold is high. Of all thresholds the one with the least upper confidence bound of
-    (share of all) / (share of positives) gives the estimate.
+    the threshold is high. Of the thresholds that leave LEAST of the positives or more above
+    them (so that few positives give a settled ratio too) the one with the least upper
+    confidence limit (one-sided, 95 %) of (share of all) / (share of positives) is chosen, and
+    that limit is the estimate: the least of many ratios leans down, and a prior that is too
+    low rejects good documents.
     """
     n, m = positive.sum(), every.sum()
     p, u = np.cumsum(positive[::-1])[::-1] / n, np.cumsum(every[::-1])[::-1] / m
-    doubt = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / m)
-    bound = np.where(p > 0, (u + doubt) / np.maximum(p, 1e-12), np.inf)
-    at = int(np.argmin(bound))
-    return float(np.clip(u[at] / p[at], 0.01, 0.99))
+    p, u = p[p >= LEAST], u[p >= LEAST]
+    ratio = u / p
+    error = ratio * np.sqrt(np.maximum(1 - p, 1 / n) / (p * n) + np.maximum(1 - u, 1 / m) / (np.maximum(u, 1 / m) * m))
+    return float(np.clip((ratio + ERRORS * error).min(), 0.01, 0.99))
+
+
+def newton_step(w: np.ndarray, unclamped: tuple, clamped: tuple, penalty: np.ndarray) -> np.ndarray:
+    """The step to the least of the larger of two quadratic models (value, gradient, Hessian),
+    plus the penalty. It is the least of one of them where that is the larger there, else of
+    the mixture at whose least both are equal, found by bisection of its share."""
+
+    def step(share: float) -> tuple[np.ndarray, float]:
+        _, g, h = ((1 - share) * a + share * b for a, b in zip(unclamped, clamped, strict=True))
+        d = -np.linalg.solve(h + np.diag(penalty), g + penalty * w)
+        first, second = (v + g @ d + d @ h @ d / 2 for v, g, h in (unclamped, clamped))
+        return d, first - second
+
+    low, high = 0.0, 1.0
+    d, gap = step(low)
+    if gap >= 0:
+        return d
+    d, gap = step(high)
+    if gap <= 0:
+        return d
+    for _ in range(40):
+        d, gap = step(middle := (low + high) / 2)
+        low, high = (middle, high) if gap < 0 else (low, middle)
+    return d
 
 
 def minimise(risk, size: int, prior: float, mean: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> np.ndarray:
     """Weights (the last is the intercept) of least non-negative risk, by damped Newton steps.
 
-    ``risk(w)`` has over all rows: mean of log(1 + e^g), its gradient and Hessian, and the mean
-    of log(1 + e^g) over the positives; ``mean`` is the positives' mean row. For the logistic
-    loss, prior * E_P[l(g) - l(-g)] is linear, so the risk is convex; where a step would take
-    the term E_U[l(-g)] - prior * E_P[l(-g)] below zero, where the risk counts it as zero, the
-    step is halved, so the search ends at the border.
+    ``risk(w)`` has the mean of log(1 + e^g), its gradient and Hessian over all rows, and the
+    same three over the positives; ``mean`` is the positives' mean row. For the logistic loss
+    E_P[l(g)] - E_P[l(-g)] is linear, so the risk is the larger of two smooth convex functions:
+    the unbiased risk, and where its term E_U[l(-g)] - prior * E_P[l(-g)] is negative and
+    counts as zero, prior * E_P[l(g)] alone. A step minimises the larger of their quadratic
+    models, which leads along the border where the least lies on it; it is shortened until the
+    clamped risk falls. (Where ``risk`` lacks the last two, the first function's step is taken.)
     """
     w = np.zeros(size)
     w[-1] = math.log(prior / (1 - prior))
     penalty = np.full(size, ridge)
-    penalty[-1] = 1e-9
-    now = risk(w)
+    penalty[-1] = 1e-6
+
+    def models(w: np.ndarray) -> tuple[tuple, tuple]:
+        n, g, h, n_p, *rest = risk(w)
+        free = n - prior * (mean @ w), g - prior * mean, h
+        g_p, h_p = rest or (None, None)
+        return free, (prior * (n_p - mean @ w), *((prior * (g_p - mean), prior * h_p) if rest else free[1:]))
+
+    def value(w: np.ndarray, both: tuple) -> float:
+        return max(both[0][0], both[1][0]) + penalty @ (w * w) / 2
+
+    both = models(w)
     for _ in range(rounds):
-        step = np.linalg.solve(now[2] + np.diag(penalty), now[1] - prior * mean + penalty * w)
-        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        for _ in range(4):
-            after = risk(w - step)
-            if after[0] - prior * after[3] >= -1e-3:
-                break
-            step /= 2
-        else:
-            break
-        w, now = w - step, after
-        if np.abs(step).max() < 1e-3:
+        d = newton_step(w, *both, penalty)
+        d *= min(1.0, 5 / max(np.abs(d).max(), 1e-12))
+        before, length = value(w, both), 1.0
+        while value(w + length * d, after := models(w + length * d)) > before - 1e-6 * length:
+            length /= 3
+            if length < 1e-3:
+                return w
+        w, both = w + length * d, after
+        if before - value(w, both) < 1e-4:
             break
     return w
 
@@ -176,54 +218,49 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> dict:
     counts = _summed(rows, counted, 4 * bins).reshape(2, 2, bins)
     crossed = [evidence(counts[1], width), evidence(counts[0], width)]  # a fold is scored by the other's counts
 
-    def spread(x, trusted, fold):
+    size, n, n_p = width + 2, sum(sizes.values()), sizes[True]
+    halves = counts.reshape(2, 2, width, -1)
+
+    def parts_of(x, fold) -> np.ndarray:
         c = codes(x, edges)
-        z = np.where(fold == 0, crossed[0][c].sum(1), crossed[1][c].sum(1))
+        return np.where((fold == 0)[:, None], crossed[0][c], crossed[1][c])
+
+    def spread(x, trusted, fold):
+        z = parts_of(x, fold).sum(1)
         at = np.clip(((z + SPAN) * (GRID / 2 / SPAN)).astype(np.int64), 0, GRID - 1)
         return np.concatenate([np.bincount(at, minlength=GRID), np.bincount(at[trusted], minlength=GRID)])
 
     every, positive = _summed(rows, spread, 2 * GRID).reshape(2, GRID)
     prior = estimated_prior(positive, every)
-    both = counts.sum(axis=0)
-    log = evidence(both, width)
-    share, own = both[0].reshape(width, -1) / sizes_all(sizes), log.reshape(width, -1)
-    centre = (share * own).sum(1)
-    scale = np.sqrt((share * (own - centre[:, None]) ** 2).sum(1)) + 1e-9
+    own = np.stack(crossed).reshape(2, width, -1)
+    centre, centre_p = ((halves[:, k] * own).sum((0, 2)) / m for k, m in ((0, n), (1, n_p)))
+    scale = np.sqrt((halves[:, 0] * (own - centre[:, None]) ** 2).sum((0, 2)) / n) + 1e-9
     grid = (np.arange(GRID) + 0.5) * 2 * SPAN / GRID - SPAN
     middle = (every * grid).sum() / every.sum()
     wide = math.sqrt((every * (grid - middle) ** 2).sum() / every.sum()) + 1e-9
 
-    def features(c: np.ndarray) -> np.ndarray:
-        parts = log[c]
-        return np.c_[(parts.sum(1) - centre.sum()) / wide, (parts - centre) / scale * SMALLER, np.ones(len(c))]
-
-    size = width + 2
+    def features(parts: np.ndarray) -> np.ndarray:
+        return np.c_[(parts.sum(1) - centre.sum()) / wide, (parts - centre) / scale * SMALLER, np.ones(len(parts))]
 
     def risk(w: np.ndarray) -> tuple:
         def summed(x, trusted, fold):
-            f = features(codes(x, edges))
+            f = features(parts_of(x, fold))
             g = f @ w
             s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            loss = np.logaddexp(0, g)
-            return np.concatenate([[loss.sum(), loss[trusted].sum()], s @ f, ((f * (s * (1 - s))[:, None]).T @ f).ravel(), f[trusted].sum(0)])
+            loss, curve = np.logaddexp(0, g), f * (s * (1 - s))[:, None]
+            return np.concatenate([np.concatenate([[loss[on].sum()], s[on] @ f[on], (curve[on].T @ f[on]).ravel()]) for on in (slice(None), trusted)])
 
-        got = _summed(rows, summed, 2 + 2 * size + size * size)
-        n, np_ = sizes_all(sizes), sizes[True]
-        risk.mean = got[-size:] / np_
-        return got[0] / n, got[2 : 2 + size] / n, got[2 + size : -size].reshape(size, size) / n, got[1] / np_
+        got = _summed(rows, summed, 2 * (1 + size + size * size)).reshape(2, -1) / np.array([[n], [n_p]])
+        return tuple(x for v in got for x in (v[0], v[1 : 1 + size], v[1 + size :].reshape(size, size)))
 
-    risk(np.zeros(size))
-    w = minimise(risk, size, prior, risk.mean)
+    w = minimise(risk, size, prior, features(centre_p[None, :])[0])
     discard(rows)
+    log = evidence(counts.sum(axis=0), width)
     # The features are linear in the bins' evidence, so the model is one table of bin weights.
     weight = (w[0] / wide + w[1:-1] * SMALLER / scale).repeat(len(edges) + 1) * log
     return {"edges": edges, "w": weight, "b": float(w[-1] - w[0] * centre.sum() / wide - (w[1:-1] * centre * SMALLER / scale).sum()), "prior": prior}
 
 
-def sizes_all(sizes: dict) -> int:
-    return sum(sizes.values())
-
-
 def chance(text: Column, model: dict) -> Column:
     """The probability of class 1 of a text."""
     if "constant" in model:

@@ -429,6 +429,39 @@ def test_non_negative_risk_separates():
     assert ((u @ w > 0) == (np.arange(800) < 400)).mean() > 0.97 and end[0] - 0.5 * end[3] >= -1e-3
 
 
+def test_search_follows_the_border_of_the_risk():
+    """Few positives, the true prior: the unbiased term is negative at the first steps already."""
+    rng = np.random.default_rng(3)
+    good, bad = (np.c_[rng.normal(m, 1, (k, 24)) * 0.6, np.ones(k)] for m, k in ((0.7, 870), (-0.7, 130)))
+    p, u = good[:40], np.vstack([good, bad])
+
+    def risk(w):
+        out = []
+        for f in (u, p):
+            g = f @ w
+            s = 1 / (1 + np.exp(-g))
+            out += [np.logaddexp(0, g).mean(), s @ f / len(f), (f * (s * (1 - s))[:, None]).T @ f / len(f)]
+        return tuple(out)
+
+    def clamped(w):
+        r = risk(w)
+        return 0.87 * (r[3] - p.mean(0) @ w) + max(0.0, r[0] - 0.87 * r[3])
+
+    for ridge in (1e-3, 0.03):
+        w = quality.minimise(risk, 25, 0.87, p.mean(0), rounds=40, ridge=ridge)
+        first = np.zeros(25)
+        first[-1] = np.log(0.87 / 0.13)
+        end = risk(w)
+        if ridge == 1e-3:
+            assert end[0] - 0.87 * end[3] < 0.01  # the border is met
+        total = lambda w: clamped(w) + ridge * (w[:-1] @ w[:-1]) / 2  # noqa: B023, E731
+        near = [total(w + rng.normal(0, e, 25)) for e in (1e-3, 1e-2, 0.1) for _ in range(200)]
+        assert clamped(w) < clamped(first) and total(w) <= min(near) + 2e-3
+        score = u @ w
+        order = score.argsort().argsort()
+        assert (order[:870].sum() - 870 * 869 / 2) / (870 * 130) > 0.97
+
+
 def test_prior_is_estimated_from_scores():
     rng = np.random.default_rng(1)
     for prior in (0.3, 0.85):
