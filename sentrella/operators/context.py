@@ -8,7 +8,7 @@ ten short rows and three numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,12 +190,14 @@ def eligibility(policy: Policy, forced: bool, row: dict, category: str, prompt_s
     return "kill_eligible_repeated_or_session_score" if enough else "repeated_evidence_required"
 
 
-def context_step(policy: Policy, reviewed: bool = True):
-    """The step of one scope policy. The state keeps the last nine verdicts before the prompt.
+def context_step(given: Policy | None, reviewed: bool = True):
+    """The step of one scope policy, or of the policy that each row carries (None). The state
+    keeps the last nine verdicts before the prompt.
 
     With ``reviewed`` false no model is configured, and prompts take the skip path."""
 
     def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        policy = given or Policy(**{f: row[f] for f in POLICY_IN})
         s = state or {"score": 0.0, "epoch": 0, "terminated": False, "past": []}
         past, epoch = s["past"], int(row["epoch"])
         blocked = row["decision"] == "block"
@@ -260,14 +262,17 @@ def context_step(policy: Policy, reviewed: bool = True):
     return step
 
 
+POLICY_IN = [f.name for f in fields(Policy)]
 STEP_IN = ["epoch", "decision", "regex_score", "category", "text_repetition", "behaviour_score", "escalation_score", "model_score", "category_score", "discount", "abuse_indicator", "safe", "label", "confidence"]
 STEP_OUT = "path string, verdict string, action string, t2_category string, prompt_score double, session_before double, session_after double, session_status string, repetition_score double, repeated_suspicious int, malicious_seen int, reason string, would_reason string, event_type string, kill boolean, would_kill boolean"
 
 
-def score_context(judged: DataFrame, verdicts: DataFrame, policy: Policy = Policy(), reviewed: bool = True) -> DataFrame:
+def score_context(judged: DataFrame, verdicts: DataFrame, policy: Policy | None = Policy(), reviewed: bool = True) -> DataFrame:
     """Context scores of judged prompts (refused ones don't arrive); ``verdicts`` holds the
-    model's (prompt_id, label, confidence), absent ones count as SAFE with confidence 0."""
-    df = judged.where(~F.coalesce("refused", F.lit(False))).select("scope_id", "session_id", "source", "prompt_id", "epoch", "prompt", "decision", F.col("best_score"), "matched_signatures", "expected_label")
+    model's (prompt_id, label, confidence), absent ones count as SAFE with confidence 0. With
+    ``policy`` None the rows carry their policy in the columns POLICY_IN."""
+    carried = [] if policy else POLICY_IN
+    df = judged.where(~F.coalesce("refused", F.lit(False))).select("scope_id", "session_id", "source", "prompt_id", "epoch", "prompt", "decision", F.col("best_score"), "matched_signatures", "expected_label", *carried)
     df = df.join(verdicts, "prompt_id", "left").withColumns({"label": F.coalesce("label", F.lit("SAFE")), "confidence": F.coalesce("confidence", F.lit(0.0))})
     df = overridden(text_features(model_input(history(df))))
     df = df.withColumns({"category": category_of(F.col("label"), F.col("ml_input")), "regex_score": regex_component(F.col("decision"), F.col("best_score"), F.lit("none"))})
@@ -278,7 +283,7 @@ def score_context(judged: DataFrame, verdicts: DataFrame, policy: Policy = Polic
         state, out = base(state, row)
         return state, {**out, "t2_category": out["category"]}
 
-    return fold(df, step, STEP_IN, STEP_OUT)
+    return fold(df, step, STEP_IN + carried, STEP_OUT)
 
 
 def enforcement_risk(confidence: Column, session: Column) -> Column:

@@ -8,7 +8,7 @@ their number and the sum of 60-bit digests of their ids, and listed (``affected`
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -253,15 +253,18 @@ def deduped(found: DataFrame) -> DataFrame:
     return found.withColumn("n", best).where("n = 1").drop("n")
 
 
-def guarded(found: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Adds kill_triggered, action and the reason a kill was denied, by the scope's policy."""
+def guarded(found: DataFrame, policy: Policy | None = Policy()) -> DataFrame:
+    """Adds kill_triggered, action and the reason a kill was denied, by the scope's policy. With
+    ``policy`` None the findings carry the policy in force (see ``policies.in_force``)."""
+    names = {"mode": "tier3_mode", "min_sessions": "tier3_min_sessions_for_kill", "similarity": "tier3_similarity_threshold", "kill": "tier3_kill_threshold"}
+    held = {f.name: F.lit(getattr(policy, f.name)) if policy else F.col(names.get(f.name, f.name)) for f in fields(Policy)}
     method, cat = F.col("method"), F.col("group_category")
     generic = method.isin("normalized_pattern_burst", "session_risk_burst") & cat.isin(*UNKNOWN, "session_risk")
     eligible = method.isin("exact_hash", "simhash", "category_burst", "embedding") | ((method == "normalized_pattern_burst") & cat.isin(*fixed.CRITICAL_CATEGORIES))
     denials = [
-        (F.lit(policy.mode != "enforce"), "tenant_mode_not_enforce"), (F.lit(not policy.global_kill), "global_kill_disabled"), (F.lit(not policy.tier3_kill), "tier3_kill_disabled"), (F.lit(not policy.enforcement), "enforcement_not_configured"),
-        (F.col("group_score") < 90, "group_score_below_threshold"), (F.col("sessions") < policy.min_sessions, "affected_sessions_below_threshold"), (F.col("confidence") < policy.kill, "confidence_below_threshold"),
-        (F.col("confidence") < policy.similarity, "similarity_below_threshold"), (generic, "generic_pattern_alert_only"), (~eligible, "method_not_enforcement_eligible"),
+        (held["mode"] != "enforce", "tenant_mode_not_enforce"), (~held["global_kill"], "global_kill_disabled"), (~held["tier3_kill"], "tier3_kill_disabled"), (~held["enforcement"], "enforcement_not_configured"),
+        (F.col("group_score") < 90, "group_score_below_threshold"), (F.col("sessions") < held["min_sessions"], "affected_sessions_below_threshold"), (F.col("confidence") < held["kill"], "confidence_below_threshold"),
+        (F.col("confidence") < held["similarity"], "similarity_below_threshold"), (generic, "generic_pattern_alert_only"), (~eligible, "method_not_enforcement_eligible"),
     ]
     why = F.when(*denials[0])
     for d in denials[1:]:
@@ -274,16 +277,20 @@ def guarded(found: DataFrame, policy: Policy = Policy()) -> DataFrame:
     }).drop("why")
 
 
-def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
-    """All detectors over prompt records, scored, deduplicated and guarded; the embedding
-    detector runs over ``embedded``, records with a vector each, where given."""
+def all_findings(rows: DataFrame, risks: DataFrame, near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
+    """All detectors over prompt records, scored; the embedding detector runs over ``embedded``,
+    records with a vector each, where given."""
     rows = written(rows, "t3-records")  # read by every detector
     parts = [exact_hash(rows), pattern(rows), category(rows), session_risk(rows, risks), *([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)
-    members = written(members, "t3-members")
-    return guarded(deduped(findings(members, risks)), policy)
+    return findings(written(members, "t3-members"), risks)
+
+
+def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
+    """The findings of all detectors, deduplicated and guarded."""
+    return guarded(deduped(all_findings(rows, risks, near, embedded)), policy)
 
 
 def affected(members: DataFrame) -> DataFrame:

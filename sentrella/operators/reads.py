@@ -242,16 +242,26 @@ POLICY_FIELDS = (
 )
 
 
-def policies(scopes: DataFrame, stored: DataFrame, default_mode: str = "shadow") -> DataFrame:
-    """The policy of each scope: stored values, clamped; else defaults. Old on/off flags give
-    the mode where none is stored. Stored columns are strings; a stored zero counts."""
-    have = {c: F.col(c).cast("string") if c in stored.columns else F.lit(None).cast("string") for c in [f for f, _, _ in POLICY_FIELDS] + ["tier2_mode", "tier3_mode", "tier2_enabled", "tier3_enabled"]}
-    df = scopes.select("scope_id").join(stored.select("scope_id", *[v.alias(k) for k, v in have.items()]), "scope_id", "left")
+#: All names under which a policy's fields are stored.
+POLICY_NAMES = [f for f, _, _ in POLICY_FIELDS] + ["tier2_mode", "tier3_mode", "tier2_enabled", "tier3_enabled"]
+
+
+def policy_fields(stored: DataFrame, default_mode: str = "shadow") -> dict[str, Column]:
+    """The fields of a policy, read from the columns that ``stored`` has: clamped, else
+    defaults. Old on/off flags give the mode where none is stored. Stored columns are strings;
+    a stored zero counts."""
+    have = {c: F.col(c).cast("string") if c in stored.columns else F.lit(None).cast("string") for c in POLICY_NAMES}
     read = {"float": S.to_float, "bool": S.to_bool, "count": S.count_of}
-    out = {f: read[k](F.col(f), d) for f, k, d in POLICY_FIELDS}
+    out = {f: read[k](have[f], d) for f, k, d in POLICY_FIELDS}
     for t in ("tier2", "tier3"):
-        out[f"{t}_mode"] = S.mode_of(F.col(f"{t}_mode"), F.when(S.to_bool(F.col(f"{t}_enabled"), True), default_mode).otherwise("off"))
-    return df.select("scope_id", *[v.alias(k) for k, v in out.items()])
+        out[f"{t}_mode"] = S.mode_of(have[f"{t}_mode"], F.when(S.to_bool(have[f"{t}_enabled"], True), default_mode).otherwise("off"))
+    return out
+
+
+def policies(scopes: DataFrame, stored: DataFrame, default_mode: str = "shadow") -> DataFrame:
+    """The policy of each scope (see ``policy_fields``)."""
+    df = scopes.select("scope_id").join(stored, "scope_id", "left")
+    return df.select("scope_id", *[v.alias(k) for k, v in policy_fields(stored, default_mode).items()])
 
 
 def policy_write(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -10,33 +10,40 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 HALF_LIFE, FLOOR, CAP, REPEAT_CAP = 900.0, 0.25, 20.0, 3
 KEYS = ["scope_id", "session_id"]
 
 
 def fold(rows: DataFrame, step: Callable[[dict | None, dict], tuple[dict, dict]], inputs: list[str], outputs: str) -> DataFrame:
-    """``rows`` with the output columns that ``step(state, row) -> (state, out)`` gives each row."""
-    keep = rows.columns
+    """``rows`` with the output columns that ``step(state, row) -> (state, out)`` gives each row.
+
+    Only the keys and inputs become Python values; the other columns pass as Arrow buffers."""
     names = [x.strip().split(" ")[0] for x in outputs.split(",")]
     ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "epoch", "prompt_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + outputs
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(outputs).fields]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in parts:
-            out = []
-            for *k, row in zip(pdf[KEYS[0]], pdf[KEYS[1]], pdf[inputs].to_dict("records")):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in KEYS + inputs]
+            out: list[list] = []
+            for values in map(list, zip(*columns)):
+                k = values[:2]
                 if k != key:
                     key, state = k, None
-                state, got = step(state, row)
+                state, got = step(state, dict(zip(inputs, values[2:])))
                 out.append([got[n] for n in names])
-            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            made = [pa.array(list(c), t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def decay(elapsed: float) -> float:

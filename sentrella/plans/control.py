@@ -294,32 +294,40 @@ beh AS (SELECT prompt_id, reasons, least(100, {points})::DOUBLE AS behaviour_sco
 R.SQL["t2_progressions"] = EVT.rstrip() + f", {_features_sql()} SELECT prompt_id, coalesce(array_to_string(reasons, ','), '') AS reasons, behaviour_score FROM beh"
 
 
-def _context_sql(enforcing: bool) -> str:
-    """The fold of the context stage as a recursion over the prompts of a session."""
+def context_sql(policy: str) -> str:
+    """The fold of the context stage as a recursion over the prompts of a session, under the
+    default policy, an enforcing one with every switch on, or the columns of a CTE ``held``."""
+    own = policy == "policy"
+    threshold, least, single = ("tier2_default_kill_threshold", "tier2_min_malicious_verdicts_for_kill", "tier2_allow_single_verdict_kill_threshold") if own else (0.97, 2, 0.99)
     attack = "upper(label) IN (" + ", ".join(map(Q.q, fixed.ATTACK_LABELS)) + ")"
     cat = " ".join(f"WHEN {Q.q(k)} THEN {v}" for k, v in fixed.CATEGORY_SCORES.items())
     obvious = ", ".join(map(Q.q, fixed.OBVIOUS_CATEGORIES))
-    chain = f"""CASE WHEN NOT current_ THEN 'model_label_not_malicious' WHEN confidence < 0.97 THEN 'confidence_below_threshold' WHEN safe AND NOT (confidence >= 0.99 AND category IN ('prompt_injection', 'jailbreak')) THEN 'safe_intent_gate_blocked'
+    chain = f"""CASE WHEN NOT current_ THEN 'model_label_not_malicious' WHEN confidence < {threshold} THEN 'confidence_below_threshold' WHEN safe AND NOT (confidence >= 0.99 AND category IN ('prompt_injection', 'jailbreak')) THEN 'safe_intent_gate_blocked'
       WHEN (CASE WHEN score > 0 THEN score ELSE after_ END) < 90 THEN 'prompt_score_below_kill_threshold' WHEN category = 'generic_malicious' THEN 'generic_malicious_not_enough'
-      WHEN category IN ({obvious}) THEN CASE WHEN confidence >= 0.99 THEN 'kill_eligible_obvious_extreme_confidence' ELSE 'session_score_below_threshold' END
-      WHEN bad >= 2 OR confidence >= 0.99 OR after_ >= 120 THEN 'kill_eligible_repeated_or_session_score' ELSE 'repeated_evidence_required' END"""
-    shadow = "FALSE" if enforcing else "TRUE"
-    reason = chain if enforcing else "'global_kill_disabled'"
+      WHEN category IN ({obvious}) THEN CASE WHEN confidence >= {single} THEN 'kill_eligible_obvious_extreme_confidence' ELSE 'session_score_below_threshold' END
+      WHEN bad >= {least} OR confidence >= {single} OR after_ >= 120 THEN 'kill_eligible_repeated_or_session_score' ELSE 'repeated_evidence_required' END"""
+    shadow = "tier2_mode = 'shadow'" if own else "FALSE" if policy == "enforce" else "TRUE"
+    reason = chain if policy == "enforce" else "'global_kill_disabled'"
+    if own:
+        reason = "CASE WHEN NOT global_kill THEN 'global_kill_disabled' WHEN NOT tier2_kill THEN 'tier2_kill_disabled' WHEN NOT enforcement THEN 'enforcement_not_configured' WHEN tier2_mode <> 'enforce' THEN 'tenant_mode_not_enforce' ELSE " + chain + " END"
+    off = "NOT blocked AND tier2_mode = 'off'" if own else "FALSE"
+    held, held_join = (", p.*", " JOIN (SELECT * EXCLUDE (prompt_id), prompt_id AS held_id FROM held) p ON p.held_id = f.prompt_id") if own else ("", "")
     status = Q.ladder("after_", [(120, "kill_candidate"), (80, "high_risk"), (40, "watch")], "active")
     return f""", {R.VERDICTS}, {_features_sql()},
 mi AS (SELECT prompt_id, array_to_string(list_transform(list_filter(list_transform(h, lambda x: trim(x)), lambda x: x <> '')[-5:], lambda x: '[USER] ' || x), ' ') AS ml_input FROM hist),
 said AS (SELECT prompt_id, CASE WHEN wrong THEN 'SAFE_CAPABILITY_QUESTION' ELSE label END AS label, CASE WHEN wrong THEN 1.0 - confidence ELSE confidence END::DOUBLE AS confidence FROM (SELECT v.*, {attack} AND confidence >= 0.85 AND capability AS wrong FROM verdicts v JOIN beh USING (prompt_id))),
 catd AS (SELECT prompt_id, label, confidence, {R._category_sql('ml_input')} AS category, ({R._MODEL})::DOUBLE AS model_score FROM said JOIN mi USING (prompt_id)),
 feat AS MATERIALIZED (SELECT f.session_id, f.prompt_id, f.epoch, f.prompt, f.decision = 'block' AS blocked, f.best_score, (CASE WHEN f.decision = 'block' THEN CASE WHEN f.best_score >= 12 THEN 95 WHEN f.best_score >= 8 THEN 80 ELSE 95 END ELSE 0 END)::DOUBLE AS regex_score,
-    c.label, c.confidence, c.category, c.model_score, (CASE c.category {cat} ELSE 0 END)::DOUBLE AS category_score, t.text_repetition, b.behaviour_score, t.escalation_score, t.discount, t.abuse_indicator, t.gate_category <> '' AND NOT t.abuse_indicator AS safe,
-    row_number() OVER (PARTITION BY f.session_id ORDER BY f.epoch, f.prompt_id) AS rn FROM folded f JOIN catd c USING (prompt_id) JOIN tf t USING (prompt_id) JOIN beh b USING (prompt_id)),
+    c.label, c.confidence, c.category, c.model_score, (CASE c.category {cat} ELSE 0 END)::DOUBLE AS category_score, t.text_repetition, b.behaviour_score, t.escalation_score, t.discount, t.abuse_indicator, t.gate_category <> '' AND NOT t.abuse_indicator AS safe{held},
+    row_number() OVER (PARTITION BY f.session_id ORDER BY f.epoch, f.prompt_id) AS rn FROM folded f JOIN catd c USING (prompt_id) JOIN tf t USING (prompt_id) JOIN beh b USING (prompt_id){held_join}),
 ctx AS (
-  SELECT DISTINCT session_id, 0::BIGINT AS rn, '' AS prompt_id, 0.0::DOUBLE AS state, 0::BIGINT AS since, FALSE AS ended, []::STRUCT(c VARCHAR, v VARCHAR, a VARCHAR)[] AS past, '' AS verdict, '' AS action, '' AS category, 0.0::DOUBLE AS score, 0.0::DOUBLE AS before_, 0 AS repeated, '' AS reason, '' AS would, '' AS event_type, FALSE AS kill, FALSE AS would_kill, FALSE AS was_blocked FROM feat
+  SELECT DISTINCT session_id, 0::BIGINT AS rn, '' AS prompt_id, 0.0::DOUBLE AS state, 0::BIGINT AS since, FALSE AS ended, []::STRUCT(c VARCHAR, v VARCHAR, a VARCHAR)[] AS past, '' AS verdict, '' AS action, '' AS category, 0.0::DOUBLE AS score, 0.0::DOUBLE AS before_, 0 AS repeated, '' AS reason, '' AS would, '' AS event_type, FALSE AS kill, FALSE AS would_kill, FALSE AS was_blocked, FALSE AS skipped FROM feat
   UNION ALL
-  SELECT session_id, rn, prompt_id, after_, epoch, ended OR kill, list_append(past, {{'c': category, 'v': verdict, 'a': act}})[-9:], verdict, act, category, score, before_r, repeated, reason, would,
-    CASE WHEN verdict = 'safe' AND NOT (kill OR hypo OR eligible) THEN '' WHEN blocked THEN 'layer1_block' WHEN kill THEN 'tier2_kill_allowed' WHEN {shadow} AND hypo THEN 'tier2_shadow_verdict' WHEN safe AND hypo THEN 'enforcement_skipped_safe_intent'
-      WHEN verdict = 'malicious' THEN 'tier2_kill_denied' WHEN verdict <> 'safe' THEN 'tier2_' || verdict ELSE 'tier2_detection' END, kill, hypo AND act0 = 'kill', blocked
-  FROM (SELECT *, act0 = 'kill' AND eligible AS kill, CASE WHEN act0 = 'kill' AND NOT eligible THEN 'raise_session_risk' ELSE act0 END AS act, CASE WHEN blocked THEN 1 ELSE len(list_filter(past, lambda x: x.v IN {_RISKY})) + (verdict IN {_RISKY})::INT END::INT AS repeated
+  SELECT session_id, rn, prompt_id, CASE WHEN off THEN state ELSE after_ END, CASE WHEN off THEN since ELSE epoch END, ended OR (kill AND NOT off), list_append(past, CASE WHEN off THEN {{'c': 'tier2_disabled', 'v': 'tier2_disabled', 'a': 'log_only'}} ELSE {{'c': category, 'v': verdict, 'a': act}} END)[-9:],
+    CASE WHEN off THEN 'tier2_disabled' ELSE verdict END, CASE WHEN off THEN 'log_only' ELSE act END, CASE WHEN off THEN 'tier2_disabled' ELSE category END, CASE WHEN off THEN 0.0 ELSE score END, CASE WHEN off THEN 0.0 ELSE before_r END, CASE WHEN off THEN 0 ELSE repeated END,
+    CASE WHEN off THEN 'off' ELSE reason END, CASE WHEN off THEN 'off' ELSE would END, CASE WHEN off THEN '' WHEN verdict = 'safe' AND NOT (kill OR hypo OR eligible) THEN '' WHEN blocked THEN 'layer1_block' WHEN kill THEN 'tier2_kill_allowed' WHEN {shadow} AND hypo THEN 'tier2_shadow_verdict' WHEN safe AND hypo THEN 'enforcement_skipped_safe_intent'
+      WHEN verdict = 'malicious' THEN 'tier2_kill_denied' WHEN verdict <> 'safe' THEN 'tier2_' || verdict ELSE 'tier2_detection' END, kill AND NOT off, hypo AND act0 = 'kill', blocked, off
+  FROM (SELECT *, {off} AS off, act0 = 'kill' AND eligible AS kill, CASE WHEN act0 = 'kill' AND NOT eligible THEN 'raise_session_risk' ELSE act0 END AS act, CASE WHEN blocked THEN 1 ELSE len(list_filter(past, lambda x: x.v IN {_RISKY})) + (verdict IN {_RISKY})::INT END::INT AS repeated
   FROM (SELECT *, starts_with(reason, 'kill_eligible') AS eligible, starts_with(would, 'kill_eligible') AS hypo
   FROM (SELECT *, CASE WHEN blocked THEN 'layer1_already_blocked' ELSE {reason} END AS reason, CASE WHEN blocked THEN 'layer1_already_blocked' ELSE {chain} END AS would
   FROM (SELECT *, {_CENTS.format("least(200.0, before0 + CASE verdict WHEN 'watch' THEN 5 WHEN 'suspicious' THEN 15 WHEN 'high_risk' THEN 30 WHEN 'malicious' THEN 50 ELSE 0 END)")} AS after_, {_CENTS.format('before0')} AS before_r,
@@ -333,18 +341,18 @@ ctx AS (
   FROM (SELECT *, least(100.0, text_repetition + CASE WHEN category NOT IN ('safe', 'unknown', 'generic_malicious') THEN CASE WHEN seen >= 2 THEN 20 WHEN seen = 1 THEN 10 ELSE 0 END ELSE 0 END + CASE WHEN len(list_filter(past[-4:], lambda x: x.v = 'high_risk')) >= 2 THEN 20 ELSE 0 END) AS rep
   FROM (SELECT c.past, c.state, c.since, c.ended, f.*, len(list_filter(c.past, lambda x: x.c = f.category AND x.v IN ('watch', 'suspicious', 'high_risk', 'malicious') AND x.c NOT IN ('', 'safe', 'unknown', 'tier2_disabled'))) AS seen
     FROM ctx c JOIN feat f ON f.session_id = c.session_id AND f.rn = c.rn + 1)))))))))))),
-scored AS MATERIALIZED (SELECT x.prompt_id, x.session_id, CASE WHEN was_blocked THEN 'layer1_blocked' ELSE 'scored' END AS path, verdict, action, x.category, score AS prompt_score, before_ AS session_before, state AS session_after, CASE WHEN kill THEN 'terminated' ELSE {status.replace('after_', 'state')} END AS session_status,
+scored AS MATERIALIZED (SELECT x.prompt_id, x.session_id, CASE WHEN was_blocked THEN 'layer1_blocked' WHEN skipped THEN 'off' ELSE 'scored' END AS path, verdict, action, x.category, score AS prompt_score, before_ AS session_before, CASE WHEN skipped THEN 0.0 ELSE state END AS session_after, CASE WHEN kill THEN 'terminated' ELSE {status.replace('after_', 'state')} END AS session_status,
   repeated AS repeated_suspicious, reason, would AS would_reason, event_type, kill, would_kill, least(12, round_even(greatest(f.confidence * 100, state) / 100 * 12, 0))::INT AS enforcement_risk, f.epoch, f.prompt, CASE WHEN was_blocked THEN 'block' ELSE 'allow' END AS decision FROM ctx x JOIN feat f ON f.prompt_id = x.prompt_id)"""
 
 
-R.SQL["t2_scored"] = J(_context_sql(False) + " SELECT prompt_id, path, verdict, action, category, prompt_score, session_before, session_after, session_status, repeated_suspicious, reason, would_reason, event_type, enforcement_risk FROM scored", False)
-R.SQL["t2_enforced"] = J(_context_sql(True) + " SELECT prompt_id, verdict, action, kill, reason, session_status, event_type FROM scored", False)
-R.SQL["qry_evidence_top10"] = J(_context_sql(False) + " SELECT prompt_id, session_id, prompt, decision, verdict, epoch FROM scored WHERE decision = 'block' OR action = 'kill' OR verdict IN ('watch', 'suspicious', 'high_risk', 'malicious') ORDER BY epoch DESC, prompt_id DESC LIMIT 10", False)
-R.SQL["qry_reviewed_top12"] = J(_context_sql(False) + " SELECT prompt_id, session_id, verdict, prompt_score, epoch FROM scored WHERE path = 'scored' ORDER BY epoch DESC, prompt_id DESC LIMIT 12", False)
-R.SQL["t2_tally"] = J(_context_sql(False) + " SELECT count(*) FILTER (path = 'scored') AS processed, count(*) FILTER (kill) AS blocked, count(*) FILTER (path <> 'scored') AS skipped, 0::BIGINT AS errors, count(*) FILTER (kill) AS kills, count(*) FILTER (verdict IN ('watch', 'suspicious', 'high_risk')) AS raised, count(*) AS reviewed FROM scored", False)
+R.SQL["t2_scored"] = J(context_sql('default') + " SELECT prompt_id, path, verdict, action, category, prompt_score, session_before, session_after, session_status, repeated_suspicious, reason, would_reason, event_type, enforcement_risk FROM scored", False)
+R.SQL["t2_enforced"] = J(context_sql('enforce') + " SELECT prompt_id, verdict, action, kill, reason, session_status, event_type FROM scored", False)
+R.SQL["qry_evidence_top10"] = J(context_sql('default') + " SELECT prompt_id, session_id, prompt, decision, verdict, epoch FROM scored WHERE decision = 'block' OR action = 'kill' OR verdict IN ('watch', 'suspicious', 'high_risk', 'malicious') ORDER BY epoch DESC, prompt_id DESC LIMIT 10", False)
+R.SQL["qry_reviewed_top12"] = J(context_sql('default') + " SELECT prompt_id, session_id, verdict, prompt_score, epoch FROM scored WHERE path = 'scored' ORDER BY epoch DESC, prompt_id DESC LIMIT 12", False)
+R.SQL["t2_tally"] = J(context_sql('default') + " SELECT count(*) FILTER (path = 'scored') AS processed, count(*) FILTER (kill) AS blocked, count(*) FILTER (path <> 'scored') AS skipped, 0::BIGINT AS errors, count(*) FILTER (kill) AS kills, count(*) FILTER (verdict IN ('watch', 'suspicious', 'high_risk')) AS raised, count(*) AS reviewed FROM scored", False)
 _T3_TAIL = R.T3[len(EVT.rstrip()) + len(f", {R.VERDICTS}") :]
 R.SQL["qry_feed"] = J(
-    _context_sql(False) + f"{_T3_TAIL}, {R.FOUND}, dd AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY window_start, cluster_key ORDER BY {R._RANK}, group_score DESC) = 1)"
+    context_sql('default') + f"{_T3_TAIL}, {R.FOUND}, dd AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY window_start, cluster_key ORDER BY {R._RANK}, group_score DESC) = 1)"
     " SELECT layer, category, count(*) AS n FROM (SELECT 'Detection Event' AS layer, coalesce(intents[1], 'uncategorized') AS category FROM events_ UNION ALL SELECT 'Layer 1', coalesce(intents[1], 'uncategorized') FROM events_ WHERE decision = 'block' OR len(sigs) > 0"
     " UNION ALL SELECT 'Tier 2', category FROM scored UNION ALL SELECT 'Tier 3', cat FROM dd) GROUP BY ALL", False)
 

@@ -175,3 +175,55 @@ SELECT 'local' AS scope_id, '111122223333/agent-' || (user_id % 3)::VARCHAR AS s
   user_id % {AUTHENTIC_EVERY} <> 0 AS session_authentic, CASE WHEN event_id % 3 = 1 THEN CASE WHEN (event_id // 3) % {len(SAYINGS)} < {len(SAYINGS) - BENIGN_SAYINGS} THEN 'attack' ELSE 'benign' END {' '.join(labels)} ELSE 'unknown' END AS expected_label, event_id, user_id, value
 FROM (SELECT event_id, user_id, event_type, value, floor(epoch(ts))::BIGINT AS epoch, nullif(regexp_extract(props, '([0-9]+)', 1), '')::BIGINT AS k FROM (SELECT event_id, user_id, event_type, value, props, ts FROM events))
 """
+
+
+# --- scopes, their policies and the deployment's switches ---------------------------------------
+
+SCOPES = 6
+
+
+def scoped(prompts: DataFrame) -> DataFrame:
+    """The prompts under SCOPES scopes instead of one; a session has one scope."""
+    return prompts.withColumn("scope_id", F.concat(F.lit("scope-"), (F.col("user_id") % SCOPES).cast("string")))
+
+
+def scoped_sql() -> str:
+    return f"SELECT * REPLACE ('scope-' || (user_id % {SCOPES})::VARCHAR AS scope_id) FROM ({prompts_sql()})"
+
+
+#: Every so manieth event writes a policy, or changes the deployment's switches.
+POLICY_EVERY, SWITCH_EVERY = 37, 29
+#: Stored strings by turns: values, values out of bounds, words that are no value, and none.
+POLICY_TURNS = {
+    "tier2_mode": ["enforce", "enforce", "Enforce ", "shadow", "enforce", None, "enforce", "off"], "tier3_mode": ["enforce", None, "enforce", "shadow", "enforce", "nonsense", "enforce"], "tier2_enabled": [None, "true", None, None, "false"],
+    "tier2_default_kill_threshold": ["0.6", None, "0.97", "bad", "0.8"], "tier2_min_malicious_verdicts_for_kill": ["2", "9", None, "0"], "tier2_allow_single_verdict_kill_threshold": ["0.99", "0.9", None],
+    "tier3_min_sessions_for_kill": ["3", "400", None, "2"], "tier3_similarity_threshold": ["0.9", "0.99", None], "tier3_kill_threshold": ["0.9", None, "0.99", "0.8", "0.5"],
+}
+SWITCH_TURNS = {"global_kill": [True] * 4 + [False] + [True] * 6, "tier2_kill": [True] * 7 + [False] + [True] * 5, "tier3_kill": [True, False] + [True] * 12, "enforcement": [True] * 9 + [False]}
+
+
+def _log(spark: SparkSession, sf_dir: str, every: int, turns: dict) -> DataFrame:
+    """One row for each event whose number is a multiple of ``every``, its columns by turns."""
+    e = table(spark, sf_dir, "events").where(F.col("event_id") % every == 0).select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("updated_at"), F.floor(F.col("event_id") / every).alias("n"))
+    at = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("n") % len(values)).cast("int"))
+    return e.select("updated_at", "n", *[at(v).alias(k) for k, v in turns.items()])
+
+
+def policy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of policies as they were written, for all scopes but the last."""
+    return _log(spark, sf_dir, POLICY_EVERY, POLICY_TURNS).select(
+        F.concat(F.lit("scope-"), (F.col("n") % (SCOPES - 1)).cast("string")).alias("scope_id"), "updated_at", (F.col("n") + 1).cast("string").alias("policy_version"), *POLICY_TURNS
+    )
+
+
+def deployment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir, SWITCH_EVERY, SWITCH_TURNS).select("updated_at", *SWITCH_TURNS)
+
+
+def policy_logs_sql() -> str:
+    """CTEs policy_log and deployment_log."""
+    word = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'"
+    turn = lambda n, turns: ", ".join(f"[{', '.join(map(word, v))}][{n} % {len(v)} + 1] AS {k}" for k, v in turns.items())
+    log = lambda every: f"(SELECT floor(epoch(ts))::BIGINT AS updated_at, event_id // {every} AS n FROM events WHERE event_id % {every} = 0)"
+    return f"""policy_log AS (SELECT 'scope-' || (n % {SCOPES - 1})::VARCHAR AS scope_id, updated_at, n + 1 AS policy_version, {turn('n', POLICY_TURNS)} FROM {log(POLICY_EVERY)}),
+deployment_log AS (SELECT updated_at, {turn('n', SWITCH_TURNS)} FROM {log(SWITCH_EVERY)})"""
