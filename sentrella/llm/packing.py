@@ -27,6 +27,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -38,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrella.llm.bpe import byte_symbols
 from sentrella.llm.common import documents, saved, table
 
 CAPACITY, END = 2048, 1
@@ -55,7 +57,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 class Encoder(dict):
     """Ids (16-bit, little-endian) of texts. Nothing of the tokenizer reaches over a space, so a
-    text is its chunks between spaces; those met before come from a bounded table."""
+    text is its chunks between spaces; those met before come from a bounded table. A new word of
+    letters goes to the library's model alone, any other chunk through the whole library."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -67,20 +70,30 @@ class Encoder(dict):
         self.tokenizer.no_padding()
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])], [x.get("type") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"{path}: white space may matter to this tokenizer")
+        self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         word = chunk.rstrip(MARKS)
-        if len(word) < len(chunk) and word.isalpha() and word.isascii():  # a word and its marks
+        if len(word) < len(chunk) and word and word.isalpha():  # a word and its marks
             ids = self[word] + self[chunk[len(word) :]]
+        elif word and len(word) == len(chunk) and chunk.isalpha() and max(chunk) < "\u0100":
+            # Letters up to U+00FF are composed, and lower-case alike everywhere.
+            low = chunk.lower()
+            ids = self[low] if low != chunk else array(self.code, [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols))]).tobytes()
         else:
             ids = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _loaded: dict[str, Encoder] = {}
