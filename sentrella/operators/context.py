@@ -267,6 +267,13 @@ STEP_IN = ["epoch", "decision", "regex_score", "category", "text_repetition", "b
 STEP_OUT = "path string, verdict string, action string, t2_category string, prompt_score double, session_before double, session_after double, session_status string, repetition_score double, repeated_suspicious int, malicious_seen int, reason string, would_reason string, event_type string, kill boolean, would_kill boolean"
 
 
+def evidence(df: DataFrame) -> DataFrame:
+    """Adds what the step reads, from hist, prompt, decision, best_score, label and confidence."""
+    df = overridden(text_features(model_input(df)))
+    df = df.withColumns({"category": category_of(F.col("label"), F.col("ml_input")), "regex_score": regex_component(F.col("decision"), F.col("best_score"), F.lit("none"))})
+    return df.withColumns({"model_score": model_score(F.col("label"), F.col("confidence")), "category_score": category_score(F.col("category"))})
+
+
 def score_context(judged: DataFrame, verdicts: DataFrame, policy: Policy | None = Policy(), reviewed: bool = True) -> DataFrame:
     """Context scores of judged prompts (refused ones don't arrive); ``verdicts`` holds the
     model's (prompt_id, label, confidence), absent ones count as SAFE with confidence 0. With
@@ -274,9 +281,7 @@ def score_context(judged: DataFrame, verdicts: DataFrame, policy: Policy | None
     carried = [] if policy else POLICY_IN
     df = judged.where(~F.coalesce("refused", F.lit(False))).select("scope_id", "session_id", "source", "prompt_id", "epoch", "prompt", "decision", F.col("best_score"), "matched_signatures", "expected_label", *carried)
     df = df.join(verdicts, "prompt_id", "left").withColumns({"label": F.coalesce("label", F.lit("SAFE")), "confidence": F.coalesce("confidence", F.lit(0.0))})
-    df = overridden(text_features(model_input(history(df))))
-    df = df.withColumns({"category": category_of(F.col("label"), F.col("ml_input")), "regex_score": regex_component(F.col("decision"), F.col("best_score"), F.lit("none"))})
-    df = df.withColumns({"model_score": model_score(F.col("label"), F.col("confidence")), "category_score": category_score(F.col("category"))}).drop("hist", "behaviour_reasons")
+    df = evidence(history(df)).drop("hist", "behaviour_reasons")
     base = context_step(policy, reviewed)
 
     def step(state, row):

@@ -19,6 +19,7 @@ from sentrella.functions import fixed
 from sentrella.functions import scalars as S
 from sentrella.functions import text as T
 from sentrella.functions.plan import written
+from sentrella.operators.sessions import fold
 
 MIN_SESSIONS, DISTANCE, PATTERN_MIN, CATEGORY_MIN, RISK_MIN, RISK_AT = 3, 3, 3, 5, 5, 65.0
 COSINE, COOLDOWN, MAX_PROMPTS = 0.82, 1800, 2000
@@ -307,6 +308,28 @@ def not_cooling(found: DataFrame, earlier: DataFrame, now: Column, cooldown: int
     return f.join(e, on, "left_anti").drop("at")
 
 
+def trailing(rows: DataFrame, runs: DataFrame, seconds: int) -> DataFrame:
+    """Records once for each run that sees them, those of the ``seconds`` up to its time; the run
+    takes the window's place. ``runs`` has the times (run_at) of the runs as they were. Records
+    and runs meet in bins of ``seconds``, two for a run, so windows may overlap and drift."""
+    bins = runs.select("run_at").distinct().withColumn("bin", F.explode(F.sequence(F.floor((F.col("run_at") - seconds) / seconds), F.floor(F.col("run_at") / seconds))))
+    here = rows.drop("window_start").withColumn("bin", F.floor(F.col("ingested_at") / seconds))
+    return here.join(bins, "bin").where(F.col("ingested_at").between(F.col("run_at") - seconds, F.col("run_at"))).drop("bin").withColumnRenamed("run_at", "window_start")
+
+
+def cooldown_step(state: dict | None, row: dict) -> tuple[dict, dict]:
+    """A finding is written unless an equal one was written in the cooldown before it; one that
+    is suppressed doesn't prolong it."""
+    if state is not None and state["at"] >= row["window_start"] - row["cooldown"]:
+        return state, {"written": False}
+    return {"at": row["window_start"]}, {"written": True}
+
+
+def cooled(found: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
+    """The findings of successive runs that are written, in the order of the runs."""
+    return fold(found.withColumn("cooldown", F.lit(cooldown)), cooldown_step, ["window_start", "cooldown"], "written boolean", keys=["scope_id", "group_category", "cluster_key"], order=("window_start", "burst_id")).where("written").drop("written", "cooldown")
+
+
 def eligible_scopes(rows: DataFrame, modes: DataFrame) -> DataFrame:
     """Scopes whose mode isn't off and that have enough sessions in the window."""
     n = rows.select("scope_id", "session_id").distinct().groupBy("scope_id").agg(F.count("*").alias("sessions")).where(F.col("sessions") >= MIN_SESSIONS)

@@ -20,25 +20,25 @@ HALF_LIFE, FLOOR, CAP, REPEAT_CAP = 900.0, 0.25, 20.0, 3
 KEYS = ["scope_id", "session_id"]
 
 
-def fold(rows: DataFrame, step: Callable[[dict | None, dict], tuple[dict, dict]], inputs: list[str], outputs: str) -> DataFrame:
+def fold(rows: DataFrame, step: Callable[[dict | None, dict], tuple[dict, dict]], inputs: list[str], outputs: str, keys: list[str] = KEYS, order: tuple[str, ...] = ("epoch", "prompt_id")) -> DataFrame:
     """``rows`` with the output columns that ``step(state, row) -> (state, out)`` gives each row.
 
     Only the keys and inputs become Python values; the other columns pass as Arrow buffers."""
     names = [x.strip().split(" ")[0] for x in outputs.split(",")]
-    ordered = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "epoch", "prompt_id")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + outputs
     kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(outputs).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in KEYS + inputs]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys + inputs]
             out: list[list] = []
             for values in map(list, zip(*columns)):
-                k = values[:2]
+                k = values[: len(keys)]
                 if k != key:
                     key, state = k, None
-                state, got = step(state, dict(zip(inputs, values[2:])))
+                state, got = step(state, dict(zip(inputs, values[len(keys) :])))
                 out.append([got[n] for n in names])
             made = [pa.array(list(c), t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])

@@ -49,12 +49,13 @@ def queue_records(raw: DataFrame, column: str = "record") -> DataFrame:
     return r.select(F.from_json(text, PROMPT).alias("p")).where("p is not null").select("p.*")
 
 
-def gateway_events(raw: DataFrame, column: str = "event", agent: str = "agent", scope: str = "local") -> DataFrame:
-    """Raw gateway events (JSON text) as parsed events: envelope, identity, all inspectable text."""
-    e = raw.select(column, F.from_json(column, EVENT).alias("e"))
+def gateway_events(raw: DataFrame, column: str = "event", agent: str = "agent", scope: str = "local", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw gateway events (JSON text) as parsed events: envelope, identity, all inspectable text;
+    with the columns ``keep`` of the raw rows. Works on streams too."""
+    e = raw.select(*keep, F.from_json(column, EVENT).alias("e"))
     which = F.when(F.col("e.mcp").isNotNull(), "mcp").when(F.col("e.http").isNotNull(), "http").otherwise("")
     request = F.coalesce(F.col("e.mcp.gatewayRequest"), F.col("e.http.gatewayRequest"))
-    e = e.select(which.alias("envelope"), request.alias("r"), "e.requestContext.accountId", "e.requestContext.requestId")
+    e = e.select(*keep, which.alias("envelope"), request.alias("r"), "e.requestContext.accountId", "e.requestContext.requestId")
     body = F.when(F.col("envelope") == "http", S.decode_body(F.col("r.body"))).otherwise(F.col("r.body"))
     e = e.withColumn("body_text", body).withColumn("b", F.from_json("body_text", BODY))
     e = e.withColumn("headers", F.map_from_entries(F.transform(F.map_entries(F.coalesce("r.headers", F.create_map().cast("map<string,string>"))), lambda x: F.struct(F.lower(x["key"]), x["value"]))))
@@ -66,7 +67,7 @@ def gateway_events(raw: DataFrame, column: str = "event", agent: str = "agent",
     said = F.array_join(F.filter(F.transform("b.messages", lambda m: m["content"]), lambda c: F.trim(c) != ""), "\n")
     e = e.withColumn("h", S.harvest_text("body_text"))
     return e.select(
-        F.lit(scope).alias("scope_id"), "envelope", S.source_of(account, F.lit(agent)).alias("source"), account.alias("account_id"),
+        *keep, F.lit(scope).alias("scope_id"), "envelope", S.source_of(account, F.lit(agent)).alias("source"), account.alias("account_id"),
         F.coalesce(asserted, baggage, S.derived_session(F.col("accountId"), F.col("requestId"), F.col("body_text"))).alias("session_id"), asserted.isNotNull().alias("session_authentic"),
         F.coalesce(F.nullif(F.trim("b.inputText"), F.lit("")), arg("prompt"), arg("message"), said, F.lit("")).alias("prompt"),
         F.when(S.is_control(F.col("b.method")), "").otherwise(F.col("h.text")).alias("inspectable_text"), F.col("h.truncated").alias("truncated"),
