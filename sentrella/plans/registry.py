@@ -621,4 +621,4 @@ def qry_session_summary(spark, sf):
     return j.groupBy("session_id").agg(F.max_by("prompt_id", F.struct("epoch", "prompt_id")).alias("last_prompt"), F.count_if(F.col("decision") == "block").alias("blocks"), F.count_distinct("prompt").alias("distinct_prompts"))
 
 
-from sentrella.plans import control, scopes, streams  # noqa: E402, F401  (they add their queries)
+from sentrella.plans import control, models, scopes, streams  # noqa: E402, F401  (they add their queries)

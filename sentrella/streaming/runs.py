@@ -40,7 +40,7 @@ def played(rows: DataFrame, by: str, of: Callable[[DataFrame], DataFrame], name:
     folder = f"{shared_folder(spark)}/sentrella-stream-{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/whole")
     whole = spark.read.schema(rows.schema).parquet(f"{folder}/whole")
-    cuts = whole.agg(F.percentile(by, [k / parts for k in range(1, parts)]).alias("c")).first().c if parts > 1 else []
+    cuts = whole.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000).alias("c")).first().c if parts > 1 else []
     cuts = [None, *(cuts or []), None]
     for k in range(len(cuts) - 1):
         low, high = cuts[k], cuts[k + 1]
