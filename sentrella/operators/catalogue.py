@@ -135,3 +135,10 @@ def compiled(entries: DataFrame) -> tuple[tuple[str, str, str, str], ...]:
 def metadata(entries: DataFrame) -> DataFrame:
     """Number of entries of a catalogue and its distinct categories."""
     return entries.agg(F.count("*").alias("signatures"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+
+
+def authored(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The catalogue of a scope after an author's additions: a stored id keeps its pattern, of a
+    new one repeated in the addition the least pattern is added. Adds state, stored or added."""
+    fresh = new.groupBy("signature_id").agg(F.min("pattern").alias("pattern")).join(stored.select("signature_id").distinct(), "signature_id", "left_anti")
+    return stored.select("signature_id", "pattern", F.lit("stored").alias("state")).unionByName(fresh.select("signature_id", "pattern", F.lit("added").alias("state")))

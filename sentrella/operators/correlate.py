@@ -317,6 +317,13 @@ def trailing(rows: DataFrame, runs: DataFrame, seconds: int) -> DataFrame:
     return here.join(bins, "bin").where(F.col("ingested_at").between(F.col("run_at") - seconds, F.col("run_at"))).drop("bin").withColumnRenamed("run_at", "window_start")
 
 
+def examples(members: DataFrame, most: int = 10) -> DataFrame:
+    """The first prompts of each group, ``most`` of them: cut before they are gathered."""
+    nth = F.row_number().over(Window.partitionBy(*GROUP).orderBy("ingested_at", "prompt_id"))
+    few = members.select(*GROUP, "prompt_id", nth.alias("n")).where(F.col("n") <= most)
+    return few.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "prompt_id"))), lambda x: x["prompt_id"]).alias("examples"))
+
+
 def cooldown_step(state: dict | None, row: dict) -> tuple[dict, dict]:
     """A finding is written unless an equal one was written in the cooldown before it; one that
     is suppressed doesn't prolong it."""

@@ -229,3 +229,10 @@ def detect_distinct(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
     other = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], *new)
     on = reduce(lambda a, b: a & b, [prompts[k].eqNullSafe(other[f"_{k}"]) for k in keys])
     return prompts.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def known_digests(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the severity of their digest in a table of known ones (null: unknown). Copies
+    of a digest count once; Spark broadcasts a small feed and splits hot digests of a large one."""
+    feed = known.groupBy("digest").agg(F.min("severity").alias("severity"))
+    return rows.join(feed, "digest", "left")

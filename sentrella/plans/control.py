@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sentrella.functions import fixed
 from sentrella.functions import scalars as S
-from sentrella.functions.plan import shared_folder
-from sentrella.operators import catalogue, correlate, detect, reads
+from sentrella.functions.plan import shared_folder, written
+from sentrella.operators import catalogue, correlate, detect, reads, sessions
 from sentrella.plans import registry as R
 from sentrella.plans import sql as Q
 from sentrella.plans.registry import EVT, J, evt, judged, query
@@ -371,11 +373,62 @@ def t3_carried(spark, sf):
     return correlate.records(j, R.MINUTES).select("prompt_id", "category", "critical_signature", "record_risk")
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), near AS (SELECT a.label, a.vec_id AS base, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND (a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= 0.4)),
+@query("""WITH v AS (SELECT vec_id, label, (embedding::DOUBLE[])[1:8] AS e FROM embeddings), near AS (SELECT a.label, a.vec_id AS base, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND (a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= 0.82)),
 sets AS (SELECT label, list(other ORDER BY other) AS ids, count(*) AS prompts, count(DISTINCT other % 50) AS sessions FROM near GROUP BY label, base HAVING count(DISTINCT other % 50) >= 3)
 SELECT 'label-' || label::VARCHAR AS category, prompts, sessions, count(*) AS groups FROM (SELECT DISTINCT label, ids, prompts, sessions FROM sets) GROUP BY ALL""")
 def t3_embedding(spark, sf):
-    """Star clusters of vectors of one category (at a cosine of 0.4, which these vectors reach)."""
-    m = correlate.embedding(R.t3_embedded(spark, sf), 0.4)
+    """Star clusters of vectors of one category."""
+    m = correlate.embedding(R.t3_embedded(spark, sf))
     sets = m.groupBy("group_key", "category").agg(F.count("*").alias("prompts"), F.count_distinct("session_id").alias("sessions"))
     return sets.groupBy("category", "prompts", "sessions").agg(F.count("*").alias("groups"))
+
+
+# --- the gate, feeds as files, known prompts, examples ------------------------------------------------
+
+
+@query(J("SELECT prompt_id, CASE WHEN refused OR decision = 'block' THEN 'refuse' ELSE 'pass' END AS action, CASE WHEN decision = 'block' THEN 'stopped' END AS kill_outcome FROM folded"))
+def eng_gate(spark, sf):
+    """What a gate does with each prompt: it refuses the blocked one and stops the session at once."""
+    return sessions.actions(judged(spark, sf), "gate").select("prompt_id", "action", "kill_outcome")
+
+
+@query("""SELECT CASE WHEN item_id % 10 = 0 THEN 'sig-r-atlas-001' ELSE 'feed-' || item_id::VARCHAR END AS signature_id, ['critical', 'high', 'medium', 'low'][item_id % 4 + 1] AS severity, 'feed' AS category, '(?i)' || w AS pattern
+FROM (SELECT item_id, regexp_extract(lower(text), '[a-z]{4,}') AS w FROM benchmark) WHERE w <> ''""")
+def src_signature_feed(spark, sf):
+    """A feed written as one JSON file, and read back as a whole."""
+    folder = f"{shared_folder(spark)}/sentrella-feed-{uuid.uuid4().hex}"
+    entry = F.to_json(F.struct(F.struct("ord", F.col("signature_id").alias("id"), "pattern", "severity", "category").alias("e"))).alias("e")
+    entries = feed(spark, sf).select("ord", entry).agg(F.array_sort(F.collect_list(F.struct("ord", "e"))).alias("all"))  # one file by nature; a feed has MAX_ENTRIES at most
+    body = F.concat(F.lit('{"signatures": ['), F.array_join(F.transform("all", lambda x: F.get_json_object(x["e"], "$.e")), ", "), F.lit("]}"))
+    entries.select(body.alias("value")).coalesce(1).write.text(folder)
+    return records.signature_feed(spark, folder).select("signature_id", "severity", "category", "pattern")
+
+
+@query("""WITH known AS (SELECT DISTINCT sha256(text) AS digest FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)
+SELECT 'doc-' || doc_id::VARCHAR AS prompt_id, sha256(coalesce(text, '')) AS digest, sha256(coalesce(text, '')) IN (SELECT digest FROM known) AS known FROM documents""")
+def sig_known_prompts(spark, sf):
+    """Whole documents against a feed of known digests, those of every fiftieth document: it
+    finds them and their exact copies. A join, so the feed may be of any size."""
+    d = views.table(spark, sf, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = d.where("doc_id % 50 = 0 and text is not null").select(digest.alias("digest"), F.lit("critical").alias("severity"))
+    rows = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("prompt_id"), digest.alias("digest"))
+    return detect.known_digests(rows, known).select("prompt_id", "digest", F.col("severity").isNotNull().alias("known"))
+
+
+@query(R.T3 + f""", nth AS (SELECT method, window_start, group_key, prompt_id, row_number() OVER (PARTITION BY method, window_start, group_key ORDER BY epoch, prompt_id) AS n FROM members)
+SELECT method, window_start, group_key, string_agg(prompt_id, ',' ORDER BY n) AS examples FROM nth WHERE n <= 10 GROUP BY ALL""")
+def t3_examples(spark, sf):
+    """The first ten prompts of each group."""
+    rows, risks = written(R.t3_records(spark, sf), "t3-records"), views.session_risks(evt(spark, sf))
+    m = correlate.exact_hash(rows).unionByName(correlate.pattern(rows)).unionByName(correlate.category(rows)).unionByName(correlate.session_risk(rows, risks))
+    return correlate.examples(m).select("method", "window_start", "group_key", F.array_join("examples", ",").alias("examples"))
+
+
+@query("""WITH own AS (SELECT 'own-' || item_id::VARCHAR AS signature_id, '(?i)' || w AS pattern FROM (SELECT item_id, regexp_extract(lower(text), '[a-z]{4,} [a-z]{4,}') AS w FROM benchmark) WHERE w <> ''), old AS (SELECT * FROM own WHERE right(signature_id, 1) IN ('0', '1', '2', '3'))
+SELECT signature_id, min(pattern) AS pattern, CASE WHEN signature_id IN (SELECT signature_id FROM old) THEN 'stored' ELSE 'added' END AS state FROM own GROUP BY signature_id""")
+def sig_authored(spark, sf):
+    """Signatures appended as authors write them: a known id is kept, a new one is added."""
+    b = views.table(spark, sf, "benchmark").select(F.concat(F.lit("own-"), F.col("item_id").cast("string")).alias("signature_id"), F.regexp_extract(F.lower("text"), WORD + " " + WORD, 0).alias("w")).where("w <> ''").select("signature_id", F.concat(F.lit("(?i)"), "w").alias("pattern"))
+    stored = b.where(F.substring("signature_id", -1, 1).isin("0", "1", "2", "3"))
+    return catalogue.authored(stored, b).select("signature_id", "pattern", "state")

@@ -37,10 +37,9 @@ LEET = "translate(lower(prompt), '" + fixed.LEET_FROM + "', '" + fixed.LEET_TO +
 
 
 def structure(prompt: str = "prompt") -> str:
-    """Links, addresses, ids, digests and numbers by their kind (RE2 has no back references, so
-    quotations aren't covered; the derived prompts hold none)."""
+    """Links, addresses, ids, digests, quotations and numbers by their kind."""
     t = f"trim(regexp_replace(lower({prompt}), '\\s+', ' ', 'g'), ' ')"
-    steps = ((r"https?://\S+|www\.\S+", "<url>"), (r"\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b", "<email>"), (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<id>"), (r"\b[0-9a-f]{16,}\b", "<hash>"), (r"\b\d+(?:\.\d+)?\b", "<num>"))
+    steps = ((r"https?://\S+|www\.\S+", "<url>"), (r"\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b", "<email>"), (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<id>"), (r"\b[0-9a-f]{16,}\b", "<hash>"), (r"\x27(?:\\.|[^\\])*?\x27|\x22(?:\\.|[^\\])*?\x22", "<quote>"), (r"\b\d+(?:\.\d+)?\b", "<num>"))
     for pattern, name in steps:
         t = f"regexp_replace({t}, '{pattern}', '{name}', 'g')"
     return f"array_to_string(list_transform(regexp_extract_all({t}, '[a-z0-9_<>'']+'), lambda x: CASE WHEN length(x) >= 24 AND regexp_matches(x, '[0-9]') THEN '<id>' ELSE x END), ' ')"
@@ -116,8 +115,8 @@ def tier1(terminate: bool = True) -> str:
     expanded = "plain_text"
     for a, b in fixed.POLICY_TYPOS:
         expanded = f"replace({expanded}, {q(a)}, {q(b)})"
-    basic = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_/\\]+', ' ', 'g'), '[^\w\s''""-]', ' ', 'g')").replace('""', '"')
-    plain = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_\-/\\]+', ' ', 'g'), '[^\w\s''-]', ' ', 'g')")
+    basic = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_/\\]+', ' ', 'g'), '[^\p{L}\p{N}_\s''\x22-]', ' ', 'g')")
+    plain = SQUEEZE.format(r"regexp_replace(regexp_replace(" + LEET + r", '[_\-/\\]+', ' ', 'g'), '[^\p{L}\p{N}_\s''-]', ' ', 'g')")
     corrected = SQUEEZE.format(chain("normalized", fixed.TYPOS + fixed.PHRASES + fixed.GRAMMAR))
     block = "(policy_critical OR policy_score >= 8)"
     decayed = "f.score * CASE WHEN s.epoch - f.epoch <= 0 THEN 1 ELSE greatest(0.25, least(1.0, pow(0.5, (s.epoch - f.epoch) / 900.0))) END"

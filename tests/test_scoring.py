@@ -1,17 +1,18 @@
 """A model that fails, hangs or answers oddly, and delivery to it."""
 
-import json
-import time
-
 from pyspark.sql import functions as F
 
 from sentrella.operators import scoring
 
 
-def odd():
-    """Loads a scorer that refuses one text, hangs on another, and counts its loads."""
+def odd_model():
+    """A loader (made here, so that it travels with the job) of a scorer that refuses one text,
+    hangs on another and is one reply short on a third."""
 
     def score(texts):
+        import json
+        import time
+
         if "refuse" in texts:
             raise KeyError("refuse")
         if "hang" in texts:
@@ -20,20 +21,23 @@ def odd():
             return []
         return [json.dumps([{"label": t, "score": 0.5}, {"label": "LOW", "score": 0.1}]) for t in texts]
 
-    return score
+    def load():
+        return score
+
+    return load
 
 
 def test_a_bad_text_fails_alone(spark):
     texts = ["a", "b", "refuse", "hang", "short", "", None, "a"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
-    got = {r.id: r for r in scoring.scored(df, "t", odd, batch=10, seconds=0.5).collect()}
+    got = {r.id: r for r in scoring.scored(df, "t", odd_model(), batch=10, seconds=0.5).collect()}
     assert len(got) == len(texts)
     assert got[0].label == got[7].label == "a" and got[1].label == "b" and got[0].confidence == 0.5 and not got[0].degraded
     assert "refuse" in got[2].error and got[2].label is None and "TimeoutError" in got[3].error and "0 replies to 1" in got[4].error
     assert got[5].error is None and got[6].error is None
-    tally = scoring.tally(scoring.scored(df, "t", odd, 10, 0.5), F.col("label") == "b", F.coalesce("t", F.lit("")) == "").first()
+    tally = scoring.tally(scoring.scored(df, "t", odd_model(), 10, 0.5), F.col("label") == "b", F.coalesce("t", F.lit("")) == "").first()
     assert (tally.processed, tally.blocked, tally.skipped, tally.errors) == (3, 1, 2, 3)
-    assert scoring.scored(df.limit(0), "t", odd).count() == 0
+    assert scoring.scored(df.limit(0), "t", odd_model()).count() == 0
 
 
 def test_replies_of_every_shape(spark):
