@@ -23,15 +23,17 @@ _scratch: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, the warehouse of a
-    cluster, or a temporary folder where driver and executors are one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor and the driver can reach, named by ``spark.checkpoint.dir``.
+    Where that is unset, a temporary folder where driver and executors are one machine, and an
+    error on a cluster, whose default folders are each machine's own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _scratch[app] = tempfile.mkdtemp(prefix="sentrella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _scratch[app] = tempfile.mkdtemp(prefix="sentrella-")
     return _scratch[app]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sentrella.functions import fixed
 from sentrella.functions import scalars as S
 from sentrella.functions.plan import shared_folder, written
-from sentrella.operators import catalogue, correlate, detect, reads, sessions
+from sentrella.operators import catalogue, correlate, detect, patterns, reads, sessions
 from sentrella.plans import registry as R
 from sentrella.plans import sql as Q
 from sentrella.plans.registry import EVT, J, evt, judged, query
@@ -74,6 +74,16 @@ def sig_added_hits(spark, sf):
     return found.groupBy("id").agg(F.count("*").alias("documents")).withColumn("m", F.get(detect.detailed(F.array("id"), used), F.lit(0))).select(F.col("id").alias("signature_id"), "m.severity", "m.category", "documents")
 
 
+@query(R.SQL["sig_added_hits"])
+def sig_pattern_join(spark, sf):
+    """The same by an inverted index of the patterns' literals: the catalogue stays a table."""
+    entries = in_use(spark, sf).where("rank > 0")
+    found = patterns.matches(views.table(spark, sf, "documents").select("text"), entries)
+    copies = views.table(spark, sf, "documents").where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
+    counted = found.join(copies, "text").groupBy("signature_id").agg(F.sum("n").alias("documents"))
+    return counted.join(entries.select("signature_id", "severity", "category"), "signature_id").select("signature_id", "severity", "category", "documents")
+
+
 @query("WITH f AS (SELECT item_id % 3 AS g, count(*) AS n, count(*) FILTER (item_id % 3 = 1 AND item_id % 5 = 1) AS bad FROM benchmark GROUP BY 1) SELECT g AS feed, CASE WHEN bad = 0 AND n >= 10 THEN n ELSE 0 END AS accepted FROM f")
 def sig_packages(spark, sf):
     """Feeds are taken whole or not at all: the second holds entries without a pattern."""
