@@ -249,12 +249,60 @@ def test_model_is_normalised():
     k, s = language_model.shape(5000)
     c = k + s
     pairs = np.unique(rng.integers(0, 2 * c * c, 3000))
-    model = language_model.train(pairs, rng.integers(1, 50, len(pairs)).astype(float), k, s)
+    times = rng.integers(1, 50, len(pairs))
+    model = language_model.train(iter([(pairs, times)]), np.bincount(pairs % c, weights=times, minlength=c), k, s)
     for i in (0, 1):
         p = language_model.chances(model, i, np.repeat(np.arange(c), c), np.tile(np.arange(c), c)).reshape(c, c)
         assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def test_samples_follow_the_counts(spark):
+    """Each pair gets its expected draws up to rounding, over all chunks alike."""
+    counts = {int(i): int(n) for i, n in enumerate(np.random.default_rng(2).zipf(1.3, 4000).clip(0, 10**6))}
+    total = sum(counts.values())
+    samples, chunks = language_model.drawn(spark.createDataFrame(list(counts.items()), "pair long, n long"), total, 64)
+    got = samples.toPandas()
+    draws = language_model.steps_of(64) * language_model.BATCH
+    by = got.groupby("pair").times.sum()
+    assert all(abs(by.get(i, 0) - n * draws / total) <= 1 for i, n in counts.items()) and got.times.sum() == pytest.approx(draws, rel=0.01)
+    assert set(got.chunk) == set(range(chunks)) and got.groupby("chunk").times.sum().std() < 0.05 * draws / chunks
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    """Every token's probability again, from the model's vectors, in plain Python."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(150)] + ["the", "of", "Ünï"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(80)] + ["never seen words", "the of THE"]
+    kept = {}
+    real = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: kept.setdefault("m", real(*a)))
+    out = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 70).toPandas().set_index("doc_id").score
+    counts = Counter(w for t in texts[:70] for w in language_model.words_of(t))
+    total = sum(counts.values()) + 70
+    k, s = language_model.shape(total)
+    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][: k - 1]
+    of = lambda w: k - 1 if w is None else top.index(w) if w in top else k + language_model.suffix(w) % s
+    shared = {c: [n for w, n in counts.items() if of(w) == c] for c in range(k, k + s)}
+    m = kept["m"]
+
+    def parts(text):
+        past = [k - 1, k - 1]
+        for w in [*language_model.words_of(text), None]:
+            c = of(w)
+            p = []
+            for i in (0, 1):
+                logits = m["h"][i][past[-1 - i]].astype(float) @ m["q"].T.astype(float) + m["b"]
+                p.append(np.exp(logits[c] - np.log(np.exp(logits).sum())))
+            yield p, 0.0 if c < k else np.log10((counts[w] + 0.5) / (sum(shared[c]) + 0.5 * (len(shared[c]) + 1)))
+            past = [past[-1], c]
+
+    whole = [list(parts(t)) for t in texts]
+    score = lambda ps, x: sum(np.log10(x * p[0] + (1 - x) * p[1]) + w for p, w in ps)
+    weight = max(language_model.WEIGHTS, key=lambda x: sum(np.log10(x * p[0] + (1 - x) * p[1]) for t in whole[:70] for p, _ in t))
+    for i, ps in enumerate(whole):
+        assert out[i] == pytest.approx(score(ps, weight), abs=1e-3), texts[i]
+
+
 def test_words_of_a_class_share_its_probability(spark):
     """Summed over the vocabulary and one unknown word a class, chances of a next word are one."""
     rng = np.random.default_rng(1)
