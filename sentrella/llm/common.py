@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_scratch: dict[str, str] = {}
+from sentrella.functions.plan import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,19 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a cluster's warehouse
-    serves, and a temporary folder only where driver and executors are one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _scratch[app] = tempfile.mkdtemp(prefix="sentrella-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return _scratch[app]
+    """The folder every executor and the driver can reach (see ``shared_folder``)."""
+    return shared_folder(spark)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
