@@ -442,3 +442,31 @@ def sig_authored(spark, sf):
     b = views.table(spark, sf, "benchmark").select(F.concat(F.lit("own-"), F.col("item_id").cast("string")).alias("signature_id"), F.regexp_extract(F.lower("text"), WORD + " " + WORD, 0).alias("w")).where("w <> ''").select("signature_id", F.concat(F.lit("(?i)"), "w").alias("pattern"))
     stored = b.where(F.substring("signature_id", -1, 1).isin("0", "1", "2", "3"))
     return catalogue.authored(stored, b).select("signature_id", "pattern", "state")
+
+
+# --- all six detectors in SQL ---------------------------------------------------------------------------
+
+_SIM = R.SQL["t3_simhash"][len(R.T3) : R.SQL["t3_simhash"].index("\nSELECT window_start, min(group_key)")]
+_BASE_KEY = "(CASE WHEN n.base >= 9223372036854775808::UBIGINT THEN n.base::HUGEINT - 18446744073709551616::HUGEINT ELSE n.base::HUGEINT END)::VARCHAR"
+_ALL_MEMBERS = f"""{R.T3.replace("members AS MATERIALIZED (", "members4 AS MATERIALIZED (", 1)}{_SIM},
+pick AS (SELECT window_start, min(group_key) AS group_key FROM sets GROUP BY window_start, ids),
+sim AS (SELECT 'simhash' AS method, p.group_key, r.* FROM pick p JOIN near n ON n.window_start = p.window_start AND {_BASE_KEY} = p.group_key JOIN rows_ x ON x.window_start = n.window_start AND x.fp = n.other JOIN records r ON r.prompt_id = x.prompt_id),
+vecs AS (SELECT vec_id, label, (embedding::DOUBLE[])[1:{views.VECTOR}] AS e, 'vec-' || lpad(vec_id::VARCHAR, 12, '0') AS prompt_id, 'user-' || (vec_id % 50)::VARCHAR AS session_id FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+vnear AS (SELECT a.label, a.vec_id AS base, b.vec_id AS other, b.prompt_id, b.session_id FROM vecs a JOIN vecs b ON a.label = b.label AND (a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= {correlate.COSINE})),
+vsets AS (SELECT label, base, list(other ORDER BY other) AS ids FROM vnear GROUP BY label, base HAVING count(DISTINCT session_id) >= {correlate.MIN_SESSIONS}),
+vpick AS (SELECT label, min(base) AS base FROM vsets GROUP BY label, ids),
+emb AS (SELECT 'embedding' AS method, base::VARCHAR AS group_key, session_id, prompt_id, 'label-' || label::VARCHAR AS category, 0.0::DOUBLE AS record_risk, now AS epoch, now - now % {R.MINUTES * 60} AS window_start FROM vpick JOIN vnear USING (label, base), (SELECT max(epoch) AS now FROM evt)),
+members AS MATERIALIZED (SELECT * FROM members4 UNION ALL BY NAME SELECT * FROM sim UNION ALL BY NAME SELECT * FROM emb)"""
+_ALL_FOUND = R.FOUND.replace("(CASE method WHEN 'exact_hash'", "(CASE method WHEN 'simhash' THEN CASE WHEN has_category THEN 0.90 WHEN has_risk THEN 0.86 ELSE 0.78 END WHEN 'embedding' THEN CASE WHEN has_category AND has_risk THEN 0.93 ELSE 0.91 END WHEN 'exact_hash'", 1)
+_CRITICAL = ", ".join(map(Q.q, fixed.CRITICAL_CATEGORIES))
+R.SQL["t3_full_analysis"] = f"""{_ALL_MEMBERS}, {_ALL_FOUND},
+burst AS (SELECT *, sha256('local|' || window_start::VARCHAR || '|' || method || '|' || cat || '|' || CASE method WHEN 'exact_hash' THEN group_key WHEN 'category_burst' THEN cat ELSE cluster_key END) AS burst_id FROM found),
+dd AS (SELECT * FROM burst QUALIFY row_number() OVER (PARTITION BY window_start, cluster_key ORDER BY {R._RANK}, group_score DESC, burst_id) = 1),
+sure AS (SELECT *, confidence >= 0.9 AND sessions >= 3 AND CASE method WHEN 'exact_hash' THEN critical WHEN 'simhash' THEN critical AND (average_risk >= 80 OR max_risk >= 90) WHEN 'embedding' THEN critical AND average_risk >= 80 AND repeated >= 2 WHEN 'normalized_pattern_burst' THEN critical OR max_risk >= 90 ELSE FALSE END AS would FROM dd),
+named AS (SELECT *, CASE method WHEN 'exact_hash' THEN CASE WHEN would THEN 'tier3_exact_critical_repeat' ELSE 'tier3_exact_grouped_alert' END WHEN 'simhash' THEN CASE WHEN would THEN 'tier3_simhash_critical_burst' ELSE 'tier3_simhash_grouped_alert' END
+    WHEN 'embedding' THEN CASE WHEN would THEN 'tier3_embedding_critical_cluster' ELSE 'tier3_embedding_grouped_alert' END WHEN 'normalized_pattern_burst' THEN CASE WHEN would THEN 'tier3_pattern_supported_critical_burst' ELSE 'tier3_pattern_grouped_alert' END
+    WHEN 'session_risk_burst' THEN 'tier3_session_risk_grouped_alert' ELSE 'tier3_category_grouped_alert' END AS threshold_used,
+  CASE WHEN group_score < 90 THEN 'group_score_below_threshold' WHEN sessions < 3 THEN 'affected_sessions_below_threshold' WHEN confidence < 0.95 THEN 'confidence_below_threshold' WHEN confidence < 0.9 THEN 'similarity_below_threshold'
+    WHEN method IN ('normalized_pattern_burst', 'session_risk_burst') AND cat IN ('unknown', 'safe', 'allow', 'session_risk') THEN 'generic_pattern_alert_only' WHEN NOT (method IN ('exact_hash', 'simhash', 'category_burst', 'embedding') OR method = 'normalized_pattern_burst' AND cat IN ({_CRITICAL})) THEN 'method_not_enforcement_eligible' ELSE '' END AS why FROM sure)
+SELECT method, window_start, cat AS category, sessions, confidence, group_score, CASE WHEN would AND why = '' THEN 'grouped_kill_triggered' ELSE {Q.ladder('group_score', [(85, 'grouped_malicious'), (65, 'grouped_high_risk')], 'grouped_watch')} END AS decision,
+  CASE WHEN would AND why = '' THEN 'kill' ELSE 'grouped_alert_only' END AS action, CASE WHEN would THEN why ELSE threshold_used END AS kill_denied_reason, burst_id FROM named"""
