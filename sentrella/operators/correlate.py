@@ -135,34 +135,85 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
     return members.join(first, GROUP)
 
 
+PIVOTS = 64
+
+
+def unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which rows have one (zero vectors have no direction)."""
+    x = np.array(column.tolist(), dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1)
+    return x[norm > 0] / norm[norm > 0, None], norm > 0
+
+
+def blocks_of(vectors: DataFrame, at_least: float, block: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their cell and block, and the pairs of blocks of a label that may hold a pair
+    whose cosine reaches the bound: (label, dim, cell, block, other_cell, other_block).
+
+    A cell is the nearest of up to PIVOTS vectors of the table. By the triangle inequality on the sphere
+    no vectors of two cells are closer than the angle of their pivots less both radii (the largest
+    angle of a vector of the label to its pivot); cells further apart than the bound don't meet."""
+    v = vectors.select("vec_id", "label", "embedding").where("embedding is not null and label is not null and size(embedding) > 0").withColumn("dim", F.size("embedding"))
+    # Cells of about a block of vectors at least: smaller ones cost more than they save.
+    few = max(1, min(pivots, v.count() // block))
+    chosen = v.orderBy(F.xxhash64("vec_id", F.to_json("embedding")), "vec_id").limit(few).select("dim", "embedding").toPandas()  # a bounded sample
+    most = int(chosen["dim"].mode().iloc[0]) if len(chosen) else 0
+    p, _ = unit(chosen[chosen["dim"] == most]["embedding"]) if len(chosen) else (np.zeros((0, 0)), None)
+
+    def dealt(parts):
+        for pdf in parts:
+            for dim, rows in pdf.groupby("dim"):
+                x, ok = unit(rows["embedding"])
+                rows = rows[ok]
+                cell, angle = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.pi)  # vectors of another length share one cell
+                if dim == most and len(p):
+                    c = x @ p.T
+                    cell = c.argmax(1).astype(np.int32)
+                    angle = np.arccos(np.clip(c.max(1), -1, 1))
+                yield rows.assign(cell=cell, angle=angle)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.schema.fields)
+    placed = written(v.mapInPandas(dealt, kinds + ", cell int, angle double"), "t3-cells")
+    sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"), F.max("angle").alias("radius"))
+    between = np.arccos(np.clip(p @ p.T, -1, 1)) if len(p) else np.zeros((1, 1))
+    apart = vectors.sparkSession.createDataFrame([(i, j, float(between[i, j])) for i in range(len(between)) for j in range(i, len(between))], "cell int, other_cell int, apart double")  # PIVOTS squared rows
+    theta = float(np.arccos(np.clip(at_least, -1, 1)))
+    one = sizes.select("label", "dim", "cell", F.col("blocks").alias("n"), F.col("radius").alias("r"))
+    two = sizes.select("label", "dim", F.col("cell").alias("other_cell"), F.col("blocks").alias("other_n"), F.col("radius").alias("other_r"))
+    cells = one.join(F.broadcast(apart), "cell").join(two, ["label", "dim", "other_cell"]).where(F.col("apart") - F.col("r") - F.col("other_r") <= theta + 1e-9)
+    zero = F.lit(0).cast("bigint")
+    pairs = cells.withColumn("block", F.explode(F.sequence(zero, F.col("n") - 1))).withColumn("other_block", F.explode(F.sequence(zero, F.col("other_n") - 1)))
+    pairs = pairs.where((F.col("cell") < F.col("other_cell")) | (F.col("block") <= F.col("other_block"))).select("label", "dim", "cell", "block", "other_cell", "other_block")
+    numbered = placed.join(sizes.drop("radius"), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks", "angle")
+    return numbered, pairs
+
+
 def similar_vectors(vectors: DataFrame, at_least: float = COSINE, block: int = 2048) -> DataFrame:
     """(label, a, b, cosine) of all pairs a < b of one label and length whose cosine reaches the bound.
 
-    Vectors are dealt in blocks; each pair of blocks of a label is one matrix product in a
-    task, which holds two blocks and returns the pairs found only."""
-    v = vectors.select("vec_id", "label", "embedding").where("embedding is not null and label is not null")
-    v = v.withColumn("dim", F.size("embedding"))
-    sizes = v.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = v.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    paired = dealt.withColumn("with", other).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    Vectors are dealt in cells and blocks (see ``blocks_of``); each pair of blocks that may hold
+    such a pair is one matrix product in a task, which holds two blocks and returns the pairs
+    found only."""
+    numbered, pairs = blocks_of(vectors, at_least, block)
+    named = pairs.withColumn("pair", F.struct("cell", "block", "other_cell", "other_block"))
+    left = named.select("label", "dim", "cell", "block", "pair", F.lit(True).alias("low"))
+    right = named.where("cell <> other_cell or block <> other_block").select("label", "dim", F.col("other_cell").alias("cell"), F.col("other_block").alias("block"), "pair", F.lit(False).alias("low"))
+    sent = numbered.join(left.unionByName(right), ["label", "dim", "cell", "block"]).select("label", "dim", "vec_id", "embedding", "pair.*", "low")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-        x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        ok = norm > 0
-        x, ids, blocks = x[ok] / norm[ok, None], pdf["vec_id"].to_numpy()[ok], pdf["block"].to_numpy()[ok]
-        i, j = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        x, ok = unit(pdf["embedding"])
+        ids, low = pdf["vec_id"].to_numpy()[ok], pdf["low"].to_numpy(bool)[ok]
+        i, j = np.flatnonzero(low), np.flatnonzero(~low)
+        within = not len(j)
+        if within:
+            j = i
         s = x[i] @ x[j].T
         p, q = np.nonzero(s >= at_least)
         a, b, c = ids[i[p]], ids[j[q]], s[p, q]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        keep = (lo < hi) if low != high else (a < b)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "a": lo[keep], "b": hi[keep], "cosine": c[keep]})
+        keep = (a < b) if within else (a != b)
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[keep]})
 
-    kind, key = (v.schema[c].dataType.simpleString() for c in ("label", "vec_id"))
-    return paired.groupBy("label", "dim", "low", "high").applyInPandas(near, f"label {kind}, a {key}, b {key}, cosine double")
+    kind, key = (numbered.schema[c].dataType.simpleString() for c in ("label", "vec_id"))
+    return sent.groupBy("label", "dim", "cell", "block", "other_cell", "other_block").applyInPandas(near, f"label {kind}, a {key}, b {key}, cosine double")
 
 
 def embedding(rows: DataFrame, at_least: float = COSINE) -> DataFrame:

@@ -349,3 +349,23 @@ def test_records_are_isolated(spark):
     raw = spark.createDataFrame([('{"prompt": "hi", "session_id": "s"}',), ("{oops",), ('{"prompt": " ", "session_id": "s"}',), ('{"prompt": "x"}',), (None,)], "record string")
     got = [(r.error, r.verdict) for r in records.checked(raw).collect()]
     assert got == [(None, None), ("unreadable record", "safe"), ("no prompt", "safe"), ("no session", "safe"), ("unreadable record", "safe")]
+
+
+def test_similar_vectors_prune_cells_and_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 12))
+    x = np.concatenate([centres[rng.integers(0, 20, 900)] + rng.normal(0, 0.05, (900, 12)), rng.normal(0, 1, (100, 12))])
+    label = rng.integers(0, 3, 1000)
+    rows = [(i, int(y), v.tolist()) for i, (v, y) in enumerate(zip(x, label))] + [(2000, 1, [0.0] * 12), (2001, 1, [1.0, 0.0]), (2002, 1, [2.0, 0.1]), (2003, None, [1.0] * 12), (2004, 1, None), (2005, 1, [])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero((u @ u.T >= 0.9) & (label[:, None] == label[None, :]))) if i < j} | {(2001, 2002)}
+    for block in (25, 4096):
+        got = [(r.a, r.b) for r in correlate.similar_vectors(df, 0.9, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    _, pairs = correlate.blocks_of(df, 0.9, 25)
+    pairs = pairs.select("label", "dim", "cell", "other_cell").distinct()
+    sizes = pairs.select("label", "dim", F.col("cell")).distinct().groupBy("label", "dim").agg(F.count("*").alias("n")).collect()
+    every = sum(r.n * (r.n + 1) // 2 for r in sizes)
+    assert pairs.count() < 0.7 * every
+    assert correlate.similar_vectors(df.limit(0)).count() == 0
