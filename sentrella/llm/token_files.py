@@ -6,6 +6,7 @@ columns are the fields below, so that Spark commits, retries and finds them like
 
     part, chunk   place in the order of doc_id
     n_docs, n_tokens, n_null, first_id
+    first_token   ids of this part's records before it
     ids           all ids, little-endian unsigned; 2 bytes each where the vocabulary fits, else 4
     width         bytes of an id
     ends          Elias-Fano code of each document's end within the record
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrella.llm.bpe import byte_symbols
@@ -50,7 +51,7 @@ CHUNK = 1 << 20
 CACHE, PIECES = 400_000, 600_000
 SAMPLE = 256
 END = 0
-SCHEMA = "part int, chunk int, n_docs long, n_tokens long, n_null long, first_id long, width int, ids binary, ends binary, doc_ids binary"
+SCHEMA = "part int, chunk int, n_docs long, n_tokens long, n_null long, first_id long, first_token long, width int, ids binary, ends binary, doc_ids binary"
 
 
 class EliasFano:
@@ -203,12 +204,12 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def _record(part: int, chunk: int, ids: list[bytes], keys: list, width: int) -> tuple:
+def _record(part: int, chunk: int, before: int, ids: list[bytes], keys: list, width: int) -> tuple:
     ends = np.cumsum([len(x) // width for x in ids])
     known = [k for k in keys if k is not None]
     first = known[0] if known else 0
     gaps = (np.array(known, dtype=np.int64) - np.int64(first)).view(np.uint64) if known else np.zeros(0, np.uint64)
-    return part, chunk, len(ids), int(ends[-1]), len(keys) - len(known), first, width, b"".join(ids), EliasFano.of(ends).to_bytes(), EliasFano.of(gaps).to_bytes()
+    return part, chunk, len(ids), int(ends[-1]), len(keys) - len(known), first, before, width, b"".join(ids), EliasFano.of(ends).to_bytes(), EliasFano.of(gaps).to_bytes()
 
 
 class Record:
@@ -239,7 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, part, chunk, ids, keys, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        e, part, chunk, before, ids, keys, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, [], [], 0
         stop = np.array([end], dtype=e.kind).tobytes()
         for pdf in parts:
             for key, got in zip(pdf["doc_id"], e.encode(list(pdf["text"])), strict=True):
@@ -247,10 +248,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
                 keys.append(None if pd.isna(key) else int(key))
                 held += len(ids[-1]) // e.width
                 if held >= chunk_ids:
-                    yield pd.DataFrame([_record(part, chunk, ids, keys, e.width)], columns=names)
-                    chunk, ids, keys, held = chunk + 1, [], [], 0
+                    yield pd.DataFrame([_record(part, chunk, before, ids, keys, e.width)], columns=names)
+                    chunk, before, ids, keys, held = chunk + 1, before + held, [], [], 0
         if ids:
-            yield pd.DataFrame([_record(part, chunk, ids, keys, e.width)], columns=names)
+            yield pd.DataFrame([_record(part, chunk, before, ids, keys, e.width)], columns=names)
 
     # Ranges are bounded by the text's hash too, so many rows of one id (or none) aren't one task's.
     order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc()]
@@ -265,8 +266,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # One row for each write partition, a number chosen by the writer.
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base = dict(zip([r.part for r in sizes], np.cumsum([0, *(r.n for r in sizes)]).tolist()))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n_tokens")
-    starts = files.select("part", "chunk", "n_tokens").select("part", "chunk", inside.alias("inside"))
 
     def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -275,9 +274,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 bounds = np.array([record.offset(i) for i in range(record.n_docs + 1)], dtype=np.int64)
                 crcs = [zlib.crc32(record.flat[a:b].astype("<u4")) for a, b in zip(bounds, bounds[1:])]
                 keys = [record.doc_id(i) for i in range(record.n_docs)]
-                yield pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": base[r.part] + int(r.inside) + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crcs})
+                yield pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": base[r.part] + int(r.first_token) + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crcs})
 
-    return files.join(starts, ["part", "chunk"]).mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
