@@ -27,7 +27,7 @@ def linear():
         for t in texts:
             p = 1 / (1 + math.exp(-(BIAS + sum(w for x, w in WORDS.items() if x in t.lower()))))
             both = [{"label": "SAFE", "score": 1 - p}, {"label": "MALICIOUS", "score": p}]
-            out.append({0: json.dumps([both]), 1: json.dumps(both), 2: json.dumps(both[::-1]), 3: '{"error": "busy"}', 4: "[]", 5: json.dumps([1, both])}.get(len(t) % 6))
+            out.append({0: json.dumps([both]), 1: json.dumps(both), 2: json.dumps(sorted(both, key=lambda c: -c["score"])), 3: '{"error": "busy"}', 4: "[]", 5: json.dumps([1, both])}.get(len(t) % 6))
         return out
 
     return score

@@ -66,3 +66,11 @@ def test_delivery_counts_attempts_and_keeps_every_message(spark):
     calls.clear()
     assert scoring.delivered(df.where("id % 8 = 0"), handle).count() == 5 and calls == [1]
     assert scoring.delivered(df.limit(0), handle).count() == 0
+
+
+def test_equal_chances_are_safe_in_every_order_of_the_reply(spark):
+    from sentrella.plans import models
+
+    texts = ["instructions" + "." * n for n in range(3)]  # chances of a half, by the three known shapes of a reply
+    got = scoring.scored(spark.createDataFrame([(t,) for t in texts], "t string"), "t", models.linear).collect()
+    assert [(r.label, r.confidence, r.degraded, r.error) for r in got] == [("SAFE", 0.5, False, None)] * 3
