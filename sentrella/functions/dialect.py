@@ -74,8 +74,8 @@ def any_whole(texts: list[str]) -> str:
 FOLDED = "\u0130\u0131\u017f\u212a", "iisk"
 
 
-def _needed(parts) -> list[str] | None:
-    """Texts of which a match holds at least one: the longest there are."""
+def _sets(parts) -> list[list[str]]:
+    """Sets of texts; a match holds at least one of each."""
     found, run = [], ""
     for op, arg in [*parts, (None, None)]:
         if op is _ops.LITERAL:
@@ -85,14 +85,29 @@ def _needed(parts) -> list[str] | None:
             found.append([run])
             run = ""
         if op is _ops.SUBPATTERN:
-            found.append(_needed(arg[-1]))
+            found += _sets(arg[-1])
         elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and arg[0] >= 1:
-            found.append(_needed(arg[2]))
+            found += _sets(arg[2])
         elif op is _ops.BRANCH:
             each = [_needed(a) for a in arg[1]]
             found.append(sum(each, []) if all(each) else None)
-    found = [f for f in found if f and min(map(len, f)) >= 3 and len(f) <= 24]
-    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+    return [f for f in found if f and min(map(len, f)) >= 3 and len(f) <= 24]
+
+
+def _needed(parts) -> list[str] | None:
+    """Texts of which a match holds at least one: the longest there are."""
+    return max(_sets(parts), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def needed_all(pattern: str) -> list[list[str]]:
+    """As ``needed``, with every set there is, the choosiest first: a text that the pattern
+    matches holds a text of each."""
+    try:
+        found = _sets(_parser.parse(pattern))
+    except PatternError:  # a pattern of Java's dialect alone
+        return []
+    found = [f for f in found if all(w.isascii() for w in f)]
+    return [sorted({w.lower() for w in f}) for f in sorted(found, key=lambda f: (-min(map(len, f)), len(f)))]
 
 
 def needed(pattern: str) -> list[str] | None:

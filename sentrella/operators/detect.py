@@ -22,6 +22,10 @@ from sentrella.functions.scalars import ladder
 Catalogue = tuple[tuple[str, str, str, str], ...]
 
 
+#: The working texts of a prompt, which ``normalised`` adds.
+TEXTS = ["raw_text", "composed", "normalized", "typo_free", "phrased", "corrected", "compact", "policy_text", "policy_compact", "lowered"]
+
+
 def normalised(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Adds raw_text, normalized, corrected, compact, policy_text and policy_compact.
 
@@ -222,10 +226,13 @@ def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | No
 def detect_distinct(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
     """As ``detect``, with every distinct (text, authenticity) evaluated once: repeated prompts,
     which attacks are made of, then cost a join instead of a hundred patterns. Distinct pairs
-    are formed in the map tasks first, and Spark splits skewed join partitions."""
+    are formed in the map tasks first, and Spark splits skewed join partitions. The normalised
+    texts (TEXTS), which are longer than all results, aren't kept."""
     keys = [prompt, *(["session_authentic"] if "session_authentic" in prompts.columns else [])]
-    judged = detect(prompts.select(*keys).distinct(), prompt)
-    new = [c for c in judged.columns if c not in prompts.columns]
+    # Short texts fill few partitions, but matching them costs far more than dealing them out.
+    dealt = prompts.select(*keys).distinct().repartition(3 * prompts.sparkSession.sparkContext.defaultParallelism, *keys)
+    judged = detect(dealt, prompt)
+    new = [c for c in judged.columns if c not in prompts.columns and c not in TEXTS]
     other = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], *new)
     on = reduce(lambda a, b: a & b, [prompts[k].eqNullSafe(other[f"_{k}"]) for k in keys])
     return prompts.join(other, on, "left").drop(*[f"_{k}" for k in keys])

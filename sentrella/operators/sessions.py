@@ -71,6 +71,7 @@ def risk_step(state: dict | None, row: dict) -> tuple[dict, dict]:
     return new, {"refused": False, "session_raw": raw, "session_score": new["score"], "session_recommendation": advice, "prompts_seen": new["seen"], "intent_counts": json.dumps(counts, sort_keys=True), "decision": "block" if blocked else "allow"}
 
 
+RISK_IN = ["session_input", "risk_intents", "stateless_block"]
 RISK_OUT = "refused boolean, session_raw double, session_score int, session_recommendation string, prompts_seen int, intent_counts string, decision string"
 
 
@@ -78,7 +79,7 @@ def session_risk(detected: DataFrame, terminate: bool = True) -> DataFrame:
     """Adds the session columns and the decision to detected prompts. With ``terminate`` a
     blocked session refuses its later prompts."""
     rows = detected.withColumn("terminate", F.lit(terminate))
-    return fold(rows, risk_step, ["epoch", "session_input", "risk_intents", "stateless_block", "terminate"], RISK_OUT).drop("terminate")
+    return fold(rows, risk_step, ["epoch", *RISK_IN, "terminate"], RISK_OUT).drop("terminate")
 
 
 def last_state(judged: DataFrame) -> DataFrame:
