@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrella.functions.dialect import java, needed
-from sentrella.functions.plan import written
+from sentrella.functions.plan import fence, written
 from sentrella.operators.detect import low
 
 GRAM, BARE = 3, 500
@@ -46,29 +46,44 @@ def read(entries: DataFrame) -> DataFrame:
     return entries.select("signature_id", "pattern").mapInPandas(each, "signature_id string, pattern string, words array<string>")
 
 
-def matches(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(text, signature_id) of every text, counted once however often it occurs, and every pattern
-    that it matches. ``texts`` has text, ``entries`` signature_id and pattern; null texts match
-    nothing, equal ids of different patterns count as one signature."""
-    own = written(texts.select("text").where("text is not null").distinct().withColumn("tid", F.xxhash64("text")).withColumn("low", low(F.col("text"))), "pattern-texts")
+def hits(texts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different texts (tid, text, copies), and (tid, copies, signature_id) of every one and
+    every pattern that it matches. A text moves twice, to meet its copies and its candidates;
+    what is found moves by the text's number."""
+    own = written(texts.select("text").where("text is not null").groupBy("text").agg(F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id()), "pattern-texts")
     table = written(read(entries), "pattern-entries")
-    words = table.where("words is not null").select("signature_id", "pattern", F.explode("words").alias("word"))
+    words = table.where("words is not null").select("signature_id", "pattern", F.explode("words").alias("word")).distinct()
     filed = words.withColumn("gram", F.explode(grams(F.col("word"))))
     # How many texts hold each gram that the index could use: summed in the map tasks.
-    held = own.select("tid", F.explode(grams(F.col("low"))).alias("gram")).join(filed.select("gram").distinct(), "gram")
+    held = own.select("tid", F.explode(grams(low(F.col("text")))).alias("gram")).join(filed.select("gram").distinct(), "gram")
     held = written(held, "pattern-grams")
     often = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = F.row_number().over(Window.partitionBy("signature_id", "pattern", "word").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     index = filed.join(often, "gram", "left").withColumn("r", rarest).where("r = 1").select("gram", "signature_id", "pattern", "word")
     candidates = held.join(index, "gram").groupBy("tid").agg(F.collect_set(F.struct("signature_id", "pattern", "word")).alias("found"))
     # A text travels once, with its candidates; the literal is sought before the pattern is tried.
-    tried = own.join(candidates, "tid").select("text", F.filter("found", lambda x: F.contains(F.col("low"), x["word"])).alias("found"))
-    hit = tried.select("text", F.explode(F.filter("found", lambda x: F.regexp_like(F.col("text"), x["pattern"]))).alias("f"))
-    out = hit.select("text", "f.signature_id")
+    tried = fence(own.join(candidates, "tid").withColumn("low", low(F.col("text"))), "tid", "copies", "text", "found")
+    matched = F.filter("found", lambda x: F.contains(F.col("low"), x["word"]) & F.regexp_like(F.col("text"), x["pattern"]))
+    sought = tried.select("tid", "copies", F.array_distinct(F.transform(matched, lambda x: x["signature_id"])).alias("ids"))
+    out = fence(sought, "tid", "copies").select("tid", "copies", F.explode("ids").alias("signature_id"))
     bare = table.where("words is null").select("signature_id", "pattern").limit(BARE + 1).collect()
     if len(bare) > BARE:
         raise ValueError(f"more than {BARE} patterns that need no literal")
     if bare:
         some = F.filter(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.signature_id)) for r in bare]), lambda x: x.isNotNull())
-        out = out.unionByName(own.select("text", F.explode(some).alias("signature_id")))
-    return out.distinct()
+        # An id may belong to patterns of both kinds.
+        out = out.unionByName(own.select("tid", "copies", F.explode(some).alias("signature_id"))).distinct()
+    return own, out
+
+
+def matches(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(text, signature_id) of every text, counted once however often it occurs, and every pattern
+    that it matches. ``texts`` has text, ``entries`` signature_id and pattern; null texts match
+    nothing, equal ids of different patterns count as one signature."""
+    own, found = hits(texts, entries)
+    return found.join(own.select("tid", "text"), "tid").select("text", "signature_id")
+
+
+def counts(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(signature_id, n): how many texts, copies included, each pattern occurs in."""
+    return hits(texts, entries)[1].groupBy("signature_id").agg(F.sum("copies").alias("n"))

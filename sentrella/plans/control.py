@@ -78,9 +78,7 @@ def sig_added_hits(spark, sf):
 def sig_pattern_join(spark, sf):
     """The same by an inverted index of the patterns' literals: the catalogue stays a table."""
     entries = in_use(spark, sf).where("rank > 0")
-    found = patterns.matches(views.table(spark, sf, "documents").select("text"), entries)
-    copies = views.table(spark, sf, "documents").where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
-    counted = found.join(copies, "text").groupBy("signature_id").agg(F.sum("n").alias("documents"))
+    counted = patterns.counts(views.table(spark, sf, "documents").select("text"), entries).withColumnRenamed("n", "documents")
     return counted.join(entries.select("signature_id", "severity", "category"), "signature_id").select("signature_id", "severity", "category", "documents")
 
 

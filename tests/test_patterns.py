@@ -22,3 +22,11 @@ def test_every_family_of_signatures_has_a_saying(spark):
     df = spark.createDataFrame([(t,) for t in (*views.SAYINGS, *(t[2] for t in views.TEMPLATES))], "prompt string")
     fired = {r.i for r in detect.detect(df).select(F.explode("signature_matches").alias("i")).distinct().collect()}
     assert len(fired) >= 75 and {c for i, _, c, _ in fixed.SIGNATURES if i in fired} == {c for _, _, c, _ in fixed.SIGNATURES}
+
+
+def test_counts_include_copies_and_move_no_text_by_match(spark):
+    texts = spark.createDataFrame([("skip the queue",), ("skip the queue",), ("Queue up",), (None,), ("nothing",)], "text string")
+    entries = spark.createDataFrame([("a", "(?i)queue"), ("a", "(?i)skip"), ("b", "(skip|nothing)"), ("c", "[0-9]")], "signature_id string, pattern string")
+    assert {(r.signature_id, r.n) for r in patterns.counts(texts, entries).collect()} == {("a", 3), ("b", 3)}
+    assert patterns.hits(texts, entries)[1].columns == ["tid", "copies", "signature_id"]
+    assert {tuple(r) for r in patterns.matches(texts, entries).collect()} == {("skip the queue", "a"), ("skip the queue", "b"), ("Queue up", "a"), ("nothing", "b")}
