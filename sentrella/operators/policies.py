@@ -7,13 +7,15 @@ than the first version, and scopes without one, take the defaults, which never e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrella.functions import scalars as S
 from sentrella.operators import reads
 
-DAY = 86_400
+HOUR = 3600
 #: The deployment's switches; an operator's stop, whatever a scope's policy says.
 GUARDS = ("global_kill", "tier2_kill", "tier3_kill", "enforcement")
 DEPLOYMENT = "deployment"
@@ -26,13 +28,14 @@ def intervals(marks: DataFrame, by: list[str], at: str, order: list[str]) -> Dat
     return marks.withColumn("until", following).where(F.col("until").isNull() | (F.col("until") > F.col(at)))
 
 
-def as_of(rows: DataFrame, marks: DataFrame, by: list[str], time: str, at: str, order: list[str], bin_seconds: int = DAY) -> DataFrame:
+def as_of(rows: DataFrame, marks: DataFrame, by: list[str], time: str, at: str, order: list[str], bin_seconds: int = HOUR) -> DataFrame:
     """``rows`` with the other columns of the latest mark of their key at or before their time.
 
-    Both sides meet in bins of time: a bin has the mark in force at its start, found by a
-    window over the few (key, bin) pairs and marks, and those written inside it. So the join is
-    an equi-join on key and bin, whose hot bins Spark splits, and a row meets the marks of one
-    bin only. Rows with a null key or time, or before the first mark, get nulls."""
+    Rows and marks meet in bins of time: a bin has the mark in force at its start, found by a
+    window over the few (key, bin) pairs and marks, and those written inside it. Inside a bin
+    both are sorted by time and each row takes the last mark before it, so the work grows with
+    their number and not with their pairs. Rows with a null key or time, or before the first
+    mark, get nulls."""
     values = [c for c in marks.columns if c not in by and c != at]
     mark = F.struct(F.col(at).alias("at"), "until", *values)
     held = intervals(marks.where(F.col(at).isNotNull()), by, at, order).select(*by, F.col(at).alias("at"), mark.alias("mark"))
@@ -43,9 +46,14 @@ def as_of(rows: DataFrame, marks: DataFrame, by: list[str], time: str, at: str,
     both = held.unionByName(starts, allowMissingColumns=True).withColumn("mark", F.last("mark", ignorenulls=True).over(seen))
     carried = both.where(F.col("bin").isNotNull() & F.col("mark").isNotNull()).select(*by, "bin", "mark")
     inside = held.select(*by, bin_of("at").alias("bin"), "mark").where(F.col("mark.at") > F.col("bin") * bin_seconds)
-    found = carried.unionByName(inside).select(*[F.col(c).alias(f"of_{c}") for c in by], F.col("bin").alias("of_bin"), "mark")
-    on = [rows[c] == found[f"of_{c}"] for c in by] + [bin_of(time) == found["of_bin"], rows[time] >= F.col("mark.at"), F.col("mark.until").isNull() | (rows[time] < F.col("mark.until"))]
-    return rows.join(found, on, "left").select(*[rows[c] for c in rows.columns], *[F.col(f"mark.{v}").alias(v) for v in values])
+    found = carried.unionByName(inside).select(*by, F.col("bin").alias("as_of_bin"), F.col("mark.at").alias("as_of_at"), "mark")
+    sought = rows.select(*by, bin_of(time).alias("as_of_bin"), F.col(time).alias("as_of_at"), F.struct(*rows.columns).alias("row"))
+    # Rows without a key or time are dealt by chance and stay without a mark.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, "as_of_at"]])
+    before = Window.partitionBy(*by, "as_of_bin").orderBy("as_of_at", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = found.unionByName(sought.where(known), allowMissingColumns=True).withColumn("mark", F.last("mark", ignorenulls=True).over(before)).where("row is not null")
+    none = sought.where(~known).withColumn("mark", F.lit(None).cast(found.schema["mark"].dataType))
+    return merged.unionByName(none, allowMissingColumns=True).select("row.*", *[F.col(f"mark.{v}").alias(v) for v in values])
 
 
 def in_force(rows: DataFrame, stored: DataFrame, deployments: DataFrame, time: str = "epoch") -> DataFrame:

@@ -25,6 +25,14 @@ def test_as_of_equals_brute_force(spark, bin_seconds):
         assert found[i] == (max(held)[1] if held else None), (i, k, t)
 
 
+def test_rows_and_marks_of_one_time_are_merged_not_paired(spark):
+    rows = spark.range(2000).selectExpr("id", "'a' AS k", "id % 50 AS t")
+    marks = spark.range(2000).selectExpr("'a' AS k", "id % 50 AS at", "format_string('%05d', id) AS v")
+    got = policies.as_of(rows, marks, ["k"], "t", "at", ["v"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(int(r.v) == 1950 + r.t for r in got.collect()) and got.count() == 2000
+
+
 def test_defaults_never_enforce(spark):
     rows = spark.createDataFrame([("s", 10), ("s", 5), ("t", 10), (None, 10)], "scope_id string, epoch long")
     log = spark.createDataFrame([("s", 7, "4", "enforce", "2"), ("s", 8, "5", " ENFORCE", "bad"), ("s", 11, "6", "off", None)], LOG)
