@@ -66,8 +66,35 @@ def whole(text: str) -> str:
     return rf"(?d)(?<![{WORD}]){literal(text)}(?![{WORD}])"
 
 
+#: So many beginnings are tried one by one.
+AT_ONCE = 5
+
+
+def any_of(texts) -> str:
+    """Any of the texts, as a pattern that tries a common beginning once, and of many beginnings
+    only the few of a class; it tells whether one occurs, not which."""
+    tree: dict = {}
+    for t in texts:
+        node = tree
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        after = sorted((c, literal(c) + written(then)) for c, then in node.items() if c)
+        if not after:
+            return ""
+        ways = [w for _, w in after]
+        if len(ways) > 2 * AT_ONCE:
+            few = [after[i : i + AT_ONCE] for i in range(0, len(after), AT_ONCE)]
+            ways = [f"(?=[{''.join(literal(c) for c, _ in some)}])(?:{'|'.join(w for _, w in some)})" for some in few]
+        return (ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})") + ("?" if "" in node else "")
+
+    return written(tree)
+
+
 def any_whole(texts: list[str]) -> str:
-    return rf"(?d)(?<![{WORD}])(?:{'|'.join(map(literal, texts))})(?![{WORD}])"
+    return rf"(?d)(?<![{WORD}])(?:{any_of(texts)})(?![{WORD}])"
 
 
 #: Characters that fold to ASCII letters in case-blind matching, but not by lower-casing.

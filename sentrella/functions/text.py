@@ -15,9 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sentrella.functions import fixed
-from sentrella.functions.dialect import any_whole, java, literal, whole
+from sentrella.functions.dialect import any_of, any_whole, java, needed_all, whole
 
-ASCII = "\\A[\\x00-\\x7F]*\\z"
+
+
+def _unchanged() -> str:
+    """A pattern of texts that Unicode composition leaves alone: ASCII, and characters of common
+    scripts that stay as they are and take no mark from a neighbour."""
+    spans: list[list[int]] = []
+    for first, last in ((0xA0, 0x24F), (0x370, 0x52F), (0x620, 0x6D3), (0x2010, 0x20BF), (0x3001, 0x30FF), (0x4E00, 0x9FFF)):
+        for n in range(first, last + 1):
+            c = chr(n)
+            if unicodedata.category(c)[0] in "LNPS" and unicodedata.normalize("NFKC", c) == c:
+                if spans and spans[-1][1] == n - 1:
+                    spans[-1][1] = n
+                else:
+                    spans.append([n, n])
+    return "\\A(?:[\\x00-\\x7F]++|[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]++)*+\\z"
+
+
+UNCHANGED = _unchanged()
 SPACES = java(r"\s+")
 
 
@@ -27,9 +44,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition. It leaves ASCII texts alone, so they stay in the JVM
-    and Python gets a null in their place."""
-    return F.coalesce(_nfkc(F.when(~text.rlike(ASCII), text)), text)
+    """Unicode compatibility composition. Texts that it leaves alone stay in the JVM, and Python
+    gets a null in their place."""
+    return F.coalesce(_nfkc(F.when(~text.rlike(UNCHANGED), text)), text)
 
 
 def squeeze(text: Column) -> Column:
@@ -50,7 +67,8 @@ def basic(composed: Column) -> Column:
 
 def _chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
     changed = reduce(lambda t, p: F.regexp_replace(t, whole(p[0]), p[1]), pairs, text)
-    return F.when(text.rlike(any_whole([a for a, _ in pairs])), changed).otherwise(text)
+    wrong = [a for a, _ in pairs]
+    return F.when(text.rlike(any_of(wrong)) & text.rlike(any_whole(wrong)), changed).otherwise(text)
 
 
 def _log(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -96,6 +114,12 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def where_needed(text: Column, lowered: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in a text, tried only where its lower-cased form holds the words
+    that every match holds, which a text search settles far sooner."""
+    return reduce(lambda a, b: a & b, [*[contains_any(lowered, words) for words in needed_all(pattern)], text.rlike(java(pattern))])
+
+
 def hits(named: list[tuple[str, Column]]) -> Column:
     """The names whose conditions hold, in order."""
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in named]), lambda x: x.isNotNull())
@@ -116,7 +140,7 @@ def policy_expanded(text: Column) -> Column:
     """Plain substring replacements, in order, also inside words."""
     pairs = fixed.POLICY_TYPOS
     changed = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
-    return F.when(text.rlike("|".join(literal(a) for a, _ in pairs)), changed).otherwise(text)
+    return F.when(text.rlike(any_of([a for a, _ in pairs])), changed).otherwise(text)
 
 
 def plain(text: Column) -> Column:

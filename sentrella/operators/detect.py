@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sentrella.functions import fixed
 from sentrella.functions import text as T
-from sentrella.functions.dialect import FOLDED, java, literal, needed
+from sentrella.functions.dialect import FOLDED, any_of, java, literal
 from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
 
@@ -50,14 +50,9 @@ def low(text: Column) -> Column:
 
 
 def scan(text: Column, lowered: Column, catalogue: Catalogue | None = None, plain: bool = True) -> Column:
-    """Ids whose pattern occurs, in catalogue order. A pattern is tried only where a word that
-    every match of it holds occurs (``plain``), which a text search settles far sooner."""
-    named = []
-    for sid, _, _, pattern in catalogue or fixed.SIGNATURES:
-        words = needed(pattern) if plain else None
-        found = text.rlike(java(pattern))
-        named.append((sid, T.contains_any(lowered, words) & found if words else found))
-    return T.hits(named)
+    """Ids whose pattern occurs, in catalogue order. A pattern is tried only where the words that
+    every match of it holds occur (``plain``)."""
+    return T.hits([(sid, T.where_needed(text, lowered, pattern) if plain else text.rlike(java(pattern))) for sid, _, _, pattern in catalogue or fixed.SIGNATURES])
 
 
 def signature_weight(ids: Column, hash_ids: Column, catalogue: Catalogue | None = None) -> Column:
@@ -91,10 +86,16 @@ def term_hits(name: str, text: Column, compact: Column) -> Column:
     return T.hits(found)
 
 
+def some_term(text: Column, compact: Column) -> Column:
+    """Whether any listed term may be found: one search for all of them, which settles most texts."""
+    terms = sorted({t for ts in fixed.TERMS.values() for t in ts})
+    return text.rlike(any_of(terms)) | compact.rlike(any_of([t.replace(" ", "") for t in terms if " " in t]))
+
+
 def rules() -> list[tuple]:
     """(rule, category, severity, score, condition, terms) over the hit columns."""
     has = lambda n: F.size(f"hit_{n}") > 0
-    rx = lambda n: F.col("policy_text").rlike(java(fixed.RULE_PATTERNS[n]))
+    rx = lambda n: T.where_needed(F.col("policy_text"), F.col("policy_text"), fixed.RULE_PATTERNS[n])
     h = lambda *ns: F.concat(*[F.col(f"hit_{n}") for n in ns])
     either = lambda a, b: F.when(has(a), F.col(f"hit_{a}")).otherwise(F.col(f"hit_{b}"))
     unsafe = ~F.col("safe_intent")
@@ -135,9 +136,12 @@ def policy(df: DataFrame) -> DataFrame:
     """Adds policy_rules, policy_terms, policy_signals, policy_score, policy_critical,
     safe_intent, policy_decision, policy_recommendation, policy_state and policy_bucket."""
     text, compact = F.col("policy_text"), F.col("policy_compact")
-    df = df.withColumns({f"hit_{n}": T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.TERMS[n]]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS})
+    df = df.withColumn("some_term", some_term(text, compact))
+    df = fence(df, *[c for c in df.columns if c != "some_term"])
+    found = {n: T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.TERMS[n]]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS}
+    df = df.withColumns({f"hit_{n}": F.when(F.col("some_term"), h).otherwise(F.array().cast("array<string>")) for n, h in found.items()}).drop("some_term")
     df = fence(df, *[c for c in df.columns if not c.startswith("hit_")])
-    safe = T.contains_any(text, fixed.SAFE_PHRASES) | reduce(lambda a, b: a | b, [text.rlike(java(p)) for p in fixed.SAFE_PATTERNS])
+    safe = T.contains_any(text, fixed.SAFE_PHRASES) | reduce(lambda a, b: a | b, [T.where_needed(text, text, p) for p in fixed.SAFE_PATTERNS])
     df = df.withColumn("safe_intent", safe | ((F.size("hit_safe") > 0) & (F.size("hit_extraction") == 0)))
     df = fence(df, *[c for c in df.columns if c != "safe_intent"])
     row = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("category"), F.lit(r[2] == "critical").alias("critical"), F.lit(r[3]).alias("score"), r[5].alias("terms"))
@@ -171,13 +175,11 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     recommendation was made."""
     text = F.lower("corrected")
 
-    def occurs(p: str) -> Column:
-        words = needed(p)
-        return T.contains_any(F.col("lowered"), words) & text.rlike(java(p)) if words else text.rlike(java(p))
-
-    groups = [(g, reduce(lambda a, b: a | b, [occurs(p) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
+    groups = [(g, reduce(lambda a, b: a | b, [T.where_needed(text, F.col("lowered"), p) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
     words = F.split(F.trim(text), java(r"\s+"))
-    combos = [(s, F.size(F.array_except(F.array(*[F.lit(w) for w in ws.split()]), words)) == 0) for ws, _, s in fixed.RISK_COMBOS]
+    # A text is cut into words only where it holds all of a combination's.
+    every = lambda ws: reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in ws])
+    combos = [(s, every(ws.split()) & (F.size(F.array_except(F.array(*[F.lit(w) for w in ws.split()]), words)) == 0)) for ws, _, s in fixed.RISK_COMBOS]
     df = df.withColumns({"risk_intents": T.hits(groups), "combo_hits": T.hits(combos)})
     df = fence(df, *[c for c in df.columns if c not in ("risk_intents", "combo_hits")])
     points = F.create_map(*[F.lit(x) for g, (w, _) in fixed.RISK_GROUPS.items() for x in (g, w)], *[F.lit(x) for _, p, s in fixed.RISK_COMBOS for x in (s, p)])
