@@ -6,6 +6,7 @@ caller evaluate each distinct prompt once and join the result back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -225,15 +226,16 @@ def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | No
     }).drop("lowered")
 
 
-def detect_distinct(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
+def detect_distinct(prompts: DataFrame, prompt: str = "prompt", also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """As ``detect``, with every distinct (text, authenticity) evaluated once: repeated prompts,
     which attacks are made of, then cost a join instead of a hundred patterns. Distinct pairs
     are formed in the map tasks first, and Spark splits skewed join partitions. The normalised
-    texts (TEXTS), which are longer than all results, aren't kept."""
+    texts (TEXTS), which are longer than all results, aren't kept. ``also`` adds further columns
+    that depend on the prompt alone."""
     keys = [prompt, *(["session_authentic"] if "session_authentic" in prompts.columns else [])]
     # Short texts fill few partitions, but matching them costs far more than dealing them out.
     dealt = prompts.select(*keys).distinct().repartition(3 * prompts.sparkSession.sparkContext.defaultParallelism, *keys)
-    judged = detect(dealt, prompt)
+    judged = detect(also(dealt) if also else dealt, prompt)
     new = [c for c in judged.columns if c not in prompts.columns and c not in TEXTS]
     other = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], *new)
     on = reduce(lambda a, b: a & b, [prompts[k].eqNullSafe(other[f"_{k}"]) for k in keys])

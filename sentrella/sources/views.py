@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrella.functions.plan import fence
+
 #: (event type, k below, sentence, number in it, expected label)
 TEMPLATES = (
     ("click", 20, "what are your store hours today", None, "benign"),
@@ -167,17 +169,20 @@ def prompts_evt(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k")
     )
-    which = [(F.col("event_type") == t) & (F.col("k") < hi) for t, hi, *_ in TEMPLATES]
-    say = [F.lit(s) if n is None else F.concat(F.lit(s.split("{n}")[0]), F.expr(n).cast("string"), F.lit(s.split("{n}")[1])) for _, _, s, n, _ in TEMPLATES]
+    # The template of each event is sought once; its parts are looked up by its place.
+    which = [((F.col("event_type") == t) & (F.col("k") < hi), F.lit(i)) for i, (t, hi, *_) in enumerate(TEMPLATES)]
     turn = F.when(F.col("event_id") % 3 == 1, (F.floor(F.col("event_id") / 3) % len(SAYINGS)).cast("int"))
-    attack = F.when(turn < len(SAYINGS) - BENIGN_SAYINGS, "attack").when(turn.isNotNull(), "benign")
-    saying = F.get(F.array(*[F.lit(s) for s in SAYINGS]), turn)
-    pick = lambda values, rest: reduce(lambda c, x: c.when(*x), list(zip(which, values))[1:], F.when(which[0], values[0])).otherwise(rest)
+    e = fence(e.withColumns({"at": reduce(lambda c, x: c.when(*x), which[1:], F.when(*which[0])), "turn": turn}), *e.columns)
+    part = lambda of: F.get(F.array(*[F.lit(of(x)) for x in TEMPLATES]), F.col("at"))
+    counted = [(F.col("at") == i, F.expr(n).cast("string")) for i, (_, _, _, n, _) in enumerate(TEMPLATES) if n is not None]
+    number = reduce(lambda c, x: c.when(*x), counted, F).otherwise("")
+    said = F.when(F.col("at").isNull(), "hello").otherwise(F.concat(part(lambda x: x[2].split("{n}")[0]), number, part(lambda x: (x[2] + "{n}").split("{n}")[1])))
+    attack = F.when(F.col("turn") < len(SAYINGS) - BENIGN_SAYINGS, "attack").when(F.col("turn").isNotNull(), "benign")
     return e.select(
         F.lit("local").alias("scope_id"), F.concat(F.lit("111122223333/agent-"), (F.col("user_id") % 3).cast("string")).alias("source"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("session_id"), F.concat(F.lit("evt-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("prompt_id"),
-        "epoch", F.coalesce(saying, pick(say, F.lit("hello"))).alias("prompt"), (F.col("user_id") % AUTHENTIC_EVERY != 0).alias("session_authentic"),
-        F.coalesce(attack, pick([F.lit(x[4]) for x in TEMPLATES], F.lit("unknown"))).alias("expected_label"), "event_id", "user_id", "value",
+        "epoch", F.coalesce(F.get(F.array(*[F.lit(s) for s in SAYINGS]), F.col("turn")), said).alias("prompt"), (F.col("user_id") % AUTHENTIC_EVERY != 0).alias("session_authentic"),
+        F.coalesce(attack, part(lambda x: x[4]), F.lit("unknown")).alias("expected_label"), "event_id", "user_id", "value",
     )
 
 
@@ -216,11 +221,21 @@ def prompts_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_verdicts(prompts: DataFrame) -> DataFrame:
+    """The prompts with what a model might have said of them (see ``model_verdicts``)."""
+    own = F.col("prompt_id").isNotNull()
+    return prompts.withColumns({k: F.when(own, v) for k, v in _verdict().items()})
+
+
 def model_verdicts(prompts: DataFrame) -> DataFrame:
     """What a model might have said: attacks mostly flagged, with a confidence from the event's number."""
+    return prompts.select("prompt_id", *[v.alias(k) for k, v in _verdict().items()])
+
+
+def _verdict() -> dict[str, Column]:
     n = F.col("event_id")
     attack = F.when(n % 4 == 0, "JAILBREAK").when(n % 4 == 1, "PROMPT_INJECTION").when(n % 4 == 2, "DATA_EXFILTRATION").otherwise("MALICIOUS")
-    return prompts.select("prompt_id", F.when((F.col("expected_label") == "attack") | (n % 17 == 0), attack).otherwise("SAFE").alias("label"), (F.lit(0.5) + (n * 7919 % 50) / 100).alias("confidence"))
+    return {"label": F.when((F.col("expected_label") == "attack") | (n % 17 == 0), attack).otherwise("SAFE"), "confidence": F.lit(0.5) + (n * 7919 % 50) / 100}
 
 
 def session_risks(prompts: DataFrame) -> DataFrame:

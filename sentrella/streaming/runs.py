@@ -108,28 +108,26 @@ def exact_repeats(prompts: DataFrame, window_seconds: int, least: int = 3, time:
 # --- context scoring --------------------------------------------------------------------------
 
 SCORED_IN = [*KEYS, "prompt_id", "epoch", "prompt", "decision", "best_score", "label", "confidence"]
-TURN_COLUMNS = "scope_id string, session_id string, prompt_id string, epoch long, prompt string, decision string, best_score int, label string, confidence double, hist array<string>"
+TURN_COLUMNS = "scope_id string, session_id string, prompt_id string, epoch long, prompt string, decision string, best_score int, label string, confidence double, traits long, hist array<string>, marks array<long>"
 
 
 class Turns(StatefulProcessor):
-    """Adds hist, the last ten prompts of the session; a list holds nine of them."""
+    """Adds hist, the last ten prompts of the session, and their marks; a list holds nine of them."""
 
     idle_ms = 90 * 86_400 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getListState("turns", "prompt string")
+        self.turns = handle.getListState("turns", "prompt string, mark long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["epoch", "prompt_id"], kind="stable").drop(columns=["ts"])
-        past = [t[0] for t in self.turns.get()] if self.turns.exists() else []
-        hist = []
-        for prompt in pdf["prompt"]:
-            hist.append([*past, prompt or ""])
-            past = hist[-1][-(context.HISTORY - 1) :]
-        self.turns.put([(t,) for t in past])
+        past = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        turns = [*past, *((p or "", int(m)) for p, m in zip(pdf["prompt"], pdf.pop("mark")))]
+        windows = [turns[max(0, n - context.HISTORY) : n] for n in range(len(past) + 1, len(turns) + 1)]
+        self.turns.put(turns[-(context.HISTORY - 1) :])
         restart(self.handle, int(pdf["epoch"].iloc[-1]) * 1000 + self.idle_ms)
-        yield pdf.assign(hist=hist)
+        yield pdf.assign(hist=[[t for t, _ in w] for w in windows], marks=[[m for _, m in w] for w in windows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.turns.clear()
@@ -192,7 +190,9 @@ def _processor(base: type, **settings) -> StatefulProcessor:
 
 def turns(prompts: DataFrame, idle_seconds: int = 90 * 86_400) -> DataFrame:
     """Prompts (columns SCORED_IN) with the last ten turns of their session."""
-    rows = prompts.select(*SCORED_IN, F.timestamp_seconds("epoch").alias("ts")).withWatermark("ts", LATE)
+    known = set(context.MARKS) <= set(prompts.columns)
+    rows = prompts.select(*SCORED_IN, *(context.MARKS if known else []), F.timestamp_seconds("epoch").alias("ts"))
+    rows = (rows if known else context.marked(rows)).withWatermark("ts", LATE)
     return rows.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=_processor(Turns, idle_ms=idle_seconds * 1000), outputStructType=TURN_COLUMNS, outputMode="Append", timeMode="EventTime")
 
 
