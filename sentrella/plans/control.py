@@ -171,7 +171,7 @@ def snk_append(spark, sf):
     import uuid
 
     path = f"{shared_folder(spark)}/sentrella-audit-{uuid.uuid4().hex}"
-    e = R.events(spark, sf)
+    e = written(R.events(spark, sf), "events")  # both appends read it
     even = F.xxhash64("event_id") % 2 == 0
     reads.write_events(e.where(even), path)
     reads.write_events(e.where(~even), path)
