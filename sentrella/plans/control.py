@@ -190,9 +190,8 @@ def qry_summary(spark, sf):
 @query(R.T3 + f", {R.FOUND} SELECT 'tier3#' || method || '#' || window_start::VARCHAR || '#' || group_key AS event_id, window_start AS event_ts, cat AS category, trunc(group_score)::INT AS risk_score, 'tier3' AS provenance FROM found")
 def qry_findings(spark, sf):
     """The findings among all events, latest first."""
-    rows, risks = R.t3_records(spark, sf), views.session_risks(evt(spark, sf))
-    m = correlate.exact_hash(rows).unionByName(correlate.pattern(rows)).unionByName(correlate.category(rows)).unionByName(correlate.session_risk(rows, risks))
-    both = R.events(spark, sf).unionByName(reads.findings_as_events(correlate.findings(m, risks)))
+    found = correlate.all_findings(R.t3_records(spark, sf), views.session_risks(evt(spark, sf)), near=False)
+    both = R.events(spark, sf).unionByName(reads.findings_as_events(found))
     return reads.by_provenance(both, "tier3").select("event_id", "event_ts", F.get("matched_signatures", F.lit(0)).alias("category"), "risk_score", "provenance")
 
 
