@@ -7,17 +7,17 @@ apart. K grows with the cube root of the training tokens and S with K, so the pa
 below grow with the input, and so do the training steps.
 
 All training documents are counted: every word's count, and how often a class follows
-another at distance one and two; both tables stay distributed. The training steps' samples
-are drawn from the pair table by count in Spark (each pair its expected number of draws,
-rounded by a hash), dealt to chunks of CHUNK_STEPS steps and written; the driver reads one
-chunk at a time, so it never holds the pairs, only the classes' vectors. On the samples numpy
-trains, at each of the two distances i, a model
+another at distance one and two; both tables stay distributed. Every pair of the table trains
+the model with its whole count: a frequent one is spread over many steps, a rare one has one
+turn of a weight below one (see ``drawn``). Spark deals the turns to chunks of CHUNK_STEPS
+steps and writes them; the driver reads one chunk at a time, so it never holds the pairs, only
+the classes' vectors. On the turns numpy trains, at each of the two distances i, a model
 
     s_i(target | context) = (C_i r_context) . q_target + b_target
 
 with shared r, q and b: minibatches against noise from the unigram distribution, Adam. Batched products of all contexts with all targets give each context's
-normaliser. The two models are mixed; the weight that suits all training documents best is
-taken. A word of a shared class gets its class's probability times the share of its count
+normaliser. The two models are mixed; every document is scored with each of WEIGHTS, and the
+one that suits all training documents best is taken. A word of a shared class gets its class's probability times the share of its count
 plus a half in the class, which holds one unknown word. So the whole distribution sums to
 one over the training vocabulary and one unknown word for each shared class.
 
@@ -48,7 +48,7 @@ HEAD = 65_536
 DIM, BATCH, NOISE, RATE = 32, 4096, 256, 0.02
 WEIGHTS = tuple(k / 10 for k in range(1, 11))
 FLUSH, PAIRS = 200_000, 2_000_000
-#: Classes for each cube root of the training tokens; steps whose samples the driver holds at once.
+#: Classes for each cube root of the training tokens; steps whose turns the driver holds at once.
 FACTOR, CHUNK_STEPS = 2.5, 64
 
 
@@ -147,23 +147,24 @@ def steps_of(k: int) -> int:
 
 
 def drawn(pairs: DataFrame, total: int, k: int) -> tuple[DataFrame, int]:
-    """(chunk, pair, times): the samples of all training steps, drawn by count, and the number
-    of chunks. A pair of n of ``total`` counts gets draws * n / total of them."""
-    chunks = math.ceil(steps_of(k) / CHUNK_STEPS)
-    expected = F.col("n") * (steps_of(k) * BATCH / total)
-    part = F.pmod(F.xxhash64("pair"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(expected + part)
-    # The rounding hash and the chunk's are different ones.
-    each = pairs.select("pair", times.cast("long").alias("times")).where("times > 0").select("pair", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("i"))
-    dealt = each.select("pair", F.pmod(F.xxhash64("i", "pair", F.lit(7)), F.lit(chunks)).alias("chunk"))
-    return dealt.groupBy("chunk", "pair").agg(F.count("*").alias("times")), chunks
-
-
-def train(chunks: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, k: int, s: int, seed: int = 5) -> dict:
-    """The model from chunks of samples (pairs and how often each): a pair is
-    (distance - 1) * C^2 + context * C + target for C = K + S. ``unigram`` counts the targets."""
+    """(chunk, pair, times, weight): the turns of all pairs, and the number of chunks. A pair of n
+    of ``total`` counts is due steps * BATCH * n / total turns; it gets that number rounded up,
+    each of a weight that makes up for the rounding. So no pair is left out and each weighs as
+    much as its count says."""
+    due = steps_of(k) * BATCH / total
+    chunks = math.ceil((steps_of(k) * BATCH + pairs.count()) / (CHUNK_STEPS * BATCH))
+    expected = F.col("n") * due
+    each = pairs.select("pair", (expected / F.ceil(expected)).alias("weight"), F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(expected))).alias("i"))
+    dealt = each.select("pair", "weight", F.pmod(F.xxhash64("i", "pair", F.lit(7)), F.lit(chunks)).alias("chunk"))
+    return dealt.groupBy("chunk", "pair").agg(F.count("*").alias("times"), F.any_value("weight").alias("weight")), chunks
+
+
+def train(chunks: Iterator[tuple[np.ndarray, ...]], unigram: np.ndarray, k: int, s: int, steps: int | None = None, seed: int = 5) -> dict:
+    """The model from chunks of turns (pairs, how often each and, unless one, the weight of a
+    turn): a pair is (distance - 1) * C^2 + context * C + target for C = K + S. ``unigram``
+    counts the targets; the rate falls over ``steps``."""
     rng = np.random.default_rng(seed)
-    size, steps = k + s, steps_of(k)
+    size, steps = k + s, steps or steps_of(k)
     unigram = unigram + 0.5
     unigram /= unigram.sum()
     noise_cum = np.cumsum(unigram)
@@ -171,13 +172,15 @@ def train(chunks: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray,
     p = {"r": rng.normal(0, 0.1, (size, DIM)), "c": np.stack([np.eye(DIM)] * 2), "q": rng.normal(0, 0.1, (size, DIM)), "b": np.log(unigram)}
     m, v = ({x: np.zeros_like(y) for x, y in p.items()} for _ in range(2))
 
-    def batches() -> Iterator[np.ndarray]:
-        for pairs, times in chunks:
-            order = rng.permutation(np.repeat(pairs, times))
-            yield from (order[at : at + BATCH] for at in range(0, len(order), BATCH))
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for pairs, times, *weight in chunks:
+            order = rng.permutation(np.repeat(np.arange(len(pairs)), times))
+            for at in range(0, len(order), BATCH):
+                turn = order[at : at + BATCH]
+                turn = turn[np.argsort(pairs[turn], kind="stable")]
+                yield pairs[turn], weight[0][turn] if weight else np.ones(len(turn))
 
-    for step, batch in enumerate(batches(), 1):
-        batch = np.sort(batch)
+    for step, (batch, w) in enumerate(batches(), 1):
         fi, rest = batch // (size * size), batch % (size * size)
         ci, ti = rest // size, rest % size
         cut, n = int(np.searchsorted(fi, 1)), len(batch)
@@ -187,7 +190,7 @@ def train(chunks: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray,
         # The noise samples are shared by the batch: one product scores them all.
         up = 1 / (1 + np.exp(-np.clip((h * p["q"][ti]).sum(1) + p["b"][ti] - log_noise[ti], -30, 30))) - 1
         un = 1 / (1 + np.exp(-np.clip(h @ p["q"][ni].T + p["b"][ni] - log_noise[ni], -30, 30)))
-        up, un = up / n, un / n
+        up, un = up * w / n, un * (w / n)[:, None]
         gh = up[:, None] * p["q"][ti] + un @ p["q"][ni]
         g = {"r": np.zeros_like(p["r"]), "c": np.stack([r[:cut].T @ gh[:cut], r[cut:].T @ gh[cut:]]), "q": np.zeros_like(p["q"]), "b": np.zeros_like(p["b"])}
         np.add.at(g["r"], ci, np.concatenate([gh[:cut] @ p["c"][0].T, gh[cut:] @ p["c"][1].T]))
@@ -264,27 +267,16 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         samples, count = drawn(pairs, int(unigram.sum()), k)
         dealt = saved(samples.repartition("chunk").sortWithinPartitions("chunk", "pair"), "lm-samples")
 
-        def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def read() -> Iterator[tuple[np.ndarray, ...]]:
             for i in range(count):
-                got = dealt.where(F.col("chunk") == i).select("pair", "times").toArrow().sort_by("pair")
-                yield got["pair"].to_numpy(), got["times"].to_numpy()
+                got = dealt.where(F.col("chunk") == i).select("pair", "times", "weight").toArrow().sort_by("pair")
+                yield got["pair"].to_numpy(), got["times"].to_numpy(), got["weight"].to_numpy()
 
-        model = train(read(), unigram, k, s)
+        model = train(read(), unigram, k, s, count * CHUNK_STEPS)
         discard(dealt)
     discard(pairs)
     learned = spark.sparkContext.broadcast(model)
 
-    def weighed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, out = short.value, np.zeros(len(WEIGHTS))
-        for pdf in (x for p in parts for x in sliced(p)):
-            _, _, own, ends = w.read(pdf["text"])
-            a, b = (chances(learned.value, i, c, own) for i, c in enumerate(w.before(own, ends)))
-            out += [np.log10(x * a + (1 - x) * b).sum() for x in WEIGHTS]
-        yield pd.DataFrame({"at": range(len(WEIGHTS)), "v": out})
-
-    weight = 1.0
-    if model is not None:
-        weight = WEIGHTS[max(learn.select("text").mapInPandas(weighed, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect(), key=lambda r: (r.v, r["at"]))["at"]]
     base = math.log10(total + 0.5 * (size + 1))
 
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,23 +291,25 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             count_log = own_log[ix]
             b = np.add.reduceat(count_log - base, begins)
             if m is None:
-                s_ = b
+                s_ = np.repeat(b[:, None], len(WEIGHTS), axis=1)
             else:
                 one, two = (chances(m, i, c, own) for i, c in enumerate(w.before(own, ends)))
                 shared = own >= w.k
                 within = np.where(shared, count_log - share[np.where(shared, own - w.k, 0)], 0.0)
-                s_ = np.add.reduceat(np.log10(weight * one + (1 - weight) * two) + within, begins)
+                s_ = np.stack([np.add.reduceat(np.log10(x * one + (1 - x) * two) + within, begins) for x in WEIGHTS], axis=1)
             far = [Counter(x for x in ws if x not in w.head) for ws in split]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "n_tokens": ends - begins, "known": np.add.reduceat(known[ix], begins), "base": b, "score": s_, "words": [list(f) for f in far], "times": [list(f.values()) for f in far]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "n_tokens": ends - begins, "known": np.add.reduceat(known[ix], begins), "base": b, "scores": list(s_), "words": [list(f) for f in far], "times": [list(f.values()) for f in far]})
 
-    part = rows.mapInPandas(scored, "doc_id long, n_tokens long, known long, base double, score double, words array<binary>, times array<long>")
+    part = rows.mapInPandas(scored, "doc_id long, n_tokens long, known long, base double, scores array<double>, words array<binary>, times array<long>")
     part = saved(part.withColumn("row", F.monotonically_increasing_id()), "lm-part")
+    sums = part.where(training).agg(*[F.sum(F.get("scores", F.lit(i))).alias(str(i)) for i in range(len(WEIGHTS))]).first()
+    best = max(range(len(WEIGHTS)), key=lambda i: (sums[i] or 0.0, i))
     far = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times").withColumnRenamed("words", "word")
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     more = far.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     more_or = lambda c: F.coalesce(F.col(c), F.lit(0))
     return part.drop("words", "times").join(more, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + more_or("more_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more_or("more")).alias("base_score"), (F.col("score") + more_or("more")).alias("score")
+        "doc_id", "n_tokens", (F.col("known") + more_or("more_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more_or("more")).alias("base_score"), (F.get("scores", F.lit(best)) + more_or("more")).alias("score")
     )
 
 

@@ -268,6 +268,16 @@ def test_samples_follow_the_counts(spark):
     assert set(got.chunk) == set(range(chunks)) and got.groupby("chunk").times.sum().std() < 0.05 * draws / chunks
 
 
+def test_every_pair_trains_with_its_count(spark):
+    """Pairs too rare for a turn of their own aren't left out, and the weights add up to the counts."""
+    counts = {0: 10**8, 1: 10**6, **{i: i % 3 + 1 for i in range(2, 3000)}}
+    total = sum(counts.values())
+    samples, _ = language_model.drawn(spark.createDataFrame(list(counts.items()), "pair long, n long"), total, 64)
+    got = samples.toPandas()
+    weight = (got.times * got.weight).groupby(got.pair).sum() * total / (language_model.steps_of(64) * language_model.BATCH)
+    assert set(weight.index) == set(counts) and all(weight[i] == pytest.approx(n) for i, n in counts.items())
+
+
 def test_score_equals_brute_force(spark, monkeypatch):
     """Every token's probability again, from the model's vectors, in plain Python."""
     rng = np.random.default_rng(3)
