@@ -96,13 +96,48 @@ def category(rows: DataFrame) -> DataFrame:
     return _at_least(_members(rows.where(F.col("category").isin(*fixed.CRITICAL_CATEGORIES)), "category_burst", F.col("category")), CATEGORY_MIN)
 
 
+def supported(rows: DataFrame, risks: DataFrame) -> DataFrame:
+    """Records or members with the latest state of their session, where it has one."""
+    if "session_known" in rows.columns:
+        return rows
+    r = risks.select("scope_id", "session_id", F.col("current_risk_score").alias("session_risk"), F.lower("status").alias("session_status"), F.col("repeated_suspicious_count").alias("session_repeated"), F.lit(True).alias("session_known"))
+    return rows.join(r, ["scope_id", "session_id"], "left")
+
+
 def session_risk(rows: DataFrame, risks: DataFrame) -> DataFrame:
     """The latest prompt of each session at risk, one group for a scope and window."""
+    return _at_least(_at_risk(supported(rows, risks)), RISK_MIN).drop("session_risk", "session_status", "session_repeated", "session_known")
+
+
+def _at_risk(rows: DataFrame) -> DataFrame:
     latest = F.row_number().over(Window.partitionBy("scope_id", "window_start", "session_id").orderBy(F.desc("ingested_at"), F.desc("prompt_id")))
     last = rows.withColumn("n", latest).where("n = 1").drop("n")
-    r = risks.select("scope_id", "session_id", "status", "current_risk_score")
-    risky = last.join(r, ["scope_id", "session_id"]).where(F.lower("status").isin(*fixed.RISKY_STATUSES) | (F.greatest("current_risk_score", "record_risk") >= RISK_AT)).drop("status", "current_risk_score")
-    return _at_least(_members(risky, "session_risk_burst", F.lit("scope")), RISK_MIN)
+    risky = last.where(F.col("session_known") & (F.col("session_status").isin(*fixed.RISKY_STATUSES) | (F.greatest("session_risk", "record_risk") >= RISK_AT)))
+    return _members(risky, "session_risk_burst", F.lit("scope"))
+
+
+#: What scoring reads of a member; sessions that a detector asks of a group.
+MEMBER = [*GROUP, "session_id", "prompt_id", "ingested_at", "source", "category", "record_risk", "record_repeated", "critical_signature", "session_risk", "session_status", "session_repeated", "session_known", "session_sum"]
+LEAST = {"exact_hash": MIN_SESSIONS, "normalized_pattern_burst": PATTERN_MIN, "category_burst": CATEGORY_MIN, "session_risk_burst": RISK_MIN, "simhash": MIN_SESSIONS, "embedding": MIN_SESSIONS}
+
+
+def prepared(rows: DataFrame, risks: DataFrame, *keep: str) -> DataFrame:
+    """Records as the detectors read them, written: what they group by and what scoring reads,
+    worked out once for each record, without the prompt (unless in ``keep``)."""
+    rows = supported(rows, risks).withColumns({"structure": T.structure(F.col("prompt")), "session_sum": digest(F.col("session_id")).cast("bigint")})
+    return written(rows.select("window_start", "prompt_hash", "structure", *[c for c in MEMBER if c not in ("method", "window_start", "group_key")], *keep), "t3-records")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Members of all groups of prepared records by hash, pattern, category and risk; groups of too
+    few sessions are among them (see LEAST)."""
+    named = lambda method, key: F.struct(F.lit(method).alias("method"), key.alias("group_key"))
+    keys = F.array_compact(F.array(
+        named("exact_hash", F.col("prompt_hash")), F.when(F.col("structure") != "", named("normalized_pattern_burst", F.col("structure"))),
+        F.when(F.col("category").isin(*fixed.CRITICAL_CATEGORIES), named("category_burst", F.col("category"))),
+    ))
+    own = [c for c in MEMBER if c not in ("method", "group_key")]
+    return rows.select(*own, F.inline(keys)).select(*MEMBER).unionByName(_at_risk(rows.select(*own)).select(*MEMBER))
 
 
 def simhash_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -236,21 +271,26 @@ def digest(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
-def findings(members: DataFrame, risks: DataFrame) -> DataFrame:
-    """One row for each group, scored (see the module's head)."""
+def findings(members: DataFrame, risks: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """One row for each group, scored (see the module's head); with ``least``, of the groups of that
+    many sessions by method."""
     categories = _majority(members.where("method <> 'category_burst'"), "unknown").unionByName(members.where("method = 'category_burst'").select(*GROUP, F.col("group_key").alias("group_category")).distinct())
+    if "session_sum" not in members.columns:
+        members = members.withColumn("session_sum", digest(F.col("session_id")).cast("bigint"))
+    one = supported(members, risks).select(
+        *GROUP, "session_id", "prompt_id", "ingested_at", "source", "category", "critical_signature", "session_sum", F.greatest("record_risk", F.coalesce("session_risk", F.lit(0.0))).alias("risk"),
+        F.greatest("record_repeated", F.coalesce("session_repeated", F.lit(0))).alias("again"), F.coalesce(F.col("session_status").isin(*fixed.RISKY_STATUSES), F.lit(False)).alias("status_support"),
+    )
     first = F.row_number().over(Window.partitionBy(*GROUP, "session_id").orderBy("ingested_at", "prompt_id"))
-    one = members.withColumn("nth", first).where("nth = 1").drop("nth")
-    r = risks.select("scope_id", "session_id", F.col("current_risk_score").alias("session_risk"), F.lower("status").alias("session_status"), F.col("repeated_suspicious_count").alias("session_repeated"))
-    one = one.join(r, ["scope_id", "session_id"], "left").withColumns({
-        "risk": F.greatest("record_risk", F.coalesce("session_risk", F.lit(0.0))), "again": F.greatest("record_repeated", F.coalesce("session_repeated", F.lit(0))),
-        "status_support": F.coalesce(F.col("session_status").isin(*fixed.RISKY_STATUSES), F.lit(False)),
-    })
+    one = one.withColumn("nth", first).where("nth = 1").drop("nth")
     g = one.groupBy(*GROUP).agg(
         F.count("*").alias("sessions"), F.avg("risk").alias("average_risk"), F.max("risk").alias("max_risk"), F.max("again").alias("repeated"), F.bool_or("critical_signature").alias("any_critical_signature"),
         F.sum(F.col("critical_signature").cast("int")).alias("critical_records"), F.bool_or(~F.col("category").isin(*UNKNOWN, "")).alias("known_member"), F.bool_or("status_support").alias("status_support"),
-        F.min("ingested_at").alias("first_at"), F.sum(digest(F.col("session_id"))).alias("session_digest"), F.min("session_id").alias("least_session"), F.min("prompt_id").alias("example_prompt_id"), F.count_distinct("source").alias("sources"),
-    ).join(categories, GROUP)
+        F.min("ingested_at").alias("first_at"), F.sum(F.col("session_sum").cast("decimal(38,0)")).alias("session_digest"), F.min("session_id").alias("least_session"), F.min("prompt_id").alias("example_prompt_id"), F.count_distinct("source").alias("sources"),
+    )
+    if least:
+        g = g.where(F.col("sessions") >= F.try_element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("method")))
+    g = g.join(categories, GROUP)
     g = g.withColumn("group_category", F.when((F.col("method") == "session_risk_burst") & (F.col("group_category") == "unknown"), "session_risk").otherwise(F.col("group_category")))
     return score(g)
 
@@ -330,14 +370,17 @@ def guarded(found: DataFrame, policy: Policy | None = Policy()) -> DataFrame:
 
 
 def all_findings(rows: DataFrame, risks: DataFrame, near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
-    """All detectors over prompt records, scored; the embedding detector runs over ``embedded``,
-    records with a vector each, where given."""
-    rows = written(rows, "t3-records")  # read by every detector
-    parts = [exact_hash(rows), pattern(rows), category(rows), session_risk(rows, risks), *([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.unionByName(p)
-    return findings(written(members, "t3-members"), risks)
+    """All detectors over prompt records (or ``prepared`` ones), scored; the embedding detector runs
+    over ``embedded``, records with a vector each, where given."""
+    if "structure" not in rows.columns:
+        rows = prepared(rows, risks, *(["prompt"] if near else []))  # read by every detector
+    members = candidates(rows)
+    more = [*([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
+    for m in more:
+        if "session_sum" not in m.columns:
+            m = supported(m, risks).withColumn("session_sum", digest(F.col("session_id")).cast("bigint"))
+        members = members.unionByName(written(m.select(*MEMBER), "t3-members"))
+    return findings(members, risks, LEAST)
 
 
 def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:
@@ -363,9 +406,10 @@ def trailing(rows: DataFrame, runs: DataFrame, seconds: int) -> DataFrame:
     """Records once for each run that sees them, those of the ``seconds`` up to its time; the run
     takes the window's place. ``runs`` has the times (run_at) of the runs as they were. Records
     and runs meet in bins of ``seconds``, two for a run, so windows may overlap and drift."""
+    # Runs are few: their number follows the time that the records cover, not the records.
     bins = runs.select("run_at").distinct().withColumn("bin", F.explode(F.sequence(F.floor((F.col("run_at") - seconds) / seconds), F.floor(F.col("run_at") / seconds))))
     here = rows.drop("window_start").withColumn("bin", F.floor(F.col("ingested_at") / seconds))
-    return here.join(bins, "bin").where(F.col("ingested_at").between(F.col("run_at") - seconds, F.col("run_at"))).drop("bin").withColumnRenamed("run_at", "window_start")
+    return here.join(F.broadcast(bins), "bin").where(F.col("ingested_at").between(F.col("run_at") - seconds, F.col("run_at"))).drop("bin").withColumnRenamed("run_at", "window_start")
 
 
 def examples(members: DataFrame, most: int = 10) -> DataFrame:

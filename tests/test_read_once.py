@@ -2,7 +2,7 @@
 
 import duckdb
 
-from sentrella.operators import reads
+from sentrella.operators import correlate, reads
 from sentrella.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,16 @@ def test_findings_read_the_events_once(spark):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
     want = db.execute(registry.SQL["qry_findings"]).fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and want
+
+
+def test_trailing_runs_share_the_records(spark, monkeypatch):
+    """What a record is grouped by is worked out before the runs that see it multiply it."""
+    seen, write = [], correlate.written
+    monkeypatch.setattr(correlate, "written", lambda df, name: (seen.append((name, df)), write(df, name))[1])
+    got = registry.QUERIES["t3_trailing"](spark, SF)
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert [n for n, _ in seen] == ["t3-records"] and seen[0][1].count() == events and "prompt" not in seen[0][1].columns
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = db.execute(registry.SQL["t3_trailing"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and want
