@@ -1,7 +1,7 @@
 """The same analytics over unbounded prompts.
 
 Stateless detection runs on a stream as it does on a table. The session fold keeps one small
-state for each session through ``transformWithStateInPandas``, with the batch fold's step, so
+state for each session through ``transformWithState``, with the batch fold's step, so
 both give the same rows where events come in order. Windows use event time with a watermark;
 rows later than it are dropped.
 """
@@ -11,8 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,15 +37,14 @@ class Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", STATE, self.ttl_ms) if self.ttl_ms else handle.getValueState("session", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["epoch", "prompt_id"], kind="stable")
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out = []
-        for row in pdf[self.inputs].to_dict("records"):
-            state, got = type(self).step(state, row)
-            out.append([got[n] for n in self.outputs])
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        # Most sessions have a few rows in a micro-batch: making frames of them costs more than the steps.
+        last = self.state.get()
+        state = json.loads(last[0]) if last else None
+        for row in sorted(rows, key=lambda r: (r["epoch"] is None, r["epoch"] or 0, r["prompt_id"] is None, r["prompt_id"] or "")):
+            state, got = type(self).step(state, {n: row[n] for n in self.inputs})
+            yield Row(**{n: row[n] for n in (*KEYS, "prompt_id", "epoch")}, **{n: got[n] for n in self.outputs})
         self.state.update((json.dumps(state),))
-        yield pd.concat([pdf[[*KEYS, "prompt_id", "epoch"]].reset_index(drop=True), pd.DataFrame(out, columns=self.outputs)], axis=1)
 
     def close(self) -> None:
         pass
@@ -62,7 +60,7 @@ def session_risk_stream(detected: DataFrame, strict_ttl: bool = False) -> DataFr
     """Session columns of a stream of detected prompts (needs the RocksDB state store)."""
     schema = "scope_id string, session_id string, prompt_id string, epoch bigint, " + RISK_OUT
     rows = detected.select(*KEYS, "prompt_id", *[c for c in Fold.inputs])
-    return rows.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=StrictFold() if strict_ttl else Fold(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if strict_ttl else "None")
+    return rows.groupBy(*KEYS).transformWithState(statefulProcessor=StrictFold() if strict_ttl else Fold(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if strict_ttl else "None")
 
 
 def timeline_stream(events: DataFrame, interval: str = "1 hour", time: str = "ts") -> DataFrame:

@@ -77,3 +77,26 @@ def test_trailing_runs_overlap_and_cool(spark):
 def test_nothing_arrives(spark):
     empty = spark.createDataFrame([], PROMPTS)
     assert runs.played(empty, "epoch", runs.turns, "t-none", parts=1).count() == 0
+
+
+def test_session_fold_steps_over_rows_without_frames():
+    """Rows of one session and micro-batch, late and null ones included, cost no frame."""
+    from pyspark.sql import Row
+
+    from sentrella.streaming import live
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    f = live.Fold()
+    f.state = State()
+    row = lambda p, epoch, score: Row(scope_id="local", session_id="s", prompt_id=p, epoch=epoch, session_input=score, risk_intents=[], stateless_block=False)
+    one = list(f.handleInputRows(("local", "s"), iter([row("b", 20, 1), row("a", 20, 2), row(None, 10, 3)]), None))
+    two = list(f.handleInputRows(("local", "s"), iter([row("c", 30, 1)]), None))
+    assert [(r["prompt_id"], r["prompts_seen"]) for r in one + two] == [(None, 1), ("a", 2), ("b", 3), ("c", 4)]
