@@ -9,15 +9,16 @@ micro-batch appear once, whatever is repeated. The state processors hold typed s
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sentrella.functions.plan import shared_folder
+from sentrella.functions.plan import fence, shared_folder
 from sentrella.operators import context
 from sentrella.operators.sessions import KEYS
 
@@ -108,95 +109,108 @@ def exact_repeats(prompts: DataFrame, window_seconds: int, least: int = 3, time:
 # --- context scoring --------------------------------------------------------------------------
 
 SCORED_IN = [*KEYS, "prompt_id", "epoch", "prompt", "decision", "best_score", "label", "confidence"]
-TURN_COLUMNS = "scope_id string, session_id string, prompt_id string, epoch long, prompt string, decision string, best_score int, label string, confidence double, traits long, hist array<string>, marks array<long>"
 
 
-class Turns(StatefulProcessor):
-    """Adds hist, the last ten prompts of the session, and their marks; a list holds nine of them."""
+class Session(StatefulProcessor):
+    """What a session keeps, one value that begins with its newest epoch, and a timer that forgets it
+    ``idle_ms`` after that. A micro-batch costs a session one read and one write of its value: most
+    have a few rows in it, so calls cost more than steps. The timer isn't moved by each prompt;
+    where it finds the session in use, it is set for what is left.
 
-    idle_ms = 90 * 86_400 * 1000
+    Each value that crosses to Python costs more than the parsing of a row, so a row comes as one
+    JSON text, and a session's results leave as one row, which the JVM takes apart."""
+
+    kept, idle_ms = "seen long", 90 * 86_400 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getListState("turns", "prompt string, mark long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["epoch", "prompt_id"], kind="stable").drop(columns=["ts"])
-        past = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        turns = [*past, *((p or "", int(m)) for p, m in zip(pdf["prompt"], pdf.pop("mark")))]
-        windows = [turns[max(0, n - context.HISTORY) : n] for n in range(len(past) + 1, len(turns) + 1)]
-        self.turns.put(turns[-(context.HISTORY - 1) :])
-        restart(self.handle, int(pdf["epoch"].iloc[-1]) * 1000 + self.idle_ms)
-        yield pdf.assign(hist=[[t for t, _ in w] for w in windows], marks=[[m for _, m in w] for w in windows])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.turns.clear()
+        self.session = handle.getValueState("session", self.kept)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.session.get()
+        ordered = sorted(((json.loads(r["row"]), r["row"]) for r in rows), key=lambda r: (r[0]["epoch"], r[0]["prompt_id"]))
+        seen = max(ordered[-1][0]["epoch"], kept[0] if kept else 0)
+        out, new = self.stepped(tuple(kept)[1:] if kept else None, ordered)
+        self.session.update((seen, *new))
+        if not kept:
+            self.handle.registerTimer(seen * 1000 + self.idle_ms)
+        yield Row(*KEYS, *out)(*key, *out.values())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = self.session.get()[0] * 1000 + self.idle_ms
+        if until >= timerValues.getCurrentWatermarkInMs() and until != expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.session.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def restart(handle: StatefulProcessorHandle, at_ms: int) -> None:
-    """One timer for a key: the latest."""
-    for t in list(handle.listTimers()):
-        handle.deleteTimer(t)
-    handle.registerTimer(at_ms)
-
+class Turns(Session):
+    """Puts out the last prompts of the session with those that have come, and their marks; nine are kept."""
 
-STEP_NAMES = [x.strip().split(" ")[0] for x in context.STEP_OUT.split(",")]
-CONTEXT_OUT = "scope_id string, session_id string, prompt_id string, epoch long, confidence double, " + context.STEP_OUT
+    kept = "seen long, turns array<struct<prompt: string, mark: long>>"
 
+    def stepped(self, kept: tuple | None, rows: list[tuple[dict, str]]) -> tuple[dict, tuple]:
+        turns = [tuple(t) for t in kept[0]] if kept else []
+        before = len(turns)
+        turns += [(r["prompt"] or "", r["mark"]) for r, _ in rows]
+        return {"before": before, "said": [t for t, _ in turns], "marked": [m for _, m in turns], "rows": [text for _, text in rows]}, (turns[-(context.HISTORY - 1) :],)
 
-class Context(StatefulProcessor):
-    """The context stage's step: a value (score, time, terminated), a list of the last nine
-    verdicts, and a timer that forgets a session after ``idle_ms`` without a prompt. A prompt
-    that comes late takes its place by arrival."""
 
-    policy, idle_ms = context.Policy(), 90 * 86_400 * 1000
+class Context(Session):
+    """The context stage's step: score, time, whether terminated, and the last nine verdicts are
+    kept. A prompt that comes late takes its place by arrival."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.session = handle.getValueState("session", "score double, epoch long, terminated boolean")
-        self.past = handle.getListState("past", "category string, verdict string, action string")
+    policy = context.Policy()
+    kept = "seen long, score double, epoch long, terminated boolean, past array<struct<category: string, verdict: string, action: string>>"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["epoch", "prompt_id"], kind="stable")
+    def stepped(self, kept: tuple | None, rows: list[tuple[dict, str]]) -> tuple[dict, tuple]:
         step, state = context.context_step(self.policy), None
-        if self.session.exists():
-            score, epoch, terminated = self.session.get()
-            state = {"score": score, "epoch": epoch, "terminated": terminated, "past": [tuple(p) for p in self.past.get()] if self.past.exists() else []}
+        if kept:
+            score, epoch, terminated, past = kept
+            state = {"score": score, "epoch": epoch, "terminated": terminated, "past": [tuple(p) for p in past]}
         out = []
-        for row in pdf[context.STEP_IN].to_dict("records"):
-            state, got = step(state, row)
-            out.append([(got | {"t2_category": got["category"]})[n] for n in STEP_NAMES])
-        self.session.update((float(state["score"]), int(state["epoch"]), bool(state["terminated"])))
-        self.past.put([tuple(map(str, p)) for p in state["past"]])
-        restart(self.handle, int(pdf["epoch"].iloc[-1]) * 1000 + self.idle_ms)
-        yield pd.concat([pdf[[*KEYS, "prompt_id", "epoch", "confidence"]].reset_index(drop=True), pd.DataFrame(out, columns=STEP_NAMES)], axis=1)
+        for r, _ in rows:
+            state, got = step(state, r)
+            got["t2_category"] = got["category"]
+            out.append(json.dumps({c: r[c] for c in ("prompt_id", "epoch", "confidence")} | got))
+        past = [tuple(map(str, p)) for p in state["past"]]
+        return {"rows": out}, (float(state["score"]), int(state["epoch"]), bool(state["terminated"]), past)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.session.clear()
-        self.past.clear()
-        return iter(())
 
-    def close(self) -> None:
-        pass
+CONTEXT_OUT = "prompt_id string, epoch long, confidence double, " + context.STEP_OUT
 
 
 def _processor(base: type, **settings) -> StatefulProcessor:
     return type(base.__name__, (base,), settings | {"__module__": __name__})()
 
 
+def _stepped(rows: DataFrame, processor: StatefulProcessor, out: str) -> DataFrame:
+    """What a ``Session`` puts out for rows with a ts (see there)."""
+    texts = rows.select(*KEYS, F.to_json(F.struct(*[c for c in rows.columns if c not in (*KEYS, "ts")]), {"ignoreNullFields": "false"}).alias("row"), "ts").withWatermark("ts", LATE)
+    return texts.groupBy(*KEYS).transformWithState(statefulProcessor=processor, outputStructType=f"scope_id string, session_id string, {out}", outputMode="Append", timeMode="EventTime")
+
+
 def turns(prompts: DataFrame, idle_seconds: int = 90 * 86_400) -> DataFrame:
     """Prompts (columns SCORED_IN) with the last ten turns of their session."""
     known = set(context.MARKS) <= set(prompts.columns)
     rows = prompts.select(*SCORED_IN, *(context.MARKS if known else []), F.timestamp_seconds("epoch").alias("ts"))
-    rows = (rows if known else context.marked(rows)).withWatermark("ts", LATE)
-    return rows.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=_processor(Turns, idle_ms=idle_seconds * 1000), outputStructType=TURN_COLUMNS, outputMode="Append", timeMode="EventTime")
+    rows = rows if known else context.marked(rows)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in (*KEYS, "ts"))
+    out = _stepped(rows, _processor(Turns, idle_ms=idle_seconds * 1000), "before int, said array<string>, marked array<long>, rows array<string>")
+    one = out.select(*KEYS, "before", "said", "marked", F.posexplode("rows").alias("n", "row"))
+    till = F.col("before") + F.col("n") + 1
+    window = lambda c: F.slice(c, F.greatest(till - context.HISTORY, F.lit(0)) + 1, F.least(till, F.lit(context.HISTORY)))
+    one = fence(one.select(*KEYS, F.from_json("row", kinds).alias("r"), window("said").alias("hist"), window("marked").alias("marks")))
+    return one.select(*KEYS, "r.*", "hist", "marks").drop("mark")
 
 
 def scored(with_turns: DataFrame, policy: context.Policy = context.Policy(), idle_seconds: int = 90 * 86_400) -> DataFrame:
     """Context scores of a stream that ``turns`` has put out."""
-    rows = context.evidence(with_turns).select(*KEYS, "prompt_id", *context.STEP_IN, F.timestamp_seconds("epoch").alias("ts")).withWatermark("ts", LATE)
-    return rows.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=_processor(Context, policy=policy, idle_ms=idle_seconds * 1000), outputStructType=CONTEXT_OUT, outputMode="Append", timeMode="EventTime")
+    rows = context.evidence(with_turns).select(*KEYS, "prompt_id", *context.STEP_IN, F.timestamp_seconds("epoch").alias("ts"))
+    out = _stepped(rows, _processor(Context, policy=policy, idle_ms=idle_seconds * 1000), "rows array<string>")
+    one = out.select(*KEYS, F.explode("rows").alias("row"))
+    return fence(one.select(*KEYS, F.from_json("row", CONTEXT_OUT).alias("r")), *KEYS).select(*KEYS, "r.*")

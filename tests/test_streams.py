@@ -100,3 +100,49 @@ def test_session_fold_steps_over_rows_without_frames():
     one = list(f.handleInputRows(("local", "s"), iter([row("b", 20, 1), row("a", 20, 2), row(None, 10, 3)]), None))
     two = list(f.handleInputRows(("local", "s"), iter([row("c", 30, 1)]), None))
     assert [(r["prompt_id"], r["prompts_seen"]) for r in one + two] == [(None, 1), ("a", 2), ("b", 3), ("c", 4)]
+
+
+@pytest.mark.parametrize("kind", [runs.Turns, runs.Context])
+def test_a_session_costs_one_read_and_one_write_for_a_micro_batch(kind):
+    """No other state, no timer but a new session's, and no frames; an early timer is set anew."""
+    import json
+
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Times:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    p = runs._processor(kind, idle_ms=1000_000)
+    p.handle, p.session = Handle(), State()
+    like = {"decision": "allow", "prompt": "x", "mark": 0, "label": "JAILBREAK", "category": "jailbreak", "confidence": 0.9, "abuse_indicator": False, "safe": False}
+    one = lambda n, epoch: Row(row=json.dumps(dict.fromkeys(context.STEP_IN, 0.0) | like | {"prompt_id": n, "epoch": epoch}))
+    first = list(p.handleInputRows(("s", "a"), iter([one("b", 200), one("a", 100)]), None))
+    assert calls == ["get", "update", 1_200_000] and [json.loads(r)["prompt_id"] for r in first[0]["rows"]] == ["a", "b"]
+    second = list(p.handleInputRows(("s", "a"), iter([one("c", 150)]), None))  # late: doesn't shorten the time
+    assert calls[3:] == ["get", "update"] and len(second) == 1 and p.session.value[0] == 200
+    list(p.handleInputRows(("s", "a"), iter([one("d", 900)]), None))
+    list(p.handleExpiredTimer(("s", "a"), Times(1_300_000), Times(1_200_000)))
+    assert calls[-1] == 1_900_000 and p.session.value
+    list(p.handleExpiredTimer(("s", "a"), Times(1_900_001), Times(1_900_000)))
+    assert p.session.value is None
