@@ -12,6 +12,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,6 +267,166 @@ def embedding(rows: DataFrame, at_least: float = COSINE) -> DataFrame:
     return _distinct_groups(written(_at_least(m, MIN_SESSIONS), "t3-stars"))
 
 
+#: Records of a label that one task reads for a block of stars, by sessions, and stars of a block.
+SLICE, STARS = 65_536, 8192
+STAR_OUT = "label string, base string, prompts long, prompts_high long, prompts_low long, sessions long, risk double, max_risk double, repeated int, critical long, status boolean, first_at long, sessions_high long, sessions_low long, least_session string, example string"
+
+
+class _Stars:
+    """Sums of the stars of a block of vectors over records that come by session and time: of a
+    session's records the first that is near counts, so only the last session of each star is kept."""
+
+    def __init__(self, at_least: float):
+        self.at_least, self.waiting, self.label = min(at_least, 1 - 1e-12), [], None  # a vector is like itself, however it is rounded
+
+    @staticmethod
+    def vectors(part: pa.RecordBatch) -> np.ndarray:
+        x = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        own = int(np.count_nonzero(part.column("low").to_numpy(zero_copy_only=False)))  # they come first
+        if own:
+            self.label = part.column("label")[0].as_py()
+            self.waiting.append((self.vectors(part.slice(0, own)), part.column("print").slice(0, own).to_pylist()))
+        if own < part.num_rows:
+            if self.waiting:
+                self.begin()
+            rows = part.slice(own)
+            step = max(1, (1 << 22) // max(1, len(self.base)))
+            for a in range(0, rows.num_rows, step):
+                self.meet(rows.slice(a, step))
+
+    def begin(self) -> None:
+        self.x, self.base = np.concatenate([x for x, _ in self.waiting]), [b for _, bs in self.waiting for b in bs]
+        n = len(self.base)
+        self.sums = {c: np.zeros(n, dtype=np.int64) for c in ("prompts", "prompts_high", "prompts_low", "sessions", "critical", "sessions_high", "sessions_low")}
+        self.risk, self.max_risk, self.repeated, self.status = np.zeros(n), np.full(n, -np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        self.first_at, self.least, self.example = np.full(n, np.iinfo(np.int64).max), np.full(n, None, dtype=object), np.full(n, None, dtype=object)
+        self.last, self.session, self.number, self.waiting = np.full(n, -1, dtype=np.int64), None, -1, []
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        value = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("session_id", "prompt_id", "ingested_at", "risk", "repeated", "critical", "status", "session_sum", "prompt_sum")}
+        names = value["session_id"]
+        begins = np.concatenate([[self.session is None or names[0] != self.session], names[1:] != names[:-1]])
+        session = self.number + np.cumsum(begins)
+        self.session, self.number = names[-1], int(session[-1])
+        p, q = np.nonzero(self.x @ self.vectors(rows).T >= self.at_least)
+        if not len(p):
+            return
+        n = len(self.base)
+
+        def add(name, stars, numbers):  # sums of a step are below 2^53, so exact
+            self.sums[name] += np.bincount(stars, weights=numbers, minlength=n).astype(np.int64)
+
+        add("prompts", p, None)
+        add("prompts_high", p, (value["prompt_sum"] >> 30)[q])
+        add("prompts_low", p, (value["prompt_sum"] & (1 << 30) - 1)[q])
+        of = session[q]
+        before = np.concatenate([[-1], of[:-1]])
+        opens = np.concatenate([[True], p[1:] != p[:-1]])
+        before[opens] = self.last[p[opens]]
+        closes = np.concatenate([opens[1:], [True]])
+        self.last[p[closes]] = of[closes]
+        first = of != before
+        p, q = p[first], q[first]
+        add("sessions", p, None)
+        add("critical", p, value["critical"][q].astype(float))
+        add("sessions_high", p, (value["session_sum"] >> 30)[q])
+        add("sessions_low", p, (value["session_sum"] & (1 << 30) - 1)[q])
+        self.risk += np.bincount(p, weights=value["risk"][q], minlength=n)
+        np.maximum.at(self.max_risk, p, value["risk"][q])
+        np.maximum.at(self.repeated, p, value["repeated"][q])
+        np.logical_or.at(self.status, p, value["status"][q].astype(bool))
+        np.minimum.at(self.first_at, p, value["ingested_at"][q])
+        order = np.argsort(value["prompt_id"], kind="stable")
+        rank, least = np.empty(len(order), dtype=np.int64), np.full(n, len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        np.minimum.at(least, p, rank[q])
+        for i in np.flatnonzero(least < len(order)):
+            mine = value["prompt_id"][order[least[i]]]
+            self.example[i] = mine if self.example[i] is None else min(mine, self.example[i])
+        for i, j in zip(*(a[np.unique(p, return_index=True)[1]] for a in (p, q))):  # sessions come in order
+            if self.least[i] is None:
+                self.least[i] = names[j]
+
+    def rows(self) -> list[list]:
+        if self.waiting:
+            return [[] for _ in STAR_OUT.split(", ")]
+        some = np.flatnonzero(self.sums["prompts"])
+        s = {c: v[some] for c, v in self.sums.items()}
+        return [
+            [self.label] * len(some), [self.base[i] for i in some], s["prompts"], s["prompts_high"], s["prompts_low"], s["sessions"], self.risk[some], self.max_risk[some], self.repeated[some].astype(np.int32), s["critical"],
+            self.status[some], self.first_at[some], s["sessions_high"], s["sessions_low"], self.least[some].tolist(), self.example[some].tolist(),
+        ]
+
+
+def stars(rows: DataFrame, risks: DataFrame | None = None, at_least: float = COSINE, block: int = STARS, slice_rows: int = SLICE) -> DataFrame:
+    """The groups of ``embedding`` with what scoring asks of them, and their prompts' number.
+
+    A star isn't listed, since all stars have more members than any disk holds: a task keeps a
+    block of vectors and sums over the records that may be near (see ``blocks_of``), a slice of
+    their sessions at a time. Records travel once for each block, so what is shuffled is the
+    square of a label's size over ``block``."""
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
+    nothing = {"session_risk": F.lit(0.0), "session_repeated": F.lit(0), "session_status": F.lit("")}
+    rows = (rows.withColumns(nothing) if risks is None else supported(rows, risks)).withColumn("vector", F.transform("embedding", lambda x: x.cast("double"))).where(sound)
+    label = F.to_json(F.struct("scope_id", "window_start", "category"))
+    rows = rows.withColumn("label", label).select(
+        "label", F.sha2(F.concat("label", F.to_json("vector")), 256).alias("print"), "vector", "session_id", "prompt_id", "ingested_at", F.greatest("record_risk", F.coalesce("session_risk", F.lit(0.0))).alias("risk"),
+        F.greatest("record_repeated", F.coalesce("session_repeated", F.lit(0))).alias("repeated"), F.col("critical_signature").alias("critical"), F.coalesce(F.col("session_status").isin(*fixed.RISKY_STATUSES), F.lit(False)).alias("status"),
+        digest(F.col("session_id")).cast("bigint").alias("session_sum"), digest(F.col("prompt_id")).cast("bigint").alias("prompt_sum"),
+    )
+    kinds = "scope_id string, window_start long, category string"
+    rows = written(rows, "t3-vectors")
+    placed, pairs = blocks_of(rows.groupBy("label", F.col("print").alias("vec_id")).agg(F.any_value("vector").alias("embedding")), at_least, block)
+    placed = written(placed.select("label", "dim", "cell", "block", F.col("vec_id").alias("print"), "embedding"), "t3-placed")
+    one = pairs.select("label", "dim", "cell", "block", "other_cell")
+    other = pairs.select("label", "dim", F.col("other_cell").alias("cell"), F.col("other_block").alias("block"), F.col("cell").alias("other_cell"))
+    meets = one.unionByName(other).distinct()
+    slices = rows.groupBy("label").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    task = lambda n: F.concat_ws(":", "dim", "cell", "block", n.cast("string"), "label").alias("task")
+    told = [c for c in rows.columns if c not in ("label", "print", "vector")]
+    empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in told]
+    low = placed.join(F.broadcast(slices), "label").withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
+    low = low.select(task(F.col("n")), F.lit(True).alias("low"), "label", "print", F.col("embedding").alias("vector"), *empty)
+    here = rows.join(placed.select("label", "print", "dim", F.col("cell").alias("other_cell")), ["label", "print"]).join(meets, ["label", "dim", "other_cell"]).join(F.broadcast(slices), "label")
+    here = here.select(task(F.pmod(F.xxhash64("session_id"), F.col("slices"))), F.lit(False).alias("low"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("print"), "vector", *told)
+    dealt = low.unionByName(here).repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, "task").sortWithinPartitions("task", F.desc("low"), "session_id", "ingested_at", "prompt_id")
+
+    def summed(batches):
+        key, stars = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tasks = batch.column("task").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if tasks[a] != key:
+                    if stars is not None:
+                        yield made(stars)
+                    key, stars = tasks[a], _Stars(at_least)
+                stars.add(batch.slice(a, b - a))
+        if stars is not None:
+            yield made(stars)
+
+    names = [c.split(" ")[0] for c in STAR_OUT.split(", ")]
+    types = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.string(), pa.string()]
+
+    def made(stars):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(stars.rows(), types)], names=names)
+
+    whole = lambda c: F.sum(F.col(f"{c}_high").cast("decimal(38,0)") * F.lit(1 << 30) + F.col(f"{c}_low"))
+    g = dealt.mapInArrow(summed, STAR_OUT).groupBy("label", F.col("base").alias("group_key")).agg(
+        F.sum("prompts").alias("prompts"), whole("prompts").alias("prompt_digest"), F.sum("sessions").alias("sessions"), (F.sum("risk") / F.sum("sessions")).alias("average_risk"), F.max("max_risk").alias("max_risk"), F.max("repeated").alias("repeated"),
+        (F.sum("critical") > 0).alias("any_critical_signature"), F.sum("critical").alias("critical_records"), F.bool_or("status").alias("status_support"), F.min("first_at").alias("first_at"), whole("sessions").cast("decimal(38,0)").alias("session_digest"), F.min("least_session").alias("least_session"), F.min("example").alias("example_prompt_id"),
+    ).where(F.col("sessions") >= MIN_SESSIONS).withColumn("of", F.from_json("label", kinds)).select("*", "of.*").drop("of", "label")
+    nth = F.row_number().over(Window.partitionBy("scope_id", "window_start", "prompts", "prompt_digest").orderBy("group_key"))
+    g = g.withColumn("nth", nth).where("nth = 1").drop("nth", "prompt_digest")
+    known = ~F.col("category").isin("unknown", "")
+    return g.withColumns({"method": F.lit("embedding"), "known_member": ~F.col("category").isin(*UNKNOWN, ""), "group_category": F.when(known, F.col("category")).otherwise("unknown")}).drop("category")
+
+
 def digest(value: Column) -> Column:
     """60 bits of an MD5, to be summed over a set."""
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
@@ -274,6 +435,11 @@ def digest(value: Column) -> Column:
 def findings(members: DataFrame, risks: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
     """One row for each group, scored (see the module's head); with ``least``, of the groups of that
     many sessions by method."""
+    return score(groups(members, risks, least))
+
+
+def groups(members: DataFrame, risks: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """What scoring asks of each group."""
     categories = _majority(members.where("method <> 'category_burst'"), "unknown").unionByName(members.where("method = 'category_burst'").select(*GROUP, F.col("group_key").alias("group_category")).distinct())
     if "session_sum" not in members.columns:
         members = members.withColumn("session_sum", digest(F.col("session_id")).cast("bigint"))
@@ -286,13 +452,12 @@ def findings(members: DataFrame, risks: DataFrame, least: dict[str, int] | None
     g = one.groupBy(*GROUP).agg(
         F.count("*").alias("sessions"), F.avg("risk").alias("average_risk"), F.max("risk").alias("max_risk"), F.max("again").alias("repeated"), F.bool_or("critical_signature").alias("any_critical_signature"),
         F.sum(F.col("critical_signature").cast("int")).alias("critical_records"), F.bool_or(~F.col("category").isin(*UNKNOWN, "")).alias("known_member"), F.bool_or("status_support").alias("status_support"),
-        F.min("ingested_at").alias("first_at"), F.sum(F.col("session_sum").cast("decimal(38,0)")).alias("session_digest"), F.min("session_id").alias("least_session"), F.min("prompt_id").alias("example_prompt_id"), F.count_distinct("source").alias("sources"),
+        F.min("ingested_at").alias("first_at"), F.sum(F.col("session_sum").cast("decimal(38,0)")).alias("session_digest"), F.min("session_id").alias("least_session"), F.min("prompt_id").alias("example_prompt_id"),
     )
     if least:
         g = g.where(F.col("sessions") >= F.try_element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("method")))
     g = g.join(categories, GROUP)
-    g = g.withColumn("group_category", F.when((F.col("method") == "session_risk_burst") & (F.col("group_category") == "unknown"), "session_risk").otherwise(F.col("group_category")))
-    return score(g)
+    return g.withColumn("group_category", F.when((F.col("method") == "session_risk_burst") & (F.col("group_category") == "unknown"), "session_risk").otherwise(F.col("group_category")))
 
 
 def score(g: DataFrame) -> DataFrame:
@@ -375,12 +540,12 @@ def all_findings(rows: DataFrame, risks: DataFrame, near: bool = True, embedded:
     if "structure" not in rows.columns:
         rows = prepared(rows, risks, *(["prompt"] if near else []))  # read by every detector
     members = candidates(rows)
-    more = [*([near_duplicates(rows)] if near else []), *([embedding(embedded)] if embedded is not None else [])]
-    for m in more:
-        if "session_sum" not in m.columns:
-            m = supported(m, risks).withColumn("session_sum", digest(F.col("session_id")).cast("bigint"))
-        members = members.unionByName(written(m.select(*MEMBER), "t3-members"))
-    return findings(members, risks, LEAST)
+    if near:
+        members = members.unionByName(written(near_duplicates(rows).select(*MEMBER), "t3-members"))
+    g = groups(members, risks, LEAST)
+    if embedded is not None:
+        g = g.unionByName(stars(embedded, risks).select(*g.columns))
+    return score(g)
 
 
 def analyse(rows: DataFrame, risks: DataFrame, policy: Policy = Policy(), near: bool = True, embedded: DataFrame | None = None) -> DataFrame:

@@ -385,9 +385,7 @@ sets AS (SELECT label, list(other ORDER BY other) AS ids, count(*) AS prompts, c
 SELECT 'label-' || label::VARCHAR AS category, prompts, sessions, count(*) AS groups FROM (SELECT DISTINCT label, ids, prompts, sessions FROM sets) GROUP BY ALL""")
 def t3_embedding(spark, sf):
     """Star clusters of vectors of one category."""
-    m = correlate.embedding(R.t3_embedded(spark, sf))
-    sets = m.groupBy("group_key", "category").agg(F.count("*").alias("prompts"), F.count_distinct("session_id").alias("sessions"))
-    return sets.groupBy("category", "prompts", "sessions").agg(F.count("*").alias("groups"))
+    return correlate.stars(R.t3_embedded(spark, sf)).groupBy(F.col("group_category").alias("category"), "prompts", "sessions").agg(F.count("*").alias("groups"))
 
 
 # --- the gate, feeds as files, known prompts, examples ------------------------------------------------

@@ -369,3 +369,29 @@ def test_similar_vectors_prune_cells_and_lose_no_pair(spark):
     every = sum(r.n * (r.n + 1) // 2 for r in sizes)
     assert pairs.count() < 0.7 * every
     assert correlate.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_stars_are_summed_as_if_they_were_listed(spark, monkeypatch):
+    """Groups of ``stars`` equal those of the listed members, over small blocks, slices and batches,
+    copies of vectors and sessions that come again; no member is written or shuffled."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (500, 6))
+    x[400:] = x[rng.integers(0, 40, 100)]
+    rows = [("local", f"src{i % 3}", f"s{rng.integers(0, 37)}", f"p{rng.integers(0, 10**6):06}-{i}", int(1000 + rng.integers(0, 9)), "text", f"label-{i % 2}" if i % 7 else "credential_theft", float(rng.integers(0, 90)), int(rng.integers(0, 4)), ["sig-root"] if i % 11 == 0 else [], v.tolist()) for i, v in enumerate(x)]
+    rows += [("local", "s", "s1", "zero", 1000, "t", "label-1", 1.0, 0, [], [0.0] * 6), ("local", "s", "s1", "short", 1000, "t", "label-1", 1.0, 0, [], [1.0, 2.0])]
+    df = correlate.records(spark.createDataFrame(rows, "scope_id string, source string, session_id string, prompt_id string, epoch long, prompt string, category string, risk double, repeated int, matched_signatures array<string>, embedding array<double>"))
+    risks = spark.createDataFrame([("local", f"s{i}", float(i * 5), "high_risk" if i % 4 else "active", i % 3) for i in range(0, 37, 2)], "scope_id string, session_id string, current_risk_score double, status string, repeated_suspicious_count int")
+    want = correlate.groups(correlate.supported(correlate.embedding(df, 0.7), risks), risks)
+    names = want.columns
+    rest = [c for c in names if c != "average_risk"]
+    key = lambda r: tuple(str(r[c]) for c in rest)
+    listed = sorted(want.collect(), key=key)
+    monkeypatch.setattr(correlate, "embedding", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        summed = sorted(correlate.stars(df, risks, 0.7, block=30, slice_rows=70).collect(), key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [key(r) for r in summed] == [key(r) for r in listed] and len(listed) > 50
+    assert all(abs(a["average_risk"] - b["average_risk"]) < 1e-9 for a, b in zip(summed, listed))
+    assert correlate.stars(df.limit(0), risks).count() == 0
