@@ -395,3 +395,12 @@ def test_stars_are_summed_as_if_they_were_listed(spark, monkeypatch):
     assert [key(r) for r in summed] == [key(r) for r in listed] and len(listed) > 50
     assert all(abs(a["average_risk"] - b["average_risk"]) < 1e-9 for a, b in zip(summed, listed))
     assert correlate.stars(df.limit(0), risks).count() == 0
+
+
+def test_full_analysis_lists_no_star(spark, sf, monkeypatch):
+    """The embedding detector's groups reach the scores without their members."""
+    listed = correlate.findings(correlate.supported(correlate.embedding(registry.t3_embedded(spark, sf)), registry.views.session_risks(registry.evt(spark, sf))), registry.views.session_risks(registry.evt(spark, sf)))
+    want = sorted((r.group_category, r.sessions, r.cluster_key, r.group_score) for r in listed.collect())
+    monkeypatch.setattr(correlate, "embedding", None)
+    found = correlate.all_findings(registry.t3_records(spark, sf).where("false"), registry.views.session_risks(registry.evt(spark, sf)), near=False, embedded=registry.t3_embedded(spark, sf))
+    assert sorted((r.group_category, r.sessions, r.cluster_key, r.group_score) for r in found.collect()) == want and want
