@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from re import PatternError
 from re import _constants as _ops
 from re import _parser
@@ -137,6 +138,24 @@ def needed_all(pattern: str) -> list[list[str]]:
     return [sorted({w.lower() for w in f}) for f in sorted(found, key=lambda f: (-min(map(len, f)), len(f)))]
 
 
+def foreign(pattern: str) -> list[str] | None:
+    """As ``needed``, for patterns whose texts are of other scripts than Latin or of signs without
+    letters, where every character has one lower-case form; None for others."""
+    plain = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), pattern)
+    try:
+        parsed = _parser.parse(plain)
+    except PatternError:
+        return None
+    found = _needed(parsed)
+    op, arg = parsed[0] if len(parsed) == 1 else (None, None)
+    if not found and op is _ops.MAX_REPEAT and arg[0] >= 1 and arg[2][0][0] is _ops.IN and all(o is _ops.LITERAL for o, _ in arg[2][0][1]):
+        found = [chr(c) for _, c in arg[2][0][1]]  # one class of signs, repeated
+    one = lambda c: ord(c) >= 0x370 and len(c.lower()) == len(c.upper()) == 1 and c.upper().lower() == c.lower()
+    if not found or not all(one(c) for f in found for c in f):
+        return None
+    return sorted({f.lower() for f in found})
+
+
 def needed(pattern: str) -> list[str] | None:
     """Lower-case texts of which any text that the pattern matches holds one, as far as
     lower-casing (after FOLDED) shows; None where the pattern asks for none."""

@@ -9,13 +9,16 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sentrella.functions import fixed
-from sentrella.functions.dialect import any_of, any_whole, java, needed_all, whole
+from sentrella.functions.dialect import any_of, any_whole, java, literal, needed_all, whole
 
 
 
@@ -49,6 +52,30 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(~text.rlike(UNCHANGED), text)), text)
 
 
+def seen(asked: list[tuple[Column, list[list[str]]]]) -> Column:
+    """Bits of a long, in the order of the lists: whether any word of a list occurs in its text.
+
+    Arrow searches a text for hundreds of words in one pass (its patterns are automata), where the JVM
+    tries them one by one; for long texts that is worth the way to Python and back."""
+    plain = lambda w: "".join(literal(c) if c.isascii() else c for c in w)
+    lists = [(i, "|".join(map(plain, words))) for i, (_, of) in enumerate(asked) for words in of]
+    assert len(lists) < 63
+
+    @F.arrow_udf("long")
+    def bits(texts: pa.Array) -> pa.Array:
+        each = texts.flatten()
+        found = np.zeros(len(texts), dtype=np.int64)
+        for k, (i, words) in enumerate(lists):
+            found |= pc.match_substring_regex(each[i], words).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64) << k
+        return pa.array(found)
+
+    return bits(F.struct(*[text.alias(f"t{i}") for i, (text, _) in enumerate(asked)]))
+
+
+def bit(bits: Column, k: int) -> Column:
+    return bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
@@ -65,10 +92,12 @@ def basic(composed: Column) -> Column:
     return squeeze(F.regexp_replace(t, java(r"[^\w\s'\"-]"), " "))
 
 
-def _chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
+def _chain(text: Column, pairs: list[tuple[str, str]], may: Column | None = None) -> Column:
+    """``may`` tells whether a wrong form may occur, where that is known."""
     changed = reduce(lambda t, p: F.regexp_replace(t, whole(p[0]), p[1]), pairs, text)
     wrong = [a for a, _ in pairs]
-    return F.when(text.rlike(any_of(wrong)) & text.rlike(any_whole(wrong)), changed).otherwise(text)
+    here = text.rlike(any_of(wrong)) & text.rlike(any_whole(wrong))
+    return F.when(here if may is None else may & here, changed).otherwise(text)
 
 
 def _log(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -86,16 +115,16 @@ def _log(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return F.when(text.rlike(any_whole([a for a, _ in pairs])), done).otherwise(none)
 
 
-def typos(text: Column) -> Column:
-    return _chain(text, fixed.TYPOS)
+def typos(text: Column, may: Column | None = None) -> Column:
+    return _chain(text, fixed.TYPOS, may)
 
 
-def phrases(text: Column) -> Column:
-    return _chain(text, fixed.PHRASES)
+def phrases(text: Column, may: Column | None = None) -> Column:
+    return _chain(text, fixed.PHRASES, may)
 
 
-def grammar(text: Column) -> Column:
-    return _chain(text, list(fixed.GRAMMAR))
+def grammar(text: Column, may: Column | None = None) -> Column:
+    return _chain(text, list(fixed.GRAMMAR), may)
 
 
 def typo_log(text: Column) -> Column:
@@ -136,11 +165,11 @@ def policy_text(composed: Column) -> Column:
     return squeeze(F.regexp_replace(t, java("[^\\w\\s\\x{FFFF}'-]"), " "))
 
 
-def policy_expanded(text: Column) -> Column:
+def policy_expanded(text: Column, may: Column | None = None) -> Column:
     """Plain substring replacements, in order, also inside words."""
     pairs = fixed.POLICY_TYPOS
     changed = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
-    return F.when(text.rlike(any_of([a for a, _ in pairs])), changed).otherwise(text)
+    return F.when(text.rlike(any_of([a for a, _ in pairs])) if may is None else may, changed).otherwise(text)
 
 
 def plain(text: Column) -> Column:

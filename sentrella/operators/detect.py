@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sentrella.functions import fixed
 from sentrella.functions import text as T
-from sentrella.functions.dialect import FOLDED, any_of, java, literal
+from sentrella.functions.dialect import FOLDED, any_of, foreign, java, literal, needed_all
 from sentrella.functions.plan import fence
 from sentrella.functions.scalars import ladder
 
@@ -27,18 +27,27 @@ Catalogue = tuple[tuple[str, str, str, str], ...]
 TEXTS = ["raw_text", "composed", "normalized", "typo_free", "phrased", "corrected", "compact", "policy_text", "policy_compact", "lowered"]
 
 
-def normalised(df: DataFrame, prompt: str = "prompt") -> DataFrame:
+def normalised(df: DataFrame, prompt: str = "prompt", long: bool = False) -> DataFrame:
     """Adds raw_text, normalized, corrected, compact, policy_text and policy_compact.
 
-    ASCII texts, which Unicode composition leaves alone, aren't sent to Python for it."""
+    ASCII texts, which Unicode composition leaves alone, aren't sent to Python for it. For ``long``
+    texts Python also tells which wrong forms may occur (see ``text.seen``)."""
     own = df.columns
     df = df.withColumn("raw_text", F.coalesce(prompt, F.lit("")))
     df = df.withColumn("composed", T.nfkc(F.col("raw_text")))
     df = df.withColumns({"normalized": T.basic(F.col("composed")), "policy_plain": T.policy_text(F.col("composed"))})
-    df = df.withColumn("typo_free", T.typos(F.col("normalized")))
-    df = df.withColumn("phrased", T.phrases(F.col("typo_free")))
-    df = df.withColumns({"corrected": T.squeeze(T.grammar(F.col("phrased"))), "policy_text": T.policy_expanded(F.col("policy_plain"))})
-    df = df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text")), "lowered": low(F.col("corrected"))}).drop("policy_plain")
+    typos, phrases, grammar, expanded = None, None, None, None
+    if long:
+        forms = [[a for a, _ in pairs] for pairs in (fixed.TYPOS, fixed.PHRASES, fixed.GRAMMAR)]
+        df = df.withColumn("wrong", T.seen([(F.col("normalized"), forms), (F.col("policy_plain"), [[a for a, _ in fixed.POLICY_TYPOS]])]))
+        # A text that was changed may hold forms that it didn't.
+        typos, expanded = T.bit(F.col("wrong"), 0), T.bit(F.col("wrong"), 3)
+        phrases = typos | T.bit(F.col("wrong"), 1)
+        grammar = phrases | T.bit(F.col("wrong"), 2)
+    df = df.withColumn("typo_free", T.typos(F.col("normalized"), typos))
+    df = df.withColumn("phrased", T.phrases(F.col("typo_free"), phrases))
+    df = df.withColumns({"corrected": T.squeeze(T.grammar(F.col("phrased"), grammar)), "policy_text": T.policy_expanded(F.col("policy_plain"), expanded)})
+    df = df.withColumns({"compact": T.compact(F.col("corrected")), "policy_compact": T.compact(F.col("policy_text")), "lowered": low(F.col("corrected"))}).drop("policy_plain", "wrong")
     return fence(df, *own)
 
 
@@ -50,10 +59,28 @@ def low(text: Column) -> Column:
     return F.lower(F.translate(text, *FOLDED))
 
 
-def scan(text: Column, lowered: Column, catalogue: Catalogue | None = None, plain: bool = True) -> Column:
+def scan(text: Column, lowered: Column, catalogue: Catalogue | None = None, plain: bool = True, may: Callable[[str], Column] | None = None) -> Column:
     """Ids whose pattern occurs, in catalogue order. A pattern is tried only where the words that
-    every match of it holds occur (``plain``)."""
-    return T.hits([(sid, T.where_needed(text, lowered, pattern) if plain else text.rlike(java(pattern))) for sid, _, _, pattern in catalogue or fixed.SIGNATURES])
+    every match of it holds occur (``plain``), and where it ``may``."""
+    tried = lambda p: T.where_needed(text, lowered, p) if plain else text.rlike(java(p))
+    return T.hits([(sid, may(pattern) & tried(pattern) if may else tried(pattern)) for sid, _, _, pattern in catalogue or fixed.SIGNATURES])
+
+
+#: Words of fewer letters are too common in prose to tell where a pattern may occur.
+TELLING, AT_ONCE = 5, 16
+
+
+def told(patterns: list[str]) -> tuple[list[list[str]], dict[str, int]]:
+    """Lists of words, each for some patterns, and the list of each pattern that has one: it
+    occurs only where a word of its list does."""
+    first = {p: needed_all(p)[0] for p in patterns if needed_all(p)}
+    some = sorted((p for p, words in first.items() if min(map(len, words)) >= TELLING), key=lambda p: first[p])
+    at_once = max(AT_ONCE, -(-len(some) // 12))
+    parts = [some[i : i + at_once] for i in range(0, len(some), at_once)]
+    abroad = {p: words for p in patterns if p not in first and (words := foreign(p))}
+    if abroad:
+        parts, first = [*parts, sorted(abroad)], first | abroad
+    return [sorted({w for p in part for w in first[p]}) for part in parts], {p: i for i, part in enumerate(parts) for p in part}
 
 
 def signature_weight(ids: Column, hash_ids: Column, catalogue: Catalogue | None = None) -> Column:
@@ -137,7 +164,8 @@ def policy(df: DataFrame) -> DataFrame:
     """Adds policy_rules, policy_terms, policy_signals, policy_score, policy_critical,
     safe_intent, policy_decision, policy_recommendation, policy_state and policy_bucket."""
     text, compact = F.col("policy_text"), F.col("policy_compact")
-    df = df.withColumn("some_term", some_term(text, compact))
+    if "some_term" not in df.columns:
+        df = df.withColumn("some_term", some_term(text, compact))
     df = fence(df, *[c for c in df.columns if c != "some_term"])
     found = {n: T.hits([(t, F.contains(text, F.lit(t))) for t in fixed.TERMS[n]]) if n == "multilingual" else term_hits(n, text, compact) for n in fixed.TERMS}
     df = df.withColumns({f"hit_{n}": F.when(F.col("some_term"), h).otherwise(F.array().cast("array<string>")) for n, h in found.items()}).drop("some_term")
@@ -169,6 +197,10 @@ def policy(df: DataFrame) -> DataFrame:
 # --- prompt risk -------------------------------------------------------------------
 
 
+def _risk_patterns() -> list[str]:
+    return [p for _, ps in fixed.RISK_GROUPS.values() for p in ps]
+
+
 def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     """Adds risk_score, risk_signals, risk_intents, risk_bucket, risk_recommendation.
 
@@ -176,7 +208,9 @@ def risk(df: DataFrame, authentic: Column | None = None) -> DataFrame:
     recommendation was made."""
     text = F.lower("corrected")
 
-    groups = [(g, reduce(lambda a, b: a | b, [T.where_needed(text, F.col("lowered"), p) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
+    lists, of = told(_risk_patterns()) if "risky_words" in df.columns else ([], {})
+    tried = lambda p: T.bit(F.col("risky_words"), of[p]) & T.where_needed(text, F.col("lowered"), p) if p in of else T.where_needed(text, F.col("lowered"), p)
+    groups = [(g, reduce(lambda a, b: a | b, [tried(p) for p in ps])) for g, (_, ps) in fixed.RISK_GROUPS.items()]
     words = F.split(F.trim(text), java(r"\s+"))
     # A text is cut into words only where it holds all of a combination's.
     every = lambda ws: reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in ws])
@@ -203,13 +237,36 @@ def detailed(ids: Column, catalogue: Catalogue | None = None) -> Column:
     return F.transform(ids, lambda x: F.struct(x.alias("id"), F.try_element_at(severity, x).alias("severity"), F.try_element_at(category, x).alias("category")))
 
 
-def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | None = None) -> DataFrame:
+def sighted(df: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
+    """Adds what ``text.seen`` tells of long texts: the words that signatures need in each of the
+    three forms (words_*), those of risk patterns (risky_words), and whether any listed term occurs."""
+    lists, _ = told([p for _, _, _, p in catalogue or fixed.SIGNATURES])
+    risky, _ = told(_risk_patterns())
+    terms = sorted({t for ts in fixed.TERMS.values() for t in ts})
+    joint = [t.replace(" ", "") for t in terms if " " in t]
+    n, r = len(lists), len(risky)
+    own = df.columns
+    df = df.withColumns({"low_normalized": low(F.col("normalized")), "low_raw": low(F.col("raw_text"))})
+    asked = [(F.col("lowered"), [*lists, *risky]), (F.col("low_normalized"), lists), (F.col("low_raw"), lists), (F.col("policy_text"), [terms]), (F.col("policy_compact"), [joint])]
+    df = fence(df.withColumn("seen", T.seen(asked)), *own)
+    part = lambda a, k: F.shiftrightunsigned("seen", a).bitwiseAND(F.lit((1 << k) - 1).cast("long"))
+    made = {"words_corrected": part(0, n), "risky_words": part(n, r), "words_normalized": part(n + r, n), "words_raw_text": part(2 * n + r, n), "some_term": part(3 * n + r, 2) != 0}
+    return df.withColumns(made).drop("seen", "low_normalized", "low_raw")
+
+
+def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | None = None, long: bool = False) -> DataFrame:
     """All stateless results for each prompt, with its own columns kept. ``catalogue`` replaces
-    the built-in signatures (see ``catalogue.in_use``)."""
-    df = normalised(prompts, prompt)
+    the built-in signatures (see ``catalogue.in_use``). ``long`` texts are first searched for all words
+    that patterns need at once, which is worth its cost for documents."""
+    df = normalised(prompts, prompt, long)
+    of = None
+    if long:
+        df, (_, of) = sighted(df, catalogue), told([p for _, _, _, p in catalogue or fixed.SIGNATURES])
     # Three forms of the text, in this order; equal ones are scanned once.
-    variants = F.array_distinct(F.array(*[F.struct(F.col(c).alias("text"), low(F.col(c)).alias("low")) for c in ("corrected", "normalized", "raw_text")]))
-    found = F.array_distinct(F.flatten(F.transform(variants, lambda t: scan(t["text"], t["low"], catalogue))))
+    forms = [F.struct(F.col(c).alias("text"), low(F.col(c)).alias("low"), *([F.col(f"words_{c}").alias("words")] if long else [])) for c in ("corrected", "normalized", "raw_text")]
+    variants = F.array_distinct(F.array(*forms))
+    may = lambda t: (lambda p: T.bit(t["words"], of[p]) if p in of else F.lit(True)) if long else None
+    found = F.array_distinct(F.flatten(F.transform(variants, lambda t: scan(t["text"], t["low"], catalogue, may=may(t)))))
     df = df.withColumns({"signature_matches": found, "hash_matches": hash_ids(F.col("raw_text"))})
     df = fence(df, *[c for c in df.columns if c not in ("signature_matches", "hash_matches")])
     df = risk(policy(df), F.col("session_authentic") if "session_authentic" in prompts.columns else None)
@@ -223,7 +280,7 @@ def detect(prompts: DataFrame, prompt: str = "prompt", catalogue: Catalogue | No
         "best_score": best, "best_bucket": ladder(best, [(8, "high"), (4, "medium")], "low"),
         "signals": F.array_sort(F.array_distinct(F.concat("policy_signals", "risk_signals"))),
         "session_input": F.greatest("risk_score", "policy_score"),
-    }).drop("lowered")
+    }).drop("lowered", "risky_words", *[f"words_{c}" for c in ("corrected", "normalized", "raw_text")])
 
 
 def detect_distinct(prompts: DataFrame, prompt: str = "prompt", also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
