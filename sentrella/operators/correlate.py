@@ -383,14 +383,14 @@ def stars(rows: DataFrame, risks: DataFrame | None = None, at_least: float = COS
     placed = written(placed.select("label", "dim", "cell", "block", F.col("vec_id").alias("print"), "embedding"), "t3-placed")
     one = pairs.select("label", "dim", "cell", "block", "other_cell")
     other = pairs.select("label", "dim", F.col("other_cell").alias("cell"), F.col("other_block").alias("block"), F.col("cell").alias("other_cell"))
-    meets = one.unionByName(other).distinct()
     slices = rows.groupBy("label").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    meets = one.unionByName(other).distinct().join(slices, "label")
     task = lambda n: F.concat_ws(":", "dim", "cell", "block", n.cast("string"), "label").alias("task")
     told = [c for c in rows.columns if c not in ("label", "print", "vector")]
     empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in told]
-    low = placed.join(F.broadcast(slices), "label").withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
+    low = placed.join(slices, "label").withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
     low = low.select(task(F.col("n")), F.lit(True).alias("low"), "label", "print", F.col("embedding").alias("vector"), *empty)
-    here = rows.join(placed.select("label", "print", "dim", F.col("cell").alias("other_cell")), ["label", "print"]).join(meets, ["label", "dim", "other_cell"]).join(F.broadcast(slices), "label")
+    here = rows.join(placed.select("label", "print", "dim", F.col("cell").alias("other_cell")), ["label", "print"]).join(meets, ["label", "dim", "other_cell"])
     here = here.select(task(F.pmod(F.xxhash64("session_id"), F.col("slices"))), F.lit(False).alias("low"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("print"), "vector", *told)
     dealt = low.unionByName(here).repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, "task").sortWithinPartitions("task", F.desc("low"), "session_id", "ingested_at", "prompt_id")
 
